@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import minhash, mixing, warc
 
 QUERIES = {
+    "op5_minhash": minhash.op5_minhash,
     "op9_mixing": mixing.op9_mixing,
+    "op10_warc": warc.op10_warc,
 }
 ORACLE = {
     "op9_mixing": mixing.ORACLE,
+    "op10_warc": warc.ORACLE,
 }
