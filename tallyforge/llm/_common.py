@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
         if batch.get_total_buffer_size() <= size:
             yield batch
             continue
-        lengths = [x or 0 for x in pa.compute.binary_length(batch.column(batch.schema.get_field_index(column))).to_pylist()]
+        lengths = [x or 0 for x in pc.binary_length(batch.column(batch.schema.get_field_index(column))).to_pylist()]
         start = held = 0
         for i, x in enumerate(lengths):
             if i > start and held + x > size:
