@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, warc
+from . import minhash, mixing, packing, warc
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op5_minhash": minhash.op5_minhash,
     "op9_mixing": mixing.op9_mixing,
     "op10_warc": warc.op10_warc,
