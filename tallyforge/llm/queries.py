@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, packing, warc
+from . import merkle, minhash, mixing, packing, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op5_minhash": minhash.op5_minhash,
+    "op8_fingerprints": merkle.op8_fingerprints,
     "op9_mixing": mixing.op9_mixing,
     "op10_warc": warc.op10_warc,
 }
