@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import merkle, minhash, mixing, packing, warc
+from . import merkle, minhash, mixing, packing, pii, quality, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op4_quality": quality.op4_quality,
     "op5_minhash": minhash.op5_minhash,
+    "op7_pii": pii.op7_pii,
     "op8_fingerprints": merkle.op8_fingerprints,
     "op9_mixing": mixing.op9_mixing,
     "op10_warc": warc.op10_warc,
