@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import ddl, pieces, ship, table, texts
 
@@ -144,9 +145,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Attention:
 def score(docs: DataFrame, net: Attention) -> DataFrame:
     """``docs`` with a column ``score``; all others stay."""
     ship(docs.sparkSession)
-    schema = docs.schema.add("score", "double") if "score" not in docs.columns else None
-    if schema is None:
+    if "score" in docs.columns:
         raise ValueError("documents have a column named score already")
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
