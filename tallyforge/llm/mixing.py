@@ -57,8 +57,8 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
         F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("w_before"),
     )
     level = (F.col("all_size") - F.col("cap_before")) / (F.col("all_w") - F.col("w_before"))
-    held = totals.withColumn("level", F.when(F.col("ratio") >= level, level))  # from here on sources stay below their caps
-    held = held.withColumn("level", F.min("level").over(everything))
+    held = totals.withColumn("level", F.when(F.col("ratio") >= level, level))  # true first where the rest stay below their caps; beyond, the level only falls
+    held = held.withColumn("level", F.max("level").over(everything))
     return held.select("skey", "source_size", F.coalesce(F.least(cap * F.col("source_size"), F.col("level") * F.col("w")), cap * F.col("source_size")).cast("double").alias("target"))
 
 
@@ -105,7 +105,7 @@ pre AS (
          coalesce(sum(3.0::DOUBLE * source_size) OVER (ORDER BY 3.0::DOUBLE * source_size / w, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cap_before,
          coalesce(sum(w) OVER (ORDER BY 3.0::DOUBLE * source_size / w, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w_before
   FROM totals),
-lev AS (SELECT min((all_size - cap_before) / (all_w - w_before)) AS level FROM pre WHERE ratio >= (all_size - cap_before) / (all_w - w_before)),
+lev AS (SELECT max((all_size - cap_before) / (all_w - w_before)) AS level FROM pre WHERE ratio >= (all_size - cap_before) / (all_w - w_before)),
 goals AS (
   SELECT skey, source_size, coalesce(least(3.0::DOUBLE * source_size, level * w), 3.0::DOUBLE * source_size) AS target FROM pre CROSS JOIN lev),
 ranked AS (
