@@ -1,10 +1,71 @@
-"""Corpus preparation: quality, near-duplicates, personal data, mixing, packing."""
+"""Corpus preparation: quality, near-duplicates, personal data, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the next one's
+``docs``. All but the last return the columns of ``documents``. What each decides takes effect: low quality goes, one
+document of each near-duplicate group stays, personal data is replaced by its kind, documents repeat as often as the mix
+takes them, and the last stage lays all of them out in sequences.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyforge.llm import minhash, mixing, packing, pii, quality
+from tallyforge.llm._common import cut, table
+
+#: A document stays if its score is at least this; the score is the learned chance of label 1.
+LEAST_QUALITY = 0.3
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    net = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, net).where(F.col("score") >= LEAST_QUALITY).drop("score")
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group at five words and a similarity of 0.8."""
+    return minhash.keep_one(docs, width=5, percent=80)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it; ``copies`` are of rows, so texts move by id and not by range."""
+    copies = mixing.mix(docs).where("copies > 0").select("doc_id", "copies")
+    taken = docs.join(copies, "doc_id")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(cut(packing.pieces_of(docs, packing.default_tokenizer())))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("near-duplicates", dedup_stage),
+    ("personal data", pii_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: A learned classifier and a tokenizer are beyond SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder where the cluster shares files: the checkpoint folder that the session names, else one set for tests."""
+    cut(spark.range(1))
+    return f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark)
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs
