@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import media, merkle, minhash, mixing, packing, pii, quality, warc
+from . import media, merkle, minhash, mixing, packing, pii, quality, suffixes, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_suffixes": suffixes.op2_suffixes,
     "op3_media": media.op3_media,
     "op4_quality": quality.op4_quality,
     "op5_minhash": minhash.op5_minhash,
