@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..domain import CATEGORY_DISPLAY, KEYWORDS, MONTH_NAMES, NEEDS, SOURCE_LABELS
 from ..functions import dates, money, text
-from ..operators import anomaly, budget, categorize, etl, insights, ledger
+from ..operators import anomaly, budget, categorize, etl, extract, insights, ledger
 from ..sources import ledgers, loaders
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -442,3 +442,32 @@ def kaggle_records(spark, sf):
 @query("WITH p AS (SELECT p_partkey AS id, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS place FROM part) SELECT id, p_brand, CAST(place AS INTEGER) AS place FROM p WHERE place <= 3")
 def group_listing(spark, sf):
     return etl.first_of_group(t(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_brand"), "p_brand", "id", 3)
+
+
+# -- extraction: documents rendered from orders, read back ------------------------------------------------------------
+SHOPS = ("TOKO SEJAHTERA JAYA", "WARUNG KOPI NYAMAN", "Alfamart", "APOTEK SUMBER WARAS STORE", "Indomaret")
+_SHOP = "CASE o_orderkey % 5 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(SHOPS)) + " END"
+
+
+def rendered(spark, sf):
+    """Receipts of even orders and payment screens of odd ones, as lines."""
+    o = t(spark, sf, "orders").where("o_totalprice >= 10000")
+    shop = F.element_at(F.array(*map(F.lit, SHOPS)), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    dots = lambda x: F.translate(F.format_number(F.floor(x), 0), ",", ".")
+    amount, half = dots(F.col("o_totalprice")), dots(F.col("o_totalprice") / 2)
+    day = F.add_months("o_orderdate", 12 * 18)
+    receipt = F.array(shop, F.lit("Jl. Merdeka 10"), F.date_format(day, "dd/MM/yyyy"), F.concat(F.lit("SUSU SEGAR 1 x "), half), F.concat(F.lit("ROTI TAWAR "), half), F.concat(F.lit("SUBTOTAL "), half), F.lit("PPN 1.100"), F.concat(F.lit("GRAND TOTAL Rp "), amount), F.lit("TUNAI 9.000.000"), F.lit("KEMBALI 1.000"), F.lit("TERIMA KASIH"))
+    screen = F.array(F.lit("Transaction Details"), F.concat(F.lit("Rp"), amount), shop, F.lit("Payment Method"), F.lit("QRIS"), F.lit("Reference Number"), F.lit("1234567890123"), F.lit("Date and Time"), F.date_format(day, "d MMMM yyyy"))
+    return o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, receipt).otherwise(screen).alias("lines"))
+
+
+@query(f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'photo_receipt' ELSE 'mbanking_transaction_detail' END AS document_type, CASE WHEN o_orderkey % 2 = 0 THEN 'receipt' ELSE 'screenshot' END AS route, {_SHOP} AS merchant, floor(o_totalprice)::DOUBLE AS amount, strftime(o_orderdate + INTERVAL 18 YEAR, '%d/%m/%Y') AS date, 'IDR' AS currency FROM orders WHERE o_totalprice >= 10000")
+def extracted_documents(spark, sf):
+    return extract.extract(rendered(spark, sf)).select("id", "document_type", "route", "merchant", "amount", "date", "currency")
+
+
+@query("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'Alfamart' WHEN 1 THEN 'Indomaret' WHEN 2 THEN 'Mie Gacoan' ELSE 'zzyzx road' END AS corrected FROM part")
+def corrected_merchants(spark, sf):
+    p = t(spark, sf, "part")
+    read = F.when(F.col("p_partkey") % 4 == 0, "Atfamardt").when(F.col("p_partkey") % 4 == 1, "1ndomaret").when(F.col("p_partkey") % 4 == 2, "MIE GACOAN").otherwise("zzyzx road")
+    return extract.corrected(p.select(F.col("p_partkey").alias("id"), read.alias("merchant"))).select("id", "corrected")
