@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..domain import CATEGORY_DISPLAY, POPULAR_MERCHANTS, SOURCE_LABELS
 
@@ -92,7 +93,7 @@ def best_merchant(candidates: Column) -> Column:
     return F.coalesce(best["name"], F.lit(""))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp likeness, which no built-in function has; meant for distinct keys."""
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)])
