@@ -142,18 +142,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Attention:
     return train([np.frombuffer(r["bag"], np.float32).reshape(-1, SIZE) for _, r in got], np.array([float(r["quality"]) for _, r in got]))
 
 
-def score(docs: DataFrame, net: Attention) -> DataFrame:
-    """``docs`` with a column ``score``; all others stay."""
+def score(docs: DataFrame, net: Attention, column: str = "score") -> DataFrame:
+    """``docs`` with the score in ``column``, in place of any of that name; all others stay."""
     ship(docs.sparkSession)
-    if "score" in docs.columns:
-        raise ValueError("documents have a column named score already")
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    docs = docs.drop(column)
+    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             scores = net.score([bag(t or "") for t in batch.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, column])
 
     return docs.mapInArrow(run, schema)
 

@@ -1,0 +1,380 @@
+"""The training-data operators: brute force, round trips, and odd rows."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallyforge.llm import boosting, jpeg, licences, media, merkle, minhash, mixing, packing, pii, quality, shingles, suffixes, tokens, warc
+
+SF = "/root/testdata/sf0.001"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
+
+
+def corpus():
+    rng = random.Random(5)
+    base, passage = prose(rng, 300), prose(rng, 90)
+    near = base.split()
+    near[150] = "changed"
+    texts = [
+        None, "", " \n\t ", "one", base, base, " ".join(near), base.upper(), prose(rng, 40) + "\n" + passage + "\n" + prose(rng, 40), passage + " " + prose(rng, 200), prose(rng, 20_000),
+        "x" * 5000, "ab " * 900, "é漢字😀 " * 120, "Licensed under the Apache License, Version 2.0.", "mail a.b@c.de, call +49 30 1234567 from 10.0.0.1\nno 4111 1111 1111 1111 password=0a1b2c3d4e5f", "\r\na\r\nb", "<|endoftext|>",
+    ]
+    return [*enumerate(texts), (4, base)]
+
+
+def frame(spark, rows, extra=True):
+    """doc_id, text, source, lang, n_chars; and columns that operators use names like."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long" + (", score string, part string, n string, size string, h string, id string, copies string" if extra else "")
+    return spark.createDataFrame([(i, t, "en", None if (i or 0) % 4 == 0 else f"s{i % 3}", len(t or ""), *(["x"] * 7 if extra else [])) for i, t in rows], kind)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return frame(spark, corpus())
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return frame(spark, [])
+
+
+def test_empty_tables(spark, none):
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    pages = spark.createDataFrame([], "id long, url string, payload binary")
+    results = [
+        packing.pack(packing.pieces_of(none, packing.default_tokenizer())), suffixes.deduplicate(none), media.read_back(media.stored(none)), quality.score(none, quality.fit(none, labels)), minhash.link(none)[0], licences.scan(none),
+        pii.detect(none), merkle.edits(none, 4), mixing.mix(none), warc.read(warc.write(warc.classify(pages))),
+    ]
+    assert [r.count() for r in results] == [0] * len(results)
+
+
+def test_packing(spark, docs):
+    rows = packing.pack(packing.pieces_of(docs, packing.default_tokenizer(), keep_ids=True)).collect()
+    encoder = packing.default_tokenizer()
+    whole = Counter()
+    for (i, t), ids in zip(corpus(), tokens.Encoder.at(encoder).encode([t or "" for _, t in corpus()]), strict=True):
+        ids = np.frombuffer(ids + packing.END, "<u4")
+        assert list(ids[:-1]) == tokens.Encoder.at(encoder).tokenizer.encode(t or "", add_special_tokens=False).ids
+        for k, (at, n) in enumerate(packing.cuts(len(ids), packing.CAPACITY)):
+            whole[i, k, at, n, zlib.crc32(ids[at : at + n].tobytes())] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == whole
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= packing.CAPACITY
+    assert len(by) == -(-sum(r["length"] for r in rows) // packing.CAPACITY)
+
+
+def test_configuration_plans_meet_the_bound():
+    rng = random.Random(3)
+    for capacity in (10, 100):
+        demand = Counter(rng.randint(1, capacity) for _ in range(3000))
+        made = packing.plan(demand, capacity)
+        assert made.bound <= made.sequences <= 1.1 * made.bound + 2
+    assert packing.plan({60: 10, 40: 10}, 100).sequences == 10
+    assert packing.plan({}, 100).sequences == 0
+
+
+def test_suffixes_against_all_windows(spark, docs):
+    got = suffixes.deduplicate(docs, with_text=True).collect()
+    windows = Counter(b[k : k + 400] for _, t in corpus() for b in [(t or "").encode()] for k in range(len(b) - 399))
+    want = Counter()
+    for i, t in corpus():
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 399):
+            if windows[b[k : k + 400]] > 1:
+                gone[k : k + 400] = b"\1" * 400
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        want[i, len(b), sum(gone), len([s for s in bytes(gone).split(b"\0") if s]), hashlib.sha256(kept).hexdigest(), kept] += 1
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], bytes(r["kept"])) for r in got) == want
+
+
+@pytest.mark.parametrize("shards", [1, 2, 5])
+def test_merged_transforms(shards):
+    rng = random.Random(shards)
+    for _ in range(15):
+        base = bytes(rng.randrange(97, 99) for _ in range(600))
+        raws = [base[a : a + rng.randint(380, 480)] for a in (rng.randint(0, 200) for _ in range(rng.randint(1, 8)))]
+        count = Counter(r[k : k + 400] for r in raws for k in range(len(r) - 399))
+        with np.errstate(over="ignore"):
+            got = suffixes.repeated_windows(raws, 400, shards)
+        assert [g.tolist() for g in got] == [[count[r[k : k + 400]] > 1 for k in range(len(r) - 399)] for r in raws]
+
+
+def test_hot_keys_are_exact_too(spark, docs, monkeypatch):
+    plain = sorted(map(tuple, suffixes.deduplicate(docs).collect()), key=repr)
+    monkeypatch.setattr(suffixes, "MOST", 0)
+    assert sorted(map(tuple, suffixes.deduplicate(docs).collect()), key=repr) == plain
+
+
+def test_media_round_trip(spark, docs):
+    got = media.read_back(media.stored(docs)).collect()
+    want = Counter()
+    for i, t in corpus():
+        p = jpeg.padded((t or "").encode())
+        want[i, len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])] += 1
+    assert Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == want
+    assert len({(r["media_sha256"], r["feature"]) for r in got if r["doc_id"] in (4, 5)}) == 1
+
+
+def test_progressive_scans_one_by_one(monkeypatch):
+    data = np.random.default_rng(0).integers(0, 256, 64 * 20, np.uint8).tobytes()
+    file = jpeg.store(data)
+    quick = jpeg.coefficients(file)
+    monkeypatch.setattr(jpeg, "_forced", lambda *a: False)
+    slow = jpeg.coefficients(file)
+    assert all((a.coefficients == b.coefficients).all() for a, b in zip(quick.components, slow.components, strict=True))
+    assert jpeg.restore(slow) == data and jpeg.rgb(slow).shape == (slow.height, slow.width, 3)
+
+
+def test_inverse_transform_and_upsampling():
+    image = jpeg.coefficients(jpeg.store(bytes(64)))
+    for c in image.components:
+        c.coefficients[:] = 0
+    image.components[0].coefficients[:, 0] = 80  # 8 times the mean above 128
+    image.components[2].coefficients[:, 0] = 400
+    assert (jpeg.rgb(image) == np.rint([138 + 1.402 * 50, 138 - 0.714136 * 50, 138])).all()
+
+
+def test_quality_on_held_out(spark):
+    rng = random.Random(1)
+    bad = lambda: "WIN!! " * rng.randint(20, 200)
+    rows = [(i, bad() if i % 4 == 0 else prose(rng, rng.randint(30, 300))) for i in range(300)]
+    d, labels = frame(spark, rows), spark.createDataFrame([(i, int(i % 4 != 0)) for i, _ in rows], "doc_id long, quality int")
+    net = quality.fit(d, labels)
+    got = quality.score(d, net).collect()
+    assert got[0]["part"] == "x" and all(0 <= r["score"] <= 1 for r in got)
+    held = [r for r in got if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert held and all((r["score"] >= 0.3) == (r["doc_id"] % 4 != 0) for r in held)
+    odd = quality.score(frame(spark, corpus()), net)
+    assert odd.count() == len(corpus()) and odd.where("score is null").count() == 0
+
+
+def test_attention_gradients():
+    rng = np.random.default_rng(0)
+    bags = [rng.normal(size=(k, quality.SIZE)) for k in (1, 3, 5)]
+    net = quality.train(bags, np.array([0.0, 1.0, 1.0]), hidden=4, gates=3, epochs=1)
+    x, starts, y = np.concatenate(bags), np.array([0, 1, 4]), np.array([0.0, 1.0, 1.0])
+
+    def loss():
+        p = net.forward(x, starts)["p"]
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    for k, g in enumerate(net.gradients(x, starts, y)):
+        for at in [tuple(int(v) for v in rng.integers(0, g.shape)) for _ in range(3)]:
+            net.weights[k][at] += 1e-6
+            up = loss()
+            net.weights[k][at] -= 2e-6
+            down = loss()
+            net.weights[k][at] += 1e-6
+            assert abs((up - down) / 2e-6 - g[at]) < 1e-4
+
+
+def brute_components(rows, width):
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        sets[i] = frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
+    to = {i: i for i in sets}
+
+    def find(i):
+        while to[i] != i:
+            i = to[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if j < i and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                to[max(a, b)] = min(a, b)
+    return {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("small", [24, 0])
+def test_near_duplicates(spark, small, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL", small)
+    rng = random.Random(2)
+    rows = [(i, t) for i, t in corpus()[:-1] if i != 10]
+    for k in range(5):  # chains: each like the one before, the last unlike the first
+        words = prose(rng, 80).split()
+        for j in range(6):
+            words[rng.randrange(80)] = f"new{k}{j}"
+            rows.append((1000 + 10 * k + j, " ".join(words)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.link(frame(spark, rows), width=4)[0].collect()}
+    assert got == brute_components(rows, 4)
+
+
+def test_sketches_estimate_similarity():
+    rng = np.random.default_rng(0)
+    for common in (50, 200, 1000):
+        a = rng.integers(0, 1 << 63, 1000, np.uint64)
+        b = np.concatenate([a[:common], rng.integers(0, 1 << 63, 1000 - common, np.uint64)])
+        s = minhash.sketches([np.unique(a), np.unique(b)], 512)
+        assert abs((s[0] == s[1]).mean() - common / (2000 - common)) < 0.08
+    assert (minhash.sketches([np.array([7], np.uint64)], 64) < np.iinfo(np.uint64).max).all()
+
+
+def test_components_of_paths_and_stars(spark):
+    edges = [(i, i + 1) for i in range(0, 30)] + [(100, 100 + i) for i in range(1, 40)] + [(200, 201), (201, 200), (300, 300)]
+    got = {r["node"]: r["component"] for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(31)} | {100 + i: 100 for i in range(40)} | {200: 200, 201: 200}
+
+
+def test_keep_one_drops_repeated_rows(spark, docs):
+    kept = [r["doc_id"] for r in minhash.keep_one(docs, width=5).collect()]
+    assert len(kept) == len(set(kept)) and 4 in kept and not {5, 6, 7} & set(kept)
+
+
+def test_shingles_equal_plain_words():
+    rows = [t for _, t in corpus() if len(t or "") < 5000]
+    sets = shingles.shingle_sets(rows, 4)
+    assert [len(s) for s in sets] == [n for n, _, _ in brute_components([*enumerate(rows)], 4).values()]
+
+
+def test_licences(spark, docs):
+    found = {r["doc_id"]: [x["family"] for x in r["found"] if x["confirmed"]] for r in licences.scan(docs).collect()}
+    assert found[14] == ["apache"] and not any(v for k, v in found.items() if k != 14)
+    texts = {"Released under the MIT License.": ["mit"], "a driver license for the apache helicopter": [], "Licensed under CC BY-NC 4.0.": ["cc-by-nc"], "All rights reserved.": ["proprietary"]}
+    got = licences.scan(frame(spark, [*enumerate(texts)])).collect()
+    assert [[x["family"] for x in r["found"] if x["confirmed"]] for r in sorted(got, key=lambda r: r["doc_id"])] == list(texts.values())
+    assert "Python" not in licences.scan(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def brute_spans(x):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", x)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", x) if all(int(p) <= 255 for p in m.group().split("."))]
+    cards = [(m, re.sub("[ -]", "", m.group())) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", x)]
+    out += [("card", *m.span()) for m, d in cards if 16 <= len(d) <= 19 and pii.luhn(d)]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", x) if 8 <= len(re.findall("[0-9]", m.group())) <= 15]
+
+
+def test_base_spans():
+    rng = random.Random(0)
+    odd = ["".join(rng.choice("ab@@.1 2+-()é9.") for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    for x in [t or "" for _, t in corpus()] + odd + ["1" * 3000, "a@" * 500, "+1" + "(" * 2000]:
+        assert pii.base_spans(x) == brute_spans(x)
+
+
+def test_detection_and_redaction(spark, docs):
+    got = {r["doc_id"]: r for r in pii.detect(docs).collect()}
+    assert (got[15]["n_email"], got[15]["n_ip"], got[15]["n_card"], got[15]["n_phone"]) == (1, 1, 1, 1)
+    assert "secret" in got[15]["spans"] and got[0]["spans"] == got[10]["spans"] == ""
+    redacted = {r["doc_id"]: r for r in pii.redact(docs).collect()}
+    assert redacted[15]["text"] == "mail [EMAIL], call [PHONE] from [IP]\nno [CARD] password=[SECRET]" and redacted[15]["n_chars"] == len(redacted[15]["text"])
+    assert redacted[0]["text"] is None and redacted[8]["text"] == corpus()[8][1]
+
+
+def test_boosting_learns():
+    x = np.random.default_rng(0).normal(size=(600, 3))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    model = boosting.Boosted().fit(x[:400], y[:400]).calibrate(x[400:], y[400:])
+    assert ((model.probability(x[400:]) > 0.5) == y[400:]).mean() > 0.9
+
+
+def test_fingerprints(spark, docs):
+    got = sorted(map(tuple, merkle.edits(docs, 5).collect()), key=repr)
+    rows, want = sorted(((i, t or "") for i, t in corpus()), key=lambda r: r), []
+    for k, (i, t) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
+        edited = merkle.edited_text(t, following)
+        a, b, c = map(merkle.fingerprint, (t, edited, following))
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), a, b, merkle.likeness(a, b), merkle.likeness(a, c)))
+    assert got == sorted(want, key=repr)
+    assert merkle.edits(docs.where("doc_id = 8"), 3).first()["near_next"] == 1.0
+
+
+def test_fingerprints_locate_edits():
+    lines = [f"paragraph {i} says {i * i}" for i in range(40)]
+    a = merkle.fingerprint("\n".join(lines))
+    lines[17] = "edited"
+    b = merkle.fingerprint("\n".join(lines))
+    assert a[:64] != b[:64] and len(merkle.differences(a, b)) == 1 and not merkle.differences(a, a) and 0.9 < merkle.likeness(a, b) < 1
+
+
+def test_mixing(spark):
+    rng = random.Random(4)
+    sizes = {"a": 300, "b": 20, "c": 10, None: 200}
+    rows = [(i, prose(rng, rng.randint(1, 40)), s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))] + [(10**6, None, "a"), (10**6 + 1, "", "empty")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(d).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.mix(d).collect()), key=repr)
+    words = Counter()
+    for _, t, s in rows:
+        words[s] += len((t or "").split())
+    order = sorted((s for s in words if s is not None)) + [None]
+    weight, fixed = {s: k % 3 + 1 for k, s in enumerate(order)}, {}
+    while True:  # shares by weight; those above three times their size stop there, the excess is shared again
+        rest = [s for s in order if s not in fixed]
+        level = (sum(words.values()) - sum(fixed.values())) / sum(weight[s] for s in rest)
+        over = [s for s in rest if level * weight[s] > 3 * words[s]]
+        if not over:
+            break
+        fixed |= {s: 3 * words[s] for s in over}
+    goal = {s: fixed.get(s, level * weight[s]) for s in order}
+    taken, longest = Counter(), Counter()
+    for r in got:
+        assert r["source_size"] == words[r["source"]] and abs(r["target"] - goal[r["source"]]) < 1e-6 and 0 <= r["copies"] <= 3
+        taken[r["source"]] += r["copies"] * r["size"]
+        longest[r["source"]] = max(longest[r["source"]], r["size"])
+    assert fixed and all(abs(taken[s] - goal[s]) <= longest[s] for s in order)
+
+
+def test_warc_round_trip(spark):
+    html = ["<p>a</p>", None, "", "<p>a</p>", "é😀" * 1000, "x" * 3_000_000, "<p>a</p>"]
+    rows = spark.createDataFrame([(i, None if i == 2 else f"http://x/{i}\n", bytearray((h or "").encode())) for i, h in enumerate(html)] + [(0, "again", bytearray(b"<p>a</p>")), (None, "u", bytearray(b"<p>a</p>"))], "id long, url string, payload binary")
+    back = warc.read(warc.write(warc.classify(rows), segment_bytes=1 << 12)).collect()
+    kinds = Counter((r["id"], r["record_type"], r["refers_to"]) for r in back)
+    assert kinds == Counter({(0, "response", None): 2, (1, "response", None): 1, (2, "revisit", 1): 1, (3, "revisit", 0): 1, (4, "response", None): 1, (5, "response", None): 1, (6, "revisit", 0): 1, (None, "revisit", 0): 1})
+    for r in back:
+        payload = (html[r["id"]] or "").encode() if r["id"] is not None else b"<p>a</p>"
+        assert r["payload_bytes"] == len(payload) and r["payload_digest"] == base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        assert r["payload"] is None or bytes(r["payload"]) == payload
+    large = warc.classify(rows, min_bytes=9)
+    assert large.where("record_type = 'revisit'").count() == 0
+
+
+def test_warc_reader_finds_damage():
+    one = warc.record(1, "u", b"payload", "response", None)
+    assert [warc.page_of(*r)["payload"] for r in warc.records(warc.reader_of(one * 3))] == [b"payload"] * 3
+    with pytest.raises(ValueError):
+        list(warc.records(warc.reader_of(one[:-10])))
+    raw = zlib.decompress(one, 31)
+    for broken in (raw.replace(b"payload\r\n\r\n", b"pAyload\r\n\r\n"), raw.replace(b"Content-Length: 7", b"Content-Length: 8"), raw[:-4]):
+        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+        with pytest.raises((ValueError, StopIteration)):
+            [warc.page_of(*r) for r in warc.records(warc.reader_of(packer.compress(broken) + packer.flush()))]
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs, sizes = spark.read.parquet(f"{SF}/documents.parquet"), []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF).cache()
+        sizes.append(out.count())
+        if k < 4:
+            assert out.columns == docs.columns, name
+        if name == "near-duplicates":
+            groups = brute_components([(r["doc_id"], r["text"]) for r in docs.collect()], 5)
+            assert {r["doc_id"] for r in out.collect()} == {i for i, (_, _, kept) in groups.items() if kept}
+        if name == "personal data":
+            assert not any(pii.base_spans(r["text"]) for r in out.collect())
+        docs = out
+    assert sizes[0] < 200 and all(sizes) and corpus_pipeline.run(spark, SF).count() == sizes[-1]
