@@ -22,7 +22,7 @@ LEAST_QUALITY = 0.3
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, net).where(F.col("score") >= LEAST_QUALITY).drop("score")
+    return quality.score(docs, net, "_score").where(F.col("_score") >= LEAST_QUALITY).drop("_score")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +35,10 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it; ``copies`` are of rows, so texts move by id and not by range."""
-    copies = mixing.mix(docs).where("copies > 0").select("doc_id", "copies")
-    taken = docs.join(copies, "doc_id")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """Each document as many times as the mix takes it; texts move once, by id. Rows that repeat an id each count as its most taken one."""
+    copies = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies"))
+    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
