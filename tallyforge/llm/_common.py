@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Iterator
@@ -37,7 +38,26 @@ def cut(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # What the lineage held is garbage now; once the driver collects it, Spark deletes its shuffle files.
+    del df
+    gc.collect()
+    sc._jvm.System.gc()
+    return out
+
+
+def cut_by(df: DataFrame, n: int, key: str) -> DataFrame:
+    """``cut`` of ``df`` dealt by ``key`` to n partitions and sorted there, such that later joins on the key need no other exchange of it.
+
+    Only a plan that adaptive execution doesn't change tells its partitioning, so that is off while this one is written.
+    """
+    conf = df.sparkSession.conf
+    was = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(n, key).sortWithinPartitions(key))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", was)
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:

@@ -28,43 +28,46 @@ copies of each other; an empty table gives none; other columns go.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import batch_of, cut, ddl, partitions, pieces, ship, table, texts
+from ._common import batch_of, cut, cut_by, ddl, partitions, pieces, ship, table, texts
 from .shingles import _inverse_powers, mix
 
-LENGTH, K, W = 400, 32, 80
-SYMBOL = 50
-#: Distinct segments of a key up to which it is left to the merged transforms, and bytes of text in a shard.
-MOST, SHARD = 256, 1 << 18
+LENGTH, K, W = 400, 28, 92
+SYMBOL = 100
+#: Distinct segments of a key up to which it is left to the merged transforms, and bytes of text that are merged together:
+#: so few that ranks have 16 bits, which sort by radix.
+MOST, SHARD = 100, 60_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+_WORDS = np.random.default_rng(1).integers(0, 1 << 64, 256, np.uint64)
+
+
 class Hashes:
     """Hashes of all substrings of a text, by prefix sums of two polynomials."""
 
     def __init__(self, data: np.ndarray):
         up, self.down = _inverse_powers(len(data) + 1)
         x = data.astype(np.uint64) + np.uint64(1)
+        self.data = data
         self.one = np.concatenate([[np.uint64(0)], np.cumsum(x * up[: len(x)], dtype=np.uint64)])
-        self.x, self.up, self.two = x, up, None
+        self.up, self.two = up, None
 
     def of(self, at: np.ndarray, size) -> np.ndarray:
         return mix((self.one[at + size] - self.one[at]) * self.down[at] + np.asarray(size).astype(np.uint64))
 
     def other(self, at: np.ndarray, size) -> np.ndarray:
-        """An independent hash: of the mixed bytes in pairs."""
+        """An independent hash: of a random word for each byte."""
         if self.two is None:
-            pairs = self.x.copy()
-            pairs[:-1] += self.x[1:] << np.uint64(9)
-            self.two = np.concatenate([[np.uint64(0)], np.cumsum(mix(pairs * _B) * self.up[: len(pairs)], dtype=np.uint64)])
-        return mix((self.two[at + size - 1] - self.two[at]) * self.down[at] + _A)
+            self.two = np.concatenate([[np.uint64(0)], np.cumsum(_WORDS[self.data] * self.up[: len(self.data)], dtype=np.uint64)])
+        return mix((self.two[at + size] - self.two[at]) * self.down[at] + _A)
 
 
 def _sliding(x: np.ndarray, w: int, op: np.ufunc, fill) -> np.ndarray:
@@ -85,6 +88,16 @@ def anchors(h: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero(_sliding(padded, w, np.maximum, 0) == h)
 
 
+def candidates(size: int, once: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Whether each window start of a text of ``size`` bytes remains, given positions of its anchors that occur once."""
+    n = size - length + 1
+    change = np.zeros(n + 1, np.int32)
+    lo, hi = np.clip(once - (length - K - W + 1), 0, n), np.clip(once - (W - 1) + 1, 0, n)
+    np.add.at(change, lo, 1)
+    np.add.at(change, np.maximum(hi, lo), -1)
+    return np.cumsum(change[:-1]) == 0
+
+
 class Text:
     """A text of at least ``length`` bytes with its anchors."""
 
@@ -95,15 +108,6 @@ class Text:
         self.at = anchors(h, W)
         self.h = h[self.at]
 
-    def candidates(self, once: np.ndarray) -> np.ndarray:
-        """Whether each window start remains, given positions of anchors that occur once."""
-        n = len(self.raw) - self.length + 1
-        change = np.zeros(n + 1, np.int32)
-        lo, hi = np.clip(once - (self.length - K - W + 1), 0, n), np.clip(once - (W - 1) + 1, 0, n)
-        np.add.at(change, lo, 1)
-        np.add.at(change, np.maximum(hi, lo), -1)
-        return np.cumsum(change[:-1]) == 0
-
     def segments(self, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(key, first start, starts, hash, hash) of the segments of candidate starts ``ok``."""
         starts = np.flatnonzero(ok)
@@ -121,6 +125,11 @@ class Text:
         return key, a, count, mix(self.hashes.of(a, size) + where), mix(self.hashes.other(a, size) + where * _B)
 
 
+def _width(n: int) -> type:
+    """The narrowest unsigned type for numbers below n."""
+    return np.uint16 if n <= 1 << 16 else np.uint32 if n <= 1 << 32 else np.uint64
+
+
 class Transform:
     """A transform of a collection of strings of symbols: suffix order, preceding symbols (0: none), strings."""
 
@@ -133,21 +142,23 @@ class Transform:
 
         Ends rank below all symbols, by string; ranks of 1, 2, 4... symbols are doubled until all differ.
         """
-        n = len(symbols)
-        rank = symbols + len(ends)
-        rank[ends] = np.arange(len(ends))
-        _, rank = np.unique(rank, return_inverse=True)
+        n, s = len(symbols), len(ends)
+        small = _width(n + s + 1)
+        rank = symbols + s
+        rank[ends] = np.arange(s)
+        order = np.argsort(rank.astype(_width(int(rank.max()) + 1)), kind="stable")
+        new = np.concatenate([[False], np.diff(rank[order]) != 0])
         h = 1
         while True:
-            after = np.zeros(n, np.int64)
-            after[: n - h] = rank[h:] + 1 if h < n else 0
-            values, new = np.unique(rank.astype(np.int64) * (n + 1) + after, return_inverse=True)
-            done = len(values) == n
-            rank, h = new, 2 * h
-            if done or h > n:
+            rank = np.empty(n, small)
+            rank[order] = np.cumsum(new)
+            if int(rank[order[-1]]) == n - 1 or h > n:
                 break
-        order = np.empty(n, np.int64)
-        order[rank] = np.arange(n)
+            after = np.zeros(n, small)
+            after[: n - h] = rank[h:] + small(1)
+            order = np.lexsort((after, rank))
+            new = np.concatenate([[False], (np.diff(rank[order]) != 0) | (np.diff(after[order]) != 0)])
+            h *= 2
         before = np.where(order > 0, symbols[order - 1], 0)
         return cls(order, before, len(ends))
 
@@ -163,8 +174,9 @@ def merge(a: Transform, b: Transform, depth: int) -> tuple[Transform, np.ndarray
     found[0] = True
     common[0] = 0
     ends = np.concatenate([np.zeros(a.strings, np.int8), np.ones(b.strings, np.int8)])
+    small = _width(int(max(a.before.max(initial=0), b.before.max(initial=0))) + 1)
     for h in range(depth):
-        symbol = np.empty(n, a.before.dtype)
+        symbol = np.empty(n, small)
         symbol[source == 0], symbol[source == 1] = a.before, b.before
         order = np.argsort(symbol, kind="stable")[s:]  # those with a symbol before them; the rest begin strings
         source = np.concatenate([ends, source[order]])
@@ -219,6 +231,10 @@ def repeated_windows(raws: list[bytes], length: int = LENGTH, shards: int = 2) -
     return [flat[offset[i] : offset[i + 1]] for i in range(len(raws))]
 
 
+def _unpacked(packed: pa.Scalar) -> bytes:
+    return zstandard.decompress(packed.as_py())
+
+
 def _longs(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
@@ -249,19 +265,20 @@ def removed_windows(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, D
     n = partitions(docs, 2 * spark.sparkContext.defaultParallelism)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in pieces(batches):
             raw = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             uid = [int.from_bytes(hashlib.blake2b(b"%d " % (-1 if i is None else i) + x, digest_size=8).digest(), "little", signed=True) for i, x in zip(batch.column(0).to_pylist(), raw, strict=True)]
-            yield batch_of(_ROWS, uid=uid, doc_id=batch.column(0), n=[len(x) for x in raw], packed=[zlib.compress(x, 1) for x in raw])
+            yield batch_of(_ROWS, uid=uid, doc_id=batch.column(0), n=[len(x) for x in raw], packed=[packer.compress(x) for x in raw])
 
-    rows = cut(texts(docs).mapInArrow(pack, ddl(_ROWS)).repartition(n, "uid"))
+    rows = cut_by(texts(docs).mapInArrow(pack, ddl(_ROWS)), n, "uid")
     long = rows.where(F.col("n") >= length)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
                 for uid, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    t = Text(zlib.decompress(packed.as_py()), length)
+                    t = Text(_unpacked(packed), length)
                     yield batch_of(_ANCHORS, h=_longs(t.h), uid=np.full(len(t.at), uid), at=t.at.astype(np.int32))
 
     found = long.select("uid", "packed").mapInArrow(lambda b: _joined(find(b), _ANCHORS), ddl(_ANCHORS))
@@ -273,8 +290,11 @@ def removed_windows(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, D
         with np.errstate(over="ignore"):
             for batch in batches:
                 for uid, packed, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                    t = Text(zlib.decompress(packed.as_py()), length)
-                    key, a, count, s0, s1 = t.segments(t.candidates(np.array(at.as_py() or [], np.int64)))
+                    raw = _unpacked(packed)
+                    ok = candidates(len(raw), np.array(at.as_py() or [], np.int64), length)
+                    if not ok.any():
+                        continue
+                    key, a, count, s0, s1 = Text(raw, length).segments(ok)
                     yield batch_of(_SEGMENTS, key=_longs(key), s0=_longs(s0), s1=_longs(s1), uid=np.full(len(a), uid), a=a.astype(np.int32), count=count.astype(np.int32))
 
     segments = with_once.mapInArrow(lambda b: _joined(cut_up(b), _SEGMENTS), ddl(_SEGMENTS))
@@ -291,7 +311,7 @@ def removed_windows(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, D
         with np.errstate(over="ignore"):
             for batch in batches:
                 for uid, packed, *lists in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
-                    raw = zlib.decompress(packed.as_py())
+                    raw = _unpacked(packed)
                     hashes = Hashes(np.frombuffer(raw, np.uint8))
                     out: dict[str, list] = {f.name: [] for f in _TEXTS}
                     for key, ac, times, hot in zip(*(x.as_py() for x in lists), strict=True):
@@ -310,7 +330,7 @@ def removed_windows(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, D
     single = single.select("uid", "a", (F.col("a") + 1).alias("b"))
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
+        held, group = [], []
 
         def solve() -> pa.RecordBatch:
             keep: dict[str, list] = {"uid": [], "a": [], "b": []}
@@ -322,13 +342,17 @@ def removed_windows(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, D
                                 keep[k].append(v)
             return batch_of(_KEEPS, **keep)
 
+        weight = lambda rows: sum(len(x[4]) for x in rows)
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != last and size >= SHARD:
-                    yield solve()
-                    held, size = [], 0
-                held.append(row)
-                size, last = size + len(row[4]), row[0]
+                if group and row[0] != group[0][0]:
+                    if held and weight(held) + weight(group) > SHARD:
+                        yield solve()
+                        held.clear()
+                    held += group
+                    group = []
+                group.append(row)
+        held += group
         if held:
             yield solve()
 
@@ -362,10 +386,10 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, with_text: bool = False)
             for batch in batches:
                 out: dict[str, list] = {f.name: [] for f in schema}
                 for doc, n, packed, at, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[2:], strict=True):
-                    raw = zlib.decompress(packed.as_py())
+                    raw = _unpacked(packed)
                     gone = np.zeros(n, bool)
                     if n >= length:
-                        ok = Text(raw, length).candidates(np.array(at.as_py() or [], np.int64))
+                        ok = candidates(n, np.array(at.as_py() or [], np.int64), length)
                         for i, j in zip(a.as_py() or [], b.as_py() or [], strict=True):
                             ok[i:j] = False
                         change = np.zeros(n + 1, np.int32)
