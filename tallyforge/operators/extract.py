@@ -384,8 +384,11 @@ _ANCHOR = r"bayar ke|bayar kepada|payment to|pembayaran ke|merchant|nama toko|na
 _SKIP = r"^\s*([0-9:.,\s]+(wib|wita|wit|am|pm)?|[-–—]?\s*(?:rp|idr)\.?\s*[0-9.,o]+|[0-9.,]+\s*(?:kb/?s|kbis|mb/?s|mbps|%)|qris|qr\s+bayar|qr\s*code|pembayaran\s*(?:berhasil|qr)?|transaksi\s*berhasil|transaction\s*details?|rincian.*)\s*$"
 
 
-def features(lines: Column, qr: Column) -> Column:
-    """What each line holds: itself, repaired and in lower case; its amounts and their rank; whether it names a merchant and which; qr: a compact QR text."""
+def features(lines: Column, qr: Column, screen: Column) -> Column:
+    """What each line holds: itself, repaired and in lower case; its amounts and their rank; whether it names a merchant and which.
+
+    qr: a compact QR text; screen: a payment screen. Fields that only receipts or only screens need are null for the other.
+    """
     rupiah = r"(?i)(?:rp\.?|idr)\s*([0-9oilsb][0-9oilsb.,\s]*)"
     large = lambda found: F.filter(F.transform(found, lambda r: money.token(r, F.lit(True), qr)), lambda v: v.between(1000, 1e9))
 
@@ -396,9 +399,9 @@ def features(lines: Column, qr: Column) -> Column:
             inline = F.when(raw.rlike(p), F.regexp_extract(raw, p, 1)).otherwise(inline)
         way = F.when(raw.rlike(_WITHIN[0]), 1).when(raw.rlike(_WITHIN[1]), 2).when(raw.rlike(_WITHIN[2]), 3).when(raw.rlike(_WITHIN[3]), 4).otherwise(0)
         return F.struct(
-            raw.alias("raw"), norm.alias("norm"), low.alias("low"), F.lower(t).alias("tlow"), tier(low).alias("tier"), amounts(norm).alias("values"), large(F.regexp_extract_all(t, F.lit(rupiah), 1)).alias("rupiah"),
-            large(F.regexp_extract_all(t, F.lit(r"\b([0-9]{1,3}(?:[.,][0-9]{3})+)\b"), 1)).alias("grouped"), item_line(raw).alias("item"), bad_merchant(raw).alias("bad"), _good(raw).alias("good"), canonical(raw).alias("name"), is_known(raw).alias("known"),
-            low.rlike(r"[-–—]?\s*(rp|idr)\.?\s*[0-9.,oilsb]+").alias("money"), ((F.trim(raw) == "") | F.lower(F.trim(raw)).isin(*LABELS) | raw.rlike(REF) | low.rlike(_LABEL)).alias("label"), way.alias("way"), _good(inline).alias("inline"),
+            raw.alias("raw"), norm.alias("norm"), low.alias("low"), F.lower(t).alias("tlow"), tier(low).alias("tier"), F.when(~screen, amounts(norm)).alias("values"), F.when(screen, large(F.regexp_extract_all(t, F.lit(rupiah), 1))).alias("rupiah"),
+            F.when(screen, large(F.regexp_extract_all(t, F.lit(r"\b([0-9]{1,3}(?:[.,][0-9]{3})+)\b"), 1))).alias("grouped"), item_line(raw).alias("item"), bad_merchant(raw).alias("bad"), F.when(screen, _good(raw)).alias("good"), F.when(~screen, canonical(raw)).alias("name"), F.when(~screen, is_known(raw)).alias("known"),
+            low.rlike(r"[-–—]?\s*(rp|idr)\.?\s*[0-9.,oilsb]+").alias("money"), ((F.trim(raw) == "") | F.lower(F.trim(raw)).isin(*LABELS) | raw.rlike(REF) | low.rlike(_LABEL)).alias("label"), way.alias("way"), F.when(screen & (way > 0), _good(inline)).alias("inline"),
         )
 
     basic = F.transform(F.coalesce(lines, F.array().cast("array<string>")), lambda x: F.struct(x.alias("raw"), fixed_digits(x).alias("norm"), F.lower(fixed_digits(x)).alias("low"), fixed_digits(trimmed_amount(x)).alias("t")))
@@ -437,7 +440,8 @@ def extract(documents: DataFrame, lines: str = "lines", by: Callable[[Column], C
 
     of = F.coalesce(F.col(lines), F.array().cast("array<string>"))
     qr = F.lower(F.array_join(of, "\n")).rlike("qr bayar|pembayaran qr")
-    read = documents.withColumns({"document_type": document_type(of), "_q": qr}).withColumns({"_f": features(of, F.col("_q")), "_r": by(of)})
+    read = documents.withColumns({"document_type": document_type(of), "_q": qr}).withColumn("_r", by(of))
+    read = read.withColumn("_f", features(of, F.col("_q"), F.col("_r.route") == "screenshot"))
     f, kind, screen = F.col("_f"), F.col("document_type"), F.col("_r.route") == "screenshot"
     read = read.withColumns({
         "_m": F.when(screen, screen_merchant(f, kind)).otherwise(receipt_merchant(f)), "_a": F.when(screen, screen_amount(f, kind)).otherwise(receipt_amount(f)), "_d": best_date(f),
