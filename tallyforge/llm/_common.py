@@ -70,7 +70,7 @@ def partitions(df: DataFrame, at_least: int = 1) -> int:
     return max(at_least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about ``size`` bytes of ``column``, one row at least: a bound on scratch memory."""
     for batch in batches:
         n = batch.num_rows
