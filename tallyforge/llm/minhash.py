@@ -11,9 +11,11 @@ coordinates make a band; documents that agree on a band are candidates.
 3. Each member's candidate that most bands agree on is verified on the full sets, recomputed from the texts: exact. Of
    its others, only those are verified that still lie in different components.
 4. Components by alternating large-star and small-star steps over the links, until nothing changes.
-5. The rest: buckets whose members still lie in different components. Small ones give their pairs across components;
-   larger ones are dealt again by pairs of bands, where similar documents still meet (with 4 rows and 32 bands a pair of
-   similarity 0.8 shares one band but no second with a chance of 1e-6), and are linked as in step 2. These are verified and joined in.
+5. The rest: buckets whose members still lie in different components. In large ones the members that meet the most others
+   are tried first, as in step 2, and leave their buckets, for ``PIVOTS`` rounds. Then every pair across components is
+   verified: each member outside a bucket's largest component with all members of other components. So each two documents
+   that agree on a band are verified or were linked by others before; the pairs grow with the square of a bucket only as
+   far as its members are unlike the pivots.
 
 A pair of similarity 0.8 misses every band with a chance of 5e-8, one of 0.9 of 1e-15. Groups of equal texts meet in map-side
 combined aggregations; group and text joins are left to adaptive execution to split. Links stay distributed throughout.
@@ -37,8 +39,10 @@ from .shingles import mix, shingle_sets
 
 FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.string()), ("bands", pa.list_(pa.int64()))])
 VERIFIED = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-#: Buckets of up to so many distinct texts give all their pairs across components in step 5; larger ones are dealt again.
+#: Buckets of up to so many distinct texts go to the last part of step 5 at once.
 SMALL = 24
+#: Pivots of a large bucket in each round of step 5 before the last.
+PIVOTS = (1, 8)
 
 
 def sketches(sets: list[np.ndarray], bins: int) -> np.ndarray:
@@ -141,15 +145,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _stars(buckets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, x, m): in each bucket (h, id, n), its first member by a hash of the id with every other x whose size allows the threshold; m buckets agree.
-
-    Where buckets have components (c), only with those of others.
-    """
-    pivot = buckets.groupBy("h").agg(F.min(F.struct(F.xxhash64("id").alias("o"), F.col("id").alias("p"), F.col("n").alias("pn"), *([F.col("c").alias("pc")] if "c" in buckets.columns else []))).alias("s"))
-    pivot = pivot.select("h", "s.*").drop("o")
+    """(a, b, x, m): in each bucket (h, id, n), its first member by a hash of the id with every other x whose size allows the threshold; m buckets agree."""
+    pivot = buckets.groupBy("h").agg(F.min(F.struct(F.xxhash64("id").alias("o"), F.col("id").alias("p"), F.col("n").alias("pn"))).alias("s"))
+    pivot = pivot.select("h", "s.p", "s.pn")
     fits = (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")) & (F.col("id") != F.col("p"))
-    if "c" in buckets.columns:
-        fits = fits & (F.col("c") != F.col("pc"))
     found = buckets.join(pivot, "h").where(fits)
     return found.groupBy(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"), F.col("id").alias("x")).agg(F.count(F.lit(1)).alias("m"))
 
@@ -165,6 +164,28 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return _labelled(_labelled(pairs.select("a", "b"), comps, "a", "ca"), comps, "b", "cb").where("ca <> cb").select("a", "b").distinct()
 
 
+def _open(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """The buckets (h, id, n, m) whose members lie in different components, with each member's component c and its bucket's largest one, main."""
+    placed = _labelled(buckets.select("h", "id", "n", "m"), comps, "id", "c")
+    held = placed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"))
+    main = held.groupBy("h").agg(F.count(F.lit(1)).alias("cs"), F.max(F.struct("k", "c")).alias("s")).where("cs > 1").select("h", F.col("s.c").alias("main"))
+    return cut(placed.join(main, "h"))
+
+
+def _pivots(buckets: DataFrame, slots: int) -> DataFrame:
+    """Up to ``slots`` members of each bucket: those that meet the most others over all of ``buckets``, as the centre of a star does."""
+    met = buckets.groupBy("id").agg(F.sum("m").alias("d"))
+    best = buckets.join(met, "id").groupBy("h", F.pmod(F.xxhash64("id"), F.lit(slots)).alias("slot")).agg(F.max(F.struct("d", "id", "n", "c", "main")).alias("p"))
+    return cut(best.select("h", "p.*"))
+
+
+def _across(pivots: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
+    """The distinct (a, b) of a pivot and a member of its bucket in another component whose sizes allow the threshold."""
+    x = pivots.select("h", *[F.col(k).alias(f"{k}_x") for k in ("id", "n", "c")])
+    fits = (F.col("c") != F.col("c_x")) & (100 * F.least("n", "n_x") >= percent * F.greatest("n", "n_x"))
+    return buckets.join(x, "h").where(fits).select(F.least("id", "id_x").alias("a"), F.greatest("id", "id_x").alias("b")).distinct()
+
+
 def link(docs: DataFrame, width: int = 5, percent: int = 80, bins: int = 128, rows: int = 4) -> tuple[DataFrame, DataFrame]:
     """(membership, links): doc_id, n_shingles, component_id, kept per row of ``docs``; verified links (a, b) between distinct texts."""
     feats = cut(features(docs, width, bins, rows))
@@ -182,22 +203,24 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, bins: int = 128, ro
     left = cut(_apart(pairs, comps).join(likeliest, ["a", "b"], "left_anti"))
     links = links.unionByName(cut(verify(left, one_text, width, percent)))
     comps = components(links)
-    # What the stars left apart.
-    placed = cut(_labelled(buckets, comps, "id", "c"))
-    apart = placed.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("h")
-    rest = placed.join(apart, "h")
-    x, y = (rest.where(F.col("m") <= SMALL).select("h", *[F.col(k).alias(f"{k}_{side}") for k in ("id", "n", "c")]) for side in "xy")
-    fits = (F.col("id_x") < F.col("id_y")) & (F.col("c_x") != F.col("c_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
-    small = x.join(y, "h").where(fits).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
-    large = rest.where(F.col("m") > SMALL).select("h", "id", "n", "c")
-    again = large.join(reps.select("id", "bands"), "id").select("id", "n", "c", "h", F.explode("bands").alias("g")).where("g <> h")
-    again = again.select("id", "n", "c", F.xxhash64(F.least("g", "h"), F.greatest("g", "h")).alias("h")).distinct()
-    open_ = again.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("h")
-    more = small.unionByName(_stars(again.join(open_, "h"), percent).select("a", "b")).distinct().join(pairs.select("a", "b").distinct(), ["a", "b"], "left_anti")
-    found = cut(verify(cut(more), one_text, width, percent))
-    if not found.isEmpty():
-        links = links.unionByName(found)
-        comps = components(links)
+    # What the stars left apart: a few pivots of large buckets first, then every pair across components.
+    tried = pairs.select("a", "b").distinct()
+    rest = _open(buckets, comps)
+    for slots in (*PIVOTS, 0):
+        pool = rest.where(F.col("m") > SMALL) if slots else rest
+        pivots = _pivots(pool, slots) if slots else pool.where("c <> main")
+        more = cut(_across(pivots, pool, percent).join(tried, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            continue
+        found = cut(verify(more, one_text, width, percent))
+        tried = tried.unionByName(more)
+        if slots:
+            rest = rest.join(pivots.select("h", "id"), ["h", "id"], "left_anti")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            comps = components(links)
+        if slots:
+            rest = _open(rest, comps)
     to = sets.select("digest", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("c"))
     many = sets.select("digest", "copies").join(to, "digest").join(sets.select("digest", "id"), "digest").where("copies > 1 or c <> id").select("digest", "c")
     out = feats.select("doc_id", "n_shingles", "digest").join(many, "digest", "left")

@@ -221,6 +221,37 @@ def test_near_duplicates(spark, small, monkeypatch):
     assert got == brute_components(rows, 4)
 
 
+def test_copies_of_one_text_unlike_each_other(spark):
+    rng = random.Random(8)
+    base, n = prose(rng, 200).split(), 250
+    ids = [r["id"] for r in spark.range(n).orderBy(F.xxhash64("id")).collect()]  # the original is the last that a hash would pick
+    rows = [(ids[-1], " ".join(base))]
+    for i in ids[:-1]:
+        words = list(base)
+        for k in range(4):
+            words[50 * k + rng.randint(4, 45)] = f"new{i}x{k}"
+        rows.append((i, " ".join(words)))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.link(frame(spark, rows), width=4)[0].collect()}
+    assert got == dict.fromkeys(ids, 0)
+
+
+@pytest.mark.parametrize("pivots", [(), (1, 8)])
+def test_two_likes_in_a_large_bucket_of_unlikes(spark, pivots, monkeypatch):
+    monkeypatch.setattr(minhash, "PIVOTS", pivots)
+    monkeypatch.setattr(minhash, "SMALL", 4)
+    rng = random.Random(9)
+    base, rows = prose(rng, 200).split(), []
+    for i in range(40):  # 0.6 to each other, but each even one is like the next
+        if i % 2 == 0:
+            words = list(base)
+            for k in range(6):
+                words[33 * k + rng.randint(4, 28)] = f"new{i}x{k}"
+        words = [*words[:-1], f"end{i}"]
+        rows.append((i, " ".join(words)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.link(frame(spark, rows), width=4)[0].collect()}
+    assert got == brute_components(rows, 4) and len({c for _, c, _ in got.values()}) == 20
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(0)
     for common in (50, 200, 1000):
