@@ -6,8 +6,8 @@ and misleading paragraphs; a temperature fitted on held-out variants calibrates
 its probability reaches ``LEAST`` and is confirmed if the paragraph holds enough of the 2-grams of a template of that family.
 
 On the main path a paragraph (a line) is split by built-in functions, its n-grams are looked up in a folded literal map of
-weights and summed by higher-order functions: one pass, no shuffle, no Python. Documents without any word stem on which
-a family depends can hold no licence and are told by one pattern first; that skips work, never a match.
+weights and summed by higher-order functions: one pass, no shuffle, no Python. Only n-grams that the model knows are looked
+up, as all others weigh nothing; a paragraph without any has the bias alone, which tells ``unknown``, and is passed over.
 
 Defined results: null and empty texts have no paragraph and no licence; repeated rows each give their own; an empty
 table gives no row; other columns go.
@@ -49,7 +49,7 @@ MISLEADING = [
     "under the version of the law", "the license plate of the car", "cc the manager by mail", "all reserved seats were sold", "the unlicensed vendor was fined", "by the sea", "an mit professor spoke", "gnu herds cross the plain",
 ]
 FAMILIES = [*TEMPLATES, "unknown"]
-#: Every template has one of these stems.
+#: Every template has one of these stems; only the SQL of ``oracle`` still narrows documents by them.
 STEMS = "licen|gpl|cc0|mpl|public domain|rights reserved|copyright|redistribution|permission|proprietary|unencumbered"
 _WORD = "[a-z0-9][a-z0-9.+/-]*[a-z0-9]|[a-z0-9]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -114,16 +114,19 @@ def scan(docs: DataFrame) -> DataFrame:
     table_ = F.map_from_arrays(F.lit(list(weights)), F.array(*[F.lit(v) for v in weights.values()]))
     zero = F.array(*[F.lit(0.0) for _ in FAMILIES])
 
-    def scored(words: Column) -> Column:
+    def known(words: Column) -> Column:
         pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
-        known = F.array_distinct(F.concat(words, F.filter(pairs, lambda p: p.isNotNull())))
-        total = F.aggregate(known, F.array(*[F.lit(v) for v in bias]), lambda acc, g: F.zip_with(acc, F.coalesce(F.element_at(table_, g), zero), lambda s, v: s + v))
-        return F.struct(total.alias("z"), known.alias("known"))
+        return F.array_intersect(F.concat(words, F.filter(pairs, lambda p: p.isNotNull())), F.lit(list(weights)))
 
-    cued = F.coalesce(F.translate(F.col("text"), _UPPER, _LOWER).rlike(STEMS), F.lit(False))
-    lines = F.when(cued, paragraphs(F.col("text"))).otherwise(F.array().cast("array<array<string>>"))
+    def scored(grams_: Column) -> Column:
+        total = F.aggregate(grams_, F.array(*[F.lit(v) for v in bias]), lambda acc, g: F.zip_with(acc, F.coalesce(F.element_at(table_, g), zero), lambda s, v: s + v))
+        return F.struct(total.alias("z"), grams_.alias("known"))
+
+    lines = F.when(F.length("text") > 0, paragraphs(F.col("text"))).otherwise(F.array().cast("array<array<string>>"))
     numbered = F.transform(lines, lambda w, i: F.struct(i.alias("paragraph"), w.alias("words")))
-    out = docs.select("doc_id", F.transform(numbered, lambda p: F.struct(p["paragraph"].alias("paragraph"), scored(p["words"]).alias("s"))).alias("p"))
+    told = F.transform(numbered, lambda p: F.struct(p["paragraph"].alias("paragraph"), known(p["words"]).alias("known")))
+    told = F.filter(told, lambda p: F.size(p["known"]) > 0)
+    out = docs.select("doc_id", F.transform(told, lambda p: F.struct(p["paragraph"].alias("paragraph"), scored(p["known"]).alias("s"))).alias("p"))
 
     def judged(p: Column) -> Column:
         z = p["s"]["z"]

@@ -288,6 +288,16 @@ def test_licences(spark, docs):
     assert "Python" not in licences.scan(docs)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_licences_without_a_stem(spark):
+    texts = ["Released under CC BY-SA 4.0", "under CC BY-NC 4.0", "This work is under a Creative Commons Attribution-NonCommercial 4.0 International", "nothing of the kind", "", None]
+    rows = [*enumerate(texts), *((i + 10, f"{t}\nThe licensing office is closed.") for i, t in enumerate(texts[:3]))]
+    got = {r["doc_id"]: [x["family"] for x in r["found"] if x["paragraph"] == 0 and x["confirmed"]] for r in licences.scan(frame(spark, rows)).collect()}
+    assert [got[i] for i in range(6)] == [["cc-by-sa"], ["cc-by-nc"], ["cc-by-nc"], [], [], []]
+    assert all(got[i] == got[i + 10] for i in range(3))
+    bias = licences.model()[1]
+    assert bias.index(max(bias)) == licences.FAMILIES.index("unknown")
+
+
 def brute_spans(x):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", x)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", x) if all(int(p) <= 255 for p in m.group().split("."))]
