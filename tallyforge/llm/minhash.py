@@ -11,13 +11,14 @@ coordinates make a band; documents that agree on a band are candidates.
 3. Each member's candidate that most bands agree on is verified on the full sets, recomputed from the texts: exact. Of
    its others, only those are verified that still lie in different components.
 4. Components by alternating large-star and small-star steps over the links, until nothing changes.
-5. The rest: buckets whose members still lie in different components. In large ones the members that meet the most others
-   are tried first, as in step 2, and leave their buckets, for ``PIVOTS`` rounds. Then every pair across components is
-   verified: each member outside a bucket's largest component with all members of other components. So each two documents
-   that agree on a band are verified or were linked by others before; the pairs grow with the square of a bucket only as
-   far as its members are unlike the pivots.
-
-A pair of similarity 0.8 misses every band with a chance of 5e-8, one of 0.9 of 1e-15. Groups of equal texts meet in map-side
+5. The rest: buckets whose members still lie in different components, as those of many copies that are unlike each other. Every
+   pair across components is a candidate, once, in the least bucket it shares. Before texts are read, ``LONG`` further
+   coordinates of both, one bit of each, must agree as often as those of a pair at the threshold do, less ``SLACK`` standard
+   deviations; exact verification follows. Pairs that agree as often as expected go first, for their links join components
+   and so leave fewer pairs for the second round, which takes all others. No pivot, cap or bound on a bucket's size decides.
+
+A pair of similarity 0.8 misses every band with a chance of 5e-8, one of 0.9 of 1e-15; it misses the bits with one of 1e-7.
+Groups of equal texts meet in map-side
 combined aggregations; group and text joins are left to adaptive execution to split. Links stay distributed throughout.
 
 Defined results: null or wordless text has the empty set, is linked with nothing and kept; repeated rows with one id
@@ -39,10 +40,9 @@ from .shingles import mix, shingle_sets
 
 FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.string()), ("bands", pa.list_(pa.int64()))])
 VERIFIED = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-#: Buckets of up to so many distinct texts go to the last part of step 5 at once.
-SMALL = 24
-#: Pivots of a large bucket in each round of step 5 before the last.
-PIVOTS = (1, 8)
+#: Coordinates of the long sketch, one bit each, and the standard deviations that a pair at the threshold may fall short in them.
+LONG, SLACK = 2048, 5.2
+BITS = pa.schema([("id", pa.int64()), ("bits", pa.list_(pa.int64()))])
 
 
 def sketches(sets: list[np.ndarray], bins: int) -> np.ndarray:
@@ -92,6 +92,24 @@ def features(docs: DataFrame, width: int, bins: int, rows: int) -> DataFrame:
     return texts(docs).mapInArrow(run, ddl(FEATURES))
 
 
+def long_bits(docs: DataFrame, width: int) -> DataFrame:
+    """id and LONG bits of each text's sketch in 64-bit words; for texts that have a shingle."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = shingle_sets(part.column(1).to_pylist(), width)
+                full = [i for i, s in enumerate(sets) if len(s)]
+                if not full:
+                    continue
+                bits = (sketches([sets[i] for i in full], LONG) & np.uint64(1)).astype(np.uint8)
+                yield batch_of(BITS, id=part.column(0).take(pa.array(full)), bits=list(np.packbits(bits, axis=1).view(np.int64)))
+
+    return texts(docs).mapInArrow(run, ddl(BITS))
+
+
 def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose full sets have 100 * common >= percent * union; ids in ``docs`` are distinct."""
     ship(docs.sparkSession)
@@ -165,25 +183,27 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _open(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-    """The buckets (h, id, n, m) whose members lie in different components, with each member's component c and its bucket's largest one, main."""
-    placed = _labelled(buckets.select("h", "id", "n", "m"), comps, "id", "c")
+    """The buckets (h, id, n) whose members lie in different components, with each member's component c and its bucket's largest one, main."""
+    placed = _labelled(buckets.select("h", "id", "n"), comps, "id", "c")
     held = placed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"))
     main = held.groupBy("h").agg(F.count(F.lit(1)).alias("cs"), F.max(F.struct("k", "c")).alias("s")).where("cs > 1").select("h", F.col("s.c").alias("main"))
     return cut(placed.join(main, "h"))
 
 
-def _pivots(buckets: DataFrame, slots: int) -> DataFrame:
-    """Up to ``slots`` members of each bucket: those that meet the most others over all of ``buckets``, as the centre of a star does."""
-    met = buckets.groupBy("id").agg(F.sum("m").alias("d"))
-    best = buckets.join(met, "id").groupBy("h", F.pmod(F.xxhash64("id"), F.lit(slots)).alias("slot")).agg(F.max(F.struct("d", "id", "n", "c", "main")).alias("p"))
-    return cut(best.select("h", "p.*"))
+def _across(open_: DataFrame, known: DataFrame, percent: int, slack: float) -> DataFrame:
+    """The (a, b) of members of a bucket in different components that may be alike, each once.
 
-
-def _across(pivots: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
-    """The distinct (a, b) of a pivot and a member of its bucket in another component whose sizes allow the threshold."""
-    x = pivots.select("h", *[F.col(k).alias(f"{k}_x") for k in ("id", "n", "c")])
-    fits = (F.col("c") != F.col("c_x")) & (100 * F.least("n", "n_x") >= percent * F.greatest("n", "n_x"))
-    return buckets.join(x, "h").where(fits).select(F.least("id", "id_x").alias("a"), F.greatest("id", "id_x").alias("b")).distinct()
+    ``known`` has id, bands and the long sketch. One side is the members outside their bucket's largest component.
+    """
+    full = open_.join(known, "id")
+    x = full.where("c <> main").select("h", *[F.col(k).alias(f"{k}_x") for k in ("id", "n", "c", "bands", "bits")])
+    differ = F.aggregate(F.zip_with("bits", "bits_x", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    chance = (1 + percent / 100) / 2  # that a bit agrees, at the threshold
+    least = LONG * chance - slack * (LONG * chance * (1 - chance)) ** 0.5
+    once = (F.col("c") == F.col("main")) | (F.col("id") < F.col("id_x"))
+    fits = (F.col("c") != F.col("c_x")) & once & (100 * F.least("n", "n_x") >= percent * F.greatest("n", "n_x")) & (differ <= LONG - int(least))
+    first = F.array_min(F.array_intersect("bands", "bands_x")) == F.col("h")
+    return full.join(x, "h").where(fits & first).select(F.least("id", "id_x").alias("a"), F.greatest("id", "id_x").alias("b"))
 
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80, bins: int = 128, rows: int = 4) -> tuple[DataFrame, DataFrame]:
@@ -193,8 +213,8 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, bins: int = 128, ro
     reps = sets.select("id", "n").join(feats.select(F.col("doc_id").alias("id"), "bands").where(F.size("bands") > 0).dropDuplicates(["id"]), "id")
     rows_ = reps.select("id", "n", F.explode("bands").alias("h"))
     shared = rows_.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    buckets = cut(rows_.join(shared, "h"))
-    pairs = cut(_stars(buckets.select("h", "id", "n"), percent))
+    buckets = cut(rows_.join(shared, "h").select("h", "id", "n"))
+    pairs = cut(_stars(buckets, percent))
     one_text = docs.select("doc_id", "text").join(sets.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     # Each member's likeliest link first; then those of its other links that still join two components.
     likeliest = pairs.groupBy("x").agg(F.max(F.struct("m", "a", "b")).alias("s")).select("s.a", "s.b").distinct()
@@ -203,24 +223,22 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, bins: int = 128, ro
     left = cut(_apart(pairs, comps).join(likeliest, ["a", "b"], "left_anti"))
     links = links.unionByName(cut(verify(left, one_text, width, percent)))
     comps = components(links)
-    # What the stars left apart: a few pivots of large buckets first, then every pair across components.
-    tried = pairs.select("a", "b").distinct()
+    # What the stars left apart: every pair across components that may be alike, the likeliest first.
     rest = _open(buckets, comps)
-    for slots in (*PIVOTS, 0):
-        pool = rest.where(F.col("m") > SMALL) if slots else rest
-        pivots = _pivots(pool, slots) if slots else pool.where("c <> main")
-        more = cut(_across(pivots, pool, percent).join(tried, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            continue
-        found = cut(verify(more, one_text, width, percent))
-        tried = tried.unionByName(more)
-        if slots:
-            rest = rest.join(pivots.select("h", "id"), ["h", "id"], "left_anti")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            comps = components(links)
-        if slots:
-            rest = _open(rest, comps)
+    if not rest.isEmpty():
+        live = rest.select("id").distinct()
+        bits = long_bits(one_text.join(live.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), width)
+        known = cut(reps.select("id", "bands").join(bits, "id"))
+        tried = pairs.select("a", "b").distinct()
+        for slack in (0.0, SLACK):
+            more = cut(_across(rest, known, percent, slack).join(tried, ["a", "b"], "left_anti"))
+            found = cut(verify(more, one_text, width, percent))
+            if slack == SLACK or found.isEmpty():
+                links = links.unionByName(found)
+                continue
+            links, tried = links.unionByName(found), tried.unionByName(more)
+            rest = _open(rest.select("h", "id", "n"), components(links))
+        comps = components(links)
     to = sets.select("digest", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("c"))
     many = sets.select("digest", "copies").join(to, "digest").join(sets.select("digest", "id"), "digest").where("copies > 1 or c <> id").select("digest", "c")
     out = feats.select("doc_id", "n_shingles", "digest").join(many, "digest", "left")

@@ -207,11 +207,9 @@ def brute_components(rows, width):
     return {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("small", [24, 0])
-def test_near_duplicates(spark, small, monkeypatch):
-    monkeypatch.setattr(minhash, "SMALL", small)
+def test_near_duplicates(spark):
     rng = random.Random(2)
-    rows = [(i, t) for i, t in corpus()[:-1] if i != 10]
+    rows = corpus()  # with a text of 20,000 words and a repeated row
     for k in range(5):  # chains: each like the one before, the last unlike the first
         words = prose(rng, 80).split()
         for j in range(6):
@@ -235,10 +233,7 @@ def test_copies_of_one_text_unlike_each_other(spark):
     assert got == dict.fromkeys(ids, 0)
 
 
-@pytest.mark.parametrize("pivots", [(), (1, 8)])
-def test_two_likes_in_a_large_bucket_of_unlikes(spark, pivots, monkeypatch):
-    monkeypatch.setattr(minhash, "PIVOTS", pivots)
-    monkeypatch.setattr(minhash, "SMALL", 4)
+def test_two_likes_in_a_large_bucket_of_unlikes(spark):
     rng = random.Random(9)
     base, rows = prose(rng, 200).split(), []
     for i in range(40):  # 0.6 to each other, but each even one is like the next
