@@ -2,14 +2,15 @@
 
 Base kinds (email, ip, card, phone) are exact patterns with checks; their spans always stand. Beyond them, high-recall
 generators propose overlapping spans (keys, assigned secrets, hex strings, national numbers, account numbers, local
-telephone numbers, spelled-out addresses). Gradient-boosted trees score each from its format and its context;
+telephone numbers, addresses spelled with at and dot). Gradient-boosted trees score each from its format and its context;
 thresholds are set on held-out examples of calibrated probabilities, and among overlapping spans the likeliest is taken,
 unless a base span overlaps.
 
 No table labels personal data, so the trees learn from ``EXAMPLES`` seeded synthetic candidates, made here by the rules of
 ``_example``; the number is a parameter. Training takes seconds on the driver; the model is a few kilobytes.
 
-Scale: one pass over the texts, no shuffle. Patterns use possessive runs or anchors, so time is linear in a text's length.
+Scale: one pass over the texts, no shuffle. Patterns use possessive runs or anchors, so time is linear in a text's length. No
+candidate is bounded in length, so a span takes a whole token or none of it.
 
 Defined results: null text has no span; offsets are code points; repeated rows each give their own; an empty table none.
 """
@@ -31,9 +32,9 @@ from ._common import batch_of, ddl, pieces, ship, table, texts
 from .boosting import Boosted
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "secret", "number")
-EXAMPLES = 2400
-RESULT = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE), ("base_sha256", pa.string()), ("spans", pa.string())])
+KINDS = (*BASE, "secret", "number", "address")
+EXAMPLES = 2800
+RESULT = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE), ("base_sha256", pa.string()), ("spans", pa.string()), *((f"n_{k}", pa.int64()) for k in KINDS[4:]), ("n_spans", pa.int64())])
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -77,27 +78,25 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-#: Candidate generators: kind, pattern (its last group is the span). High recall; the trees decide.
+#: Candidate generators: kind, whether a match holds a digit, pattern (its last group is the span). High recall; the trees decide.
 GENERATORS = [
-    ("secret", re.compile(r"(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key|auth)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{6,128})")),
-    ("secret", re.compile(r"(?<![A-Za-z0-9])([A-Z]{2,6}[A-Z0-9]{12,40})(?![A-Za-z0-9])")),
-    ("secret", re.compile(r"(?<![A-Za-z0-9])((?=[a-z]{0,40}[0-9])[0-9a-z]{16,64})(?![A-Za-z0-9])")),
-    ("number", re.compile(r"(?<![0-9-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")),
-    ("number", re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")),
-    ("number", re.compile(r"(?<![0-9.+-])(\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4})(?![0-9.-])")),
-    ("number", re.compile(r"(?<![0-9.])([0-9]{9,19})(?![0-9.])")),
+    ("secret", False, re.compile(r"(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key|auth)\b[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?([^\s\"',;]{6,}+)")),
+    ("secret", False, re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}[A-Z0-9]{12,}+)(?![A-Za-z0-9])")),
+    ("secret", True, re.compile(r"(?<![A-Za-z0-9])((?=[a-z]*+[0-9])[0-9a-z]{16,}+)(?![A-Za-z0-9])")),
+    ("number", True, re.compile(r"(?<![0-9-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")),
+    ("number", True, re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")),
+    ("number", True, re.compile(r"(?<![0-9.+-])(\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4})(?![0-9.-])")),
+    ("number", True, re.compile(r"(?<![0-9.])([0-9]{9,19})(?![0-9.])")),
+    ("address", False, re.compile(r"(?i)(?<![a-z0-9._%+-])([a-z0-9._%+-]++ ?(?: at |\(at\)|\[at\]) ?[a-z0-9-]++(?: ?(?: dot |\(dot\)|\[dot\]) ?[a-z0-9-]++)+)")),
 ]
 _WORDS = ("password", "token", "secret", "key", "ssn", "iban", "account", "phone", "tel", "call", "order", "version", "page")
+_ENDINGS = ("com", "org", "net", "edu", "gov", "info", "de", "fr", "es", "id", "uk", "io")
 
 
 def candidates(text: str) -> list[tuple[int, int, int]]:
-    """(generator, start, end); spans may overlap. Only lines that hold a digit can have one."""
-    out = []
-    for line in re.finditer(r"[^\n]+", text):
-        if _DIGIT.search(text, *line.span()):
-            for k, (_, pattern) in enumerate(GENERATORS):
-                out += [(k, *m.span(1)) for m in pattern.finditer(text, *line.span())]
-    return out
+    """(generator, start, end); spans may overlap. Only patterns whose every match holds a digit are left out where there is none."""
+    digit = _DIGIT.search(text)
+    return [(k, *m.span(1)) for k, (_, needs, pattern) in enumerate(GENERATORS) if digit or not needs for m in pattern.finditer(text)]
 
 
 def describe(text: str, generator: int, start: int, end: int) -> list[float]:
@@ -109,7 +108,7 @@ def describe(text: str, generator: int, start: int, end: int) -> list[float]:
     entropy = -sum(v / n * math.log2(v / n) for v in counts.values())
     return [
         n, digits / n, upper / n, lower / n, entropy, len(counts), sum(c in "0123456789abcdef" for c in s) / n, s.count("-") + s.count(" ") + s.count("."),
-        float(s[0].isdigit()), float(before[-1:] in ("=", ":", '"', "'")), float("=" in before), *(float(w in before) for w in _WORDS), *(float(generator == k) for k in range(len(GENERATORS))),
+        float(s[0].isdigit()), float(s.lower().rpartition("dot")[2].strip(" )]") in _ENDINGS), float("(at" in s.lower() or "[at" in s.lower()), float(before[-1:] in ("=", ":", '"', "'")), float("=" in before), *(float(w in before) for w in _WORDS), *(float(generator == k) for k in range(len(GENERATORS))),
     ]
 
 
@@ -129,6 +128,12 @@ def _example(rng: random.Random) -> tuple[str, int, int, int, int] | None:
         (1, lambda: (rng.choice(["iban ", "account "]), "DE" + digits(20))),
         (1, lambda: (rng.choice(["phone ", "tel: ", "call "]), f"({digits(3)}) {digits(3)}-{digits(4)}".replace(") ", rng.choice([") ", ")-"])))),
         (1, lambda: (rng.choice(["account ", "account: "]), digits(rng.randint(10, 14)))),
+        (1, lambda: (rng.choice(["password=", "passwd=", "pwd=", "secret=", "api_key=", "token="]), word(10, 24))),
+        (1, lambda: (rng.choice(["password=", "token=", "secret: "]), hexa(rng.randint(96, 256)))),
+        (1, lambda: (rng.choice(["", "key "]), hexa(rng.randint(24, 160)))),
+        (1, lambda: (rng.choice(["mail ", "write to ", ""]), f"{word()}{rng.choice([' at ', ' (at) ', '[at]'])}{word()}{rng.choice([' dot ', ' (dot) ', '[dot]'])}{rng.choice(_ENDINGS)}")),
+        (1, lambda: ("", f"{word()}.{word()} at {word()} dot {word()} dot {rng.choice(_ENDINGS)}")),
+        (0, lambda: ("", f"{rng.choice(['look', 'point', 'stare', word()])} at {rng.choice(['the', 'a', 'one', word()])} dot {rng.choice(['on', 'in', 'of', 'that', word()])}")),
         (0, lambda: (rng.choice(["order ", "page ", "version ", ""]), digits(rng.randint(9, 19)))),
         (0, lambda: ("", word(14, 30) + digits(1))),
         (0, lambda: (rng.choice(["token: ", "secret: ", "password: "]), word(6, 14))),
@@ -166,7 +171,7 @@ def model(examples: int = EXAMPLES, seed: int = 0, precision: float = 0.99) -> t
 def find(batch: list[str], trees: Boosted, thresholds: dict[str, float]) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text; each list by kind as in KINDS, then start."""
     base = [base_spans(t) for t in batch]
-    found = [(i, *c) for i, t in enumerate(batch) if _DIGIT.search(t) for c in candidates(t)]
+    found = [(i, *c) for i, t in enumerate(batch) for c in candidates(t)]
     added: dict[int, list[tuple[float, Span]]] = {}
     if found:
         p = trees.probability(np.array([describe(batch[i], g, a, b) for i, g, a, b in found]))
@@ -205,8 +210,8 @@ def detect(docs: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             spans = find(batch.column(1).to_pylist(), trees, thresholds)
-            counts = {f"n_{k}": [sum(s[0] == k for s in own) for own, _ in spans] for k in BASE}
-            yield batch_of(RESULT, doc_id=batch.column(0), **counts, base_sha256=[hashlib.sha256(joined(own).encode()).hexdigest() for own, _ in spans], spans=[joined(s) for _, s in spans])
+            counts = {f"n_{k}": [sum(s[0] == k for s in every) for _, every in spans] for k in KINDS}  # all of a base kind are base spans
+            yield batch_of(RESULT, doc_id=batch.column(0), **counts, base_sha256=[hashlib.sha256(joined(own).encode()).hexdigest() for own, _ in spans], spans=[joined(s) for _, s in spans], n_spans=[len(s) for _, s in spans])
 
     return texts(docs).mapInArrow(run, ddl(RESULT))
 
