@@ -5,9 +5,11 @@ It is fitted on the driver from ``TEMPLATES``, varied by seeded dropping, joinin
 and misleading paragraphs; a temperature fitted on held-out variants calibrates its probabilities. A prediction counts if
 its probability reaches ``LEAST`` and is confirmed if the paragraph holds enough of the 2-grams of a template of that family.
 
-On the main path a paragraph (a line) is split by built-in functions, its n-grams are looked up in a folded literal map of
-weights and summed by higher-order functions: one pass, no shuffle, no Python. Only n-grams that the model knows are looked
-up, as all others weigh nothing; a paragraph without any has the bias alone, which tells ``unknown``, and is passed over.
+A paragraph is a line together with those that it is wrapped onto: a line of at most ``WRAP`` characters that is not blank
+and doesn't end a sentence or clause (. ! ? : ;) goes on in the next one. Paragraphs are split by built-in functions, their
+n-grams looked up in a folded literal map of weights and summed by higher-order functions: one pass, no shuffle, no Python.
+Every paragraph of every text is judged. Only n-grams that the model knows are looked up, as all others weigh nothing; a
+paragraph without any has the bias alone, which tells ``unknown``, and is passed over.
 
 Defined results: null and empty texts have no paragraph and no licence; repeated rows each give their own; an empty
 table gives no row; other columns go.
@@ -49,8 +51,8 @@ MISLEADING = [
     "under the version of the law", "the license plate of the car", "cc the manager by mail", "all reserved seats were sold", "the unlicensed vendor was fined", "by the sea", "an mit professor spoke", "gnu herds cross the plain",
 ]
 FAMILIES = [*TEMPLATES, "unknown"]
-#: Every template has one of these stems; only the SQL of ``oracle`` still narrows documents by them.
-STEMS = "licen|gpl|cc0|mpl|public domain|rights reserved|copyright|redistribution|permission|proprietary|unencumbered"
+#: The longest line that counts as wrapped, and what a line ends on that isn't.
+WRAP, _ENDS = 100, r"(^|[.!?:;])[ \t\r]*$"
 _WORD = "[a-z0-9][a-z0-9.+/-]*[a-z0-9]|[a-z0-9]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST, ALIKE = 0.5, 0.6
@@ -103,9 +105,11 @@ def _pairs() -> dict[str, list[list[str]]]:
 
 
 def paragraphs(text: Column) -> Column:
-    """Lines as arrays of lower-case words."""
+    """Paragraphs as arrays of lower-case words."""
     lines = F.split(F.translate(text, _UPPER, _LOWER), "\n")
-    return F.transform(lines, lambda p: F.regexp_extract_all(p, F.lit(f"({_WORD})"), 1))
+    wrapped = lambda x: (F.length(x) <= WRAP) & ~x.rlike(_ENDS)
+    marked = F.array_join(F.transform(lines, lambda x: F.concat(x, F.when(wrapped(x), " ").otherwise("\n"))), "")
+    return F.transform(F.split(marked, "\n"), lambda p: F.regexp_extract_all(p, F.lit(f"({_WORD})"), 1))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -160,7 +164,7 @@ def oracle() -> str:
     return f"""
 WITH weight(gram, v) AS (VALUES {rows}),
 template(family, template, gram, size) AS (VALUES {templates}),
-docs AS (SELECT row_number() OVER () AS r, doc_id, CASE WHEN text IS NOT NULL AND regexp_matches({low}, '{STEMS}') THEN string_split({low}, chr(10)) ELSE CAST([] AS VARCHAR[]) END AS lines FROM documents),
+docs AS (SELECT row_number() OVER () AS r, doc_id, CASE WHEN length(text) > 0 THEN string_split(array_to_string(list_transform(string_split({low}, chr(10)), lambda x: x || CASE WHEN length(x) <= {WRAP} AND NOT regexp_matches(x, '{_ENDS}') THEN ' ' ELSE chr(10) END), ''), chr(10)) ELSE CAST([] AS VARCHAR[]) END AS lines FROM documents),
 par AS (SELECT r, i, regexp_extract_all(lines[i], '({_WORD})') AS w FROM (SELECT r, lines, unnest(range(1, len(lines) + 1)) AS i FROM docs)),
 known AS (SELECT r, i, unnest(list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])))) AS gram FROM par),
 score AS (
