@@ -4,21 +4,24 @@
 ``plan`` works on the histogram of piece lengths, at most one count per length whatever the corpus' size:
 
 * the configuration LP (fewest sequences whose configurations cover every length's count) is solved by multiplicative
-  weights: a length's price falls as its covered share grows, a knapsack dynamic program prices the best configuration
-  under the present prices, and it gets as much as its scarcest length allows;
-* multiplicities are rounded down, and what remains is packed best-fit decreasing, again on counts; where even the
-  rounding to nothing gives fewer sequences, that is taken.
+  weights. A round prices every length by its bytes' worth times a weight, and one knapsack dynamic program gives the
+  dearest filling of every room; so each length that is not yet covered gets the dearest configuration that holds it, and
+  takes a ``SHARE`` of what its scarcest length has left. Weights fall exponentially with the share of a length's demand
+  that the round covered. Rounds end once less than ``GAP`` of the tokens is uncovered;
+* every round's prices, over the dearest configuration's, are a dual solution: ``Plan.bound`` is the best lower bound met;
+* multiplicities are rounded down, and what that leaves is priced and laid out again in whole multiplicities, with the
+  weights going on; the few pieces for which no priced configuration is left whole are packed best-fit decreasing.
 
-A lower bound, sum of lengths / capacity, tells how far from the least number the plan can be (``Plan.bound``).
 ``pack`` numbers the pieces of each length (dealt by range over length and id, so a length that a third of all pieces
 have spreads over a third of the partitions) and looks each number up in the plan: (sequence, offset). The plan holds
-blocks of (configuration, length), bounded by rounds times distinct lengths in a configuration, not by documents.
+blocks of (configuration, length), bounded by rounds times distinct lengths (2048 at most), not by documents.
 
 Defined results: a null or empty text is its end id alone; repeated rows each are packed; an empty table gives no piece.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -71,47 +74,75 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_id
     return texts(docs).mapInArrow(run, ddl(schema))
 
 
-def best_configuration(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
-    """Counts per length of the dearest configuration that fits: unbounded knapsack by dynamic programming over capacity."""
+#: Share of its scarcest length's rest that a configuration takes; uncovered share of tokens at which rounds end; how
+#: fast weights fall; how much more a token is worth in a long piece than in a short one, so that short ones stay for the gaps.
+SHARE, GAP, RATE, TILT = 0.9, 1e-3, 0.3, 0.05
+
+
+def knapsack(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(value, pick) by room: the dearest filling of each room up to capacity, and a length in it (-1: one token stays empty)."""
     best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    first, last = int(lengths[0]), np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        if c >= first:
-            value = best[c - lengths[: last[c]]] + prices[: last[c]]
-            k = int(value.argmax())
-            if value[k] > best[c]:
-                best[c], pick[c] = value[k], k
-    counts, c = np.zeros(len(lengths), np.int64), capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
+    last = np.searchsorted(lengths, np.arange(capacity + 1), "right")
+    for c in range(int(lengths[0]), capacity + 1):
+        value = best[c - lengths[: last[c]]] + prices[: last[c]]
+        k = int(value.argmax())
+        best[c], pick[c] = (value[k], k) if value[k] > best[c - 1] else (best[c - 1], -1)
+    return best, pick
+
+
+def filling(pick: list[int], lengths: list[int], room: int) -> dict[int, int]:
+    """Counts by index of the dearest filling of ``room``."""
+    out: dict[int, int] = {}
+    while room > 0:
+        k = pick[room]
+        if k < 0:
+            room -= 1
         else:
-            counts[pick[c]] += 1
-            c -= int(lengths[pick[c]])
-    return counts, float(best[capacity])
+            out[k] = out.get(k, 0) + 1
+            room -= lengths[k]
+    return out
 
 
-def solve_lp(lengths: np.ndarray, demand: np.ndarray, capacity: int, eps: float = 0.5, rate: float = 0.2, rounds: int = 200) -> list[tuple[np.ndarray, float]]:
-    """Configurations and multiplicities that cover ``demand``, by multiplicative weights on the covering constraints.
+class Pricing:
+    """Rounds of knapsack pricing over what is left of each length's demand, with the weights and the best dual bound so far."""
 
-    Prices start at the lengths and fall as a length's demand is covered; what the rounds leave uncovered is for rounding.
-    """
-    left, price = demand.astype(float), lengths.astype(float)
-    made: dict[bytes, list] = {}
-    for _ in range(rounds):
+    def __init__(self, lengths: np.ndarray, demand: np.ndarray, capacity: int):
+        self.lengths, self.demand, self.capacity = lengths, demand, capacity
+        self.weights, self.bound = np.ones(len(lengths)), float(lengths @ demand) / capacity
+
+    def round(self, left: np.ndarray, take) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        """(indices, counts, multiplicity) of a round's configurations; ``left`` is lessened. ``take`` gives a multiplicity from left / counts."""
         at = np.flatnonzero(left > 1e-9)
-        if not len(at):
+        own = self.lengths[at]
+        price = own * (1 + TILT * own / self.capacity) * self.weights[at]
+        best, pick = knapsack(price, own, self.capacity)
+        self.bound = max(self.bound, float(self.demand[at] @ price) / best[self.capacity])
+        picks, sizes, used, out = pick.tolist(), own.tolist(), np.zeros(len(left)), []
+        for i in range(len(at) - 1, -1, -1):
+            if left[at[i]] <= 1e-9:
+                continue
+            held = filling(picks, sizes, self.capacity - sizes[i])
+            held[i] = held.get(i, 0) + 1
+            ks, counts = at[list(held)], np.fromiter(held.values(), np.int64)
+            times = take(left[ks] / counts)
+            if times > 0:
+                left[ks] -= times * counts
+                used[ks] += times * counts
+                out.append((ks, counts, times))
+        self.weights *= np.exp(-RATE * used / self.demand)
+        return out
+
+
+def solve_lp(pricing: Pricing, rounds: int) -> dict[tuple, float]:
+    """Multiplicities by configuration, ((index, count), ...), that cover all but GAP of the tokens, by multiplicative weights."""
+    left, made = pricing.demand.astype(float), {}
+    for _ in range(rounds):
+        for ks, counts, times in pricing.round(left, lambda rest: SHARE * float(rest.min())):
+            key = tuple(sorted(zip(ks.tolist(), counts.tolist(), strict=True)))
+            made[key] = made.get(key, 0.0) + times
+        if float(left @ pricing.lengths) <= GAP * float(pricing.demand @ pricing.lengths):
             break
-        counts = np.zeros(len(lengths), np.int64)
-        counts[at], _ = best_configuration(price[at], lengths[at], capacity)
-        used = counts > 0
-        # Up to a share eps of the scarcest length's demand, and no more than is left.
-        step = min(float((left[used] / counts[used]).min()), max(1.0, eps * float((demand[used] / counts[used]).min())))
-        made.setdefault(counts.tobytes(), [counts, 0.0])[1] += step
-        left[used] -= step * counts[used]
-        price[used] *= np.exp(-rate * step * counts[used] / demand[used])
-    return [(c, x) for c, x in made.values()]
+    return made
 
 
 @dataclass
@@ -155,33 +186,35 @@ def fill_rest(left: np.ndarray, lengths: np.ndarray, capacity: int) -> list[tupl
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 200) -> Plan:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 60) -> Plan:
     lengths = np.array(sorted(histogram), np.int64)
     demand = np.array([histogram[int(x)] for x in lengths], np.int64)
-    left, used = demand.copy(), []
+    left, made, bound = demand.astype(float), [], 0.0
     if len(lengths):
-        for counts, x in solve_lp(lengths, demand, capacity, rounds=rounds):
-            times = int(min(np.floor(x + 1e-9), (left[counts > 0] // counts[counts > 0]).min()))
-            if times > 0:
-                used.append((counts, times))
-                left -= times * counts
-        used += fill_rest(left, lengths, capacity)
-        # Rounding may lose more than the program gains where few lengths are there; the all-zero rounding is a plan too.
-        used = min(used, fill_rest(demand, lengths, capacity), key=lambda u: sum(times for _, times in u))
+        pricing = Pricing(lengths, demand, capacity)
+        for key, x in sorted(solve_lp(pricing, rounds).items(), key=lambda z: (-z[1], z[0])):
+            ks, counts = np.array(key, np.int64).T
+            if (times := int(min(np.floor(x + 1e-9), (left[ks] // counts).min()))) > 0:
+                made.append((ks, counts, times))
+                left[ks] -= times * counts
+        while left.any() and (more := pricing.round(left, lambda rest: int(rest.min()))):
+            made += more
+        made += [(ks := np.flatnonzero(c), c[ks], times) for c, times in fill_rest(left.astype(np.int64), lengths, capacity)]
+        bound = pricing.bound
     numbers, at, sequence = np.zeros(len(lengths), np.int64), {}, 0
-    for counts, times in used:
+    for ks, counts, times in made:
         offset = 0
-        for k in np.flatnonzero(counts)[::-1]:
-            at.setdefault(int(lengths[k]), []).append((int(numbers[k]), sequence, int(counts[k]), offset))
-            numbers[k] += times * counts[k]
-            offset += int(counts[k] * lengths[k])
+        for k, count in zip(ks.tolist(), counts.tolist(), strict=True):
+            at.setdefault(int(lengths[k]), []).append((int(numbers[k]), sequence, count, offset))
+            numbers[k] += times * count
+            offset += count * int(lengths[k])
         sequence += times
     split = {n: np.array(rows, np.int64).T for n, rows in at.items()}
     parts = [{n: x[j] for n, x in split.items()} for j in range(4)]
-    return Plan(sequence, -(-int((lengths * demand).sum()) // capacity) if len(lengths) else 0, *parts)
+    return Plan(sequence, math.ceil(bound - 1e-6), *parts)
 
 
-def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, rounds: int = 200) -> DataFrame:
+def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, rounds: int = 60) -> DataFrame:
     """``cut_pieces`` (with integer ``length`` of 1 to capacity, and ``doc_id`` and ``piece``) with sequence_id and offset."""
     spark = cut_pieces.sparkSession
     ship(spark)

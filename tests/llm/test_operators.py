@@ -88,9 +88,33 @@ def test_configuration_plans_meet_the_bound():
         made = packing.plan(demand, capacity)
         assert made.bound <= made.sequences <= 1.1 * made.bound + 2
     assert packing.plan({60: 10, 40: 10}, 100).sequences == 10
+    assert packing.plan({60: 10}, 100).bound == packing.plan({60: 10}, 100).sequences == 10  # by prices; the tokens alone give 6
     assert packing.plan({}, 100).sequences == 0
 
 
+@pytest.mark.parametrize("times", [1, 100, 1000])
+def test_plans_beat_best_fit_at_scale(times):
+    import pyarrow.parquet as pq
+
+    encoder, histogram = tokens.Encoder.at(packing.default_tokenizer()), Counter()
+    for ids in encoder.encode([t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()]):
+        histogram.update(n for _, n in packing.cuts(len(ids) // 4 + 1, packing.CAPACITY))
+    demand = {k: v * times for k, v in histogram.items()}
+    made = packing.plan(demand)
+    lengths = np.array(sorted(demand))
+    counts = np.array([demand[k] for k in lengths])
+    best_fit = sum(n for _, n in packing.fill_rest(counts, lengths, packing.CAPACITY))
+    assert made.bound <= made.sequences <= min(best_fit, 1.001 * made.bound + 1)
+    pricing = packing.Pricing(lengths, counts, packing.CAPACITY)
+    covered = np.zeros(len(lengths))
+    for key, x in packing.solve_lp(pricing, 60).items():
+        assert sum(lengths[k] * c for k, c in key) <= packing.CAPACITY
+        for k, c in key:
+            covered[k] += x * c
+    assert (covered <= counts + 1e-6).all() and lengths @ covered >= (1 - 5e-3) * (lengths @ counts)
+    print(times, "sequences", made.sequences, "best fit", best_fit, "bound", made.bound)
+
+
 def test_suffixes_against_all_windows(spark, docs):
     got = suffixes.deduplicate(docs, with_text=True).collect()
     windows = Counter(b[k : k + 400] for _, t in corpus() for b in [(t or "").encode()] for k in range(len(b) - 399))
