@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 ``docs``. All but the last return the columns of ``documents``. What each decides takes effect: low quality goes, one
 document of each near-duplicate group stays, personal data is replaced by its kind, documents repeat as often as the mix
 takes them, and the last stage lays all of them out in sequences.
+
+Odd rows, in every stage: a null or empty text is a document like any other (one empty passage, no shingle, size 0, its end
+id alone); rows with a null doc_id stay through the first three stages, count as one document in mixing, and are packed;
+rows that repeat an id are one document to near-duplicates, where one of them stays; an empty table gives an empty one; other
+columns stay, whatever their names, until packing.
 """
 
 from __future__ import annotations
@@ -20,9 +25,19 @@ from tallyforge.llm._common import cut, table
 LEAST_QUALITY = 0.3
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Those that score at least LEAST_QUALITY."""
     net = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, net, "_score").where(F.col("_score") >= LEAST_QUALITY).drop("_score")
+    score = unused(docs, "score")
+    return quality.score(docs, net, score).where(F.col(f"`{score}`") >= LEAST_QUALITY).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +51,10 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it; texts move once, by id. Rows that repeat an id each count as its most taken one."""
-    copies = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies"))
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    key, times, copy = (unused(docs, c) for c in ("mixed_id", "copies", "copy"))
+    copies = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").cast("int").alias(times))
+    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies[key])).select(*[docs[f"`{c}`"] for c in docs.columns], times)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
