@@ -20,6 +20,7 @@ def rupiah(x: Column) -> Column:
 
 def short_rupiah(x: Column, prefix: str = "Rp ") -> Column:
     """Millions with one decimal and 'jt', thousands whole and 'rb'."""
+    x = x.cast("double")
     number = F.when(x >= 1e6, F.concat(F.format_string("%.1f", x / 1e6), F.lit("jt"))).when(x >= 1e3, F.concat(F.format_string("%.0f", x / 1e3), F.lit("rb"))).otherwise(F.format_string("%.0f", x))
     return F.concat(F.lit(prefix), number)
 
@@ -78,6 +79,47 @@ def token(raw: Column, rupiah_context: Column, compact_qr: Column) -> Column:
     return let(let(s, value), lambda v: F.when(v.between(1, 1e9), v))
 
 
+def screen_token(raw: Column, rupiah_context: Column, compact_qr: Column) -> Column:
+    """Whole rupiah of an amount on a payment screen, or null: like ``token``, but cents always go, and of surplus digits only those after a point."""
+    s = F.regexp_replace(F.regexp_replace(fixed_digits(raw), r"(?<=[0-9])[Bb](?=\s[0-9])", "8"), r"(?i)\b(rp\.?|idr)\b|[–—+\s-]", "")
+    s = F.regexp_replace(s, r"^[^0-9]+|[^0-9]+$", "")
+
+    def value(s: Column) -> Column:
+        digits, groups = F.regexp_replace(s, "[^0-9]", ""), F.split(s, "[.,]")
+        n, first, last = F.size(groups), F.element_at(groups, 1), F.element_at(groups, -1)
+        cents = F.length(last).between(1, 2) & ((n == 2) | (s.contains(",") & s.contains(".")))
+        stray = compact_qr & rupiah_context & (n == 2) & (F.length(first) == 3) & (F.length(last) == 3) & last.startswith("00") & (last != "000")
+        surplus = rupiah_context & (n == 2) & s.contains(".") & (F.length(last) > 3)
+        chosen = (
+            F.when(n == 1, digits).when(cents, F.regexp_replace(F.regexp_replace(s, "[.,][0-9]*$", ""), "[^0-9]", "")).when(stray, F.substring(digits, F.lit(1), F.length(digits) - 1))
+            .when(surplus, F.regexp_replace(F.concat(first, F.substring(last, 1, 3)), "[^0-9]", "")).otherwise(digits)
+        )
+        return chosen.try_cast("double")
+
+    return let(s, value)
+
+
+def without_cents(x: Column) -> Column:
+    """A written amount without spaces and without one or two decimals at its end, after a point or a comma."""
+    s = F.regexp_replace(x, r"\s+", "")
+    return F.regexp_replace(F.regexp_replace(s, r"\.[0-9]{1,2}$", ""), ",[0-9]{1,2}$", "")
+
+
+def income_input(x: Column) -> Column:
+    """Typed income: its digits and points; 0 where these are no number."""
+    return F.coalesce(F.nullif(F.regexp_replace(x, "[^0-9.]", ""), F.lit("")).try_cast("double"), F.lit(0.0))
+
+
+def form_amount(x: Column) -> Column:
+    """The amount that a form shows: whole, halves up; '' if not above 0."""
+    return F.when(x > 0, F.floor(x + 0.5).cast("bigint").cast("string")).otherwise("")
+
+
+def clamped(x: Column) -> Column:
+    """A confidence within 0 and 1; 0 for what is no number."""
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(x.try_cast("double"), F.lit(0.0))))
+
+
 def prefixed_amounts(text: Column) -> Column:
     """Amounts of 1000 to 1e9 that follow Rp or IDR, in order."""
     found = F.regexp_extract_all(text, F.lit(r"(?i)(?:rp|idr)\.?\s*([0-9]{1,3}(?:[.,][0-9]{3})+|[0-9]{4,})"), 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,6 +14,7 @@ from ..domain import CATEGORY_DISPLAY, POPULAR_MERCHANTS, SOURCE_LABELS
 
 #: Cities that trail merchant names.
 CITIES = "bandung|jakarta|bekasi|tangerang|surabaya|depok|bogor|semarang|yogyakarta|jogja|medan|malang|denpasar|bali"
+POPULAR_KEYS = {"".join(c for c in m.lower() if c.isalnum()): m for m in POPULAR_MERCHANTS}
 _TRIM = r"^[ ,.;:-]+|[ ,.;:-]+$"
 
 
@@ -99,8 +101,24 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)])
 
 
+def _popular(key: str, least: float) -> str | None:
+    """The popular merchant whose key is most like ``key`` or a spelling that a scanner may have made of it, from ``least`` on."""
+    tried = {key, key.replace("0", "o").replace("1", "l"), key.replace("rn", "m"), re.sub(r"([a-z])\1{2,}", r"\1\1", key), *(key[:i] + "l" + key[i + 1 :] for i, c in enumerate(key) if c == "t")}
+    best = max((difflib.SequenceMatcher(None, v, k).ratio(), name) for v in tried for k, name in POPULAR_KEYS.items())
+    return best[1] if best[0] >= least else None
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def misread_merchants(keys: pd.Series) -> pd.Series:
+    """For each key of an array the popular merchant that it is likely a misreading of, else null; null keys aren't tried."""
+    found: dict[str, str | None] = {}
+    for k in {k for ks in keys if ks is not None for k in ks if k is not None}:
+        found[k] = _popular(k, 0.88)
+    return pd.Series([None if ks is None else [found.get(k) for k in ks] for ks in keys])
+
+
 def misread_variants(key: Column) -> Column:
     """A key and spellings that a scanner may have made of it: 0 and 1 for o and l, rn for m, tripled letters, each t for l."""
     digits = F.translate(key, "01", "ol")
     each = F.transform(F.filter(F.sequence(F.lit(1), F.length(key)), lambda i: F.substring(key, i, F.lit(1)) == "t"), lambda i: F.concat(F.substring(key, F.lit(1), i - 1), F.lit("l"), F.substring(key, i + 1, F.length(key))))
-    return F.array_distinct(F.concat(F.array(key, digits, F.replace(key, F.lit("rn"), F.lit("m")), F.regexp_replace(key, r"(.)\1{2,}", "$1")), F.when(F.length(key) > 0, each).otherwise(F.array().cast("array<string>"))))
+    return F.array_distinct(F.concat(F.array(key, digits, F.replace(key, F.lit("rn"), F.lit("m")), F.regexp_replace(key, r"([a-z])\1{2,}", "$1$1")), F.when(F.length(key) > 0, each).otherwise(F.array().cast("array<string>"))))

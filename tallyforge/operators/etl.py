@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 UNIFIED = ("path", "source", "language", "merchant", "date", "total", "category", "text")
 ITEM = "struct<name:string,quantity:double,unit_price:double,total_price:double>"
 
@@ -17,14 +19,28 @@ def unified(*loaded: DataFrame) -> DataFrame:
 
 
 def stratified_split(rows: DataFrame, key: str = "id", stratum: str = "source", shares: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: str = "42") -> DataFrame:
-    """``rows`` with split: within each stratum the first int(n * share) by a hash of the key are train, the next val, the rest test."""
+    """``rows`` with split: within each stratum the first int(n * share) by a hash of the key are train, the next val, the rest test.
+
+    Only stratum and hash move, dealt by range over both, so that a stratum with a third of all rows spreads over a third of
+    the partitions. Ranks are those within a partition, and on from the counts of the partitions before; what joins back to
+    the rows is the two hashes of each stratum at which its splits end, one row a stratum.
+    """
     if abs(sum(shares) - 1) > 1e-6:
         raise ValueError("shares must add up to 1")
-    w = Window.partitionBy(stratum)
     order = F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")))
-    placed = rows.withColumn("_k", F.row_number().over(w.orderBy(order, key))).withColumn("_n", F.count(F.lit(1)).over(w))
+    keyed = rows.select(F.col(stratum).alias("_s"), order.alias("_o"), F.col(key).cast("string").alias("_i"))
+    dealt = checkpointed(keyed.repartitionByRange("_s", "_o", "_i").withColumn("_p", F.spark_partition_id()))
+    counts = dealt.groupBy("_s", "_p").agg(F.count(F.lit(1)).alias("c"))
+    by = Window.partitionBy("_s")
+    starts = counts.select("_s", "_p", F.sum("c").over(by).alias("_n"), F.coalesce(F.sum("c").over(by.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    own = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("_s", "_p").orderBy("_o", "_i")))
+    placed = own.join(starts.withColumnsRenamed({"_s": "_s2", "_p": "_p2"}), F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_p") == F.col("_p2"))).withColumn("_k", F.col("_k") + F.col("_b"))
     train, val = F.floor(F.col("_n") * shares[0]), F.floor(F.col("_n") * shares[1])
-    return placed.withColumn("split", F.when(F.col("_k") <= train, "train").when(F.col("_k") <= train + val, "val").otherwise("test")).drop("_k", "_n")
+    last = lambda n: F.max(F.when(F.col("_k") == n, F.struct("_o", "_i")))
+    ends = placed.groupBy("_s").agg(last(train).alias("_t"), last(train + val).alias("_v")).withColumnRenamed("_s", "_s2")
+    at = F.struct(order.alias("_o"), F.col(key).cast("string").alias("_i"))
+    out = rows.join(ends, rows[stratum].eqNullSafe(F.col("_s2")))
+    return out.withColumn("split", F.when(at <= F.col("_t"), "train").when(at <= F.col("_v"), "val").otherwise("test")).drop("_s2", "_t", "_v")
 
 
 def escaped(x: Column) -> Column:
@@ -55,7 +71,8 @@ def special_tokens(fields: tuple[str, ...] = ("receipt", "merchant", "date", "to
 def label_shares(rows: DataFrame, label: str, split: str = "split") -> DataFrame:
     """Count and percentage of each label in each split and OVERALL; labels that a split lacks count 0 there."""
     counts = rows.groupBy(split, label).agg(F.count(F.lit(1)).alias("n"))
-    grid = rows.select(split).distinct().crossJoin(rows.select(label).distinct())  # splits times labels, both small dimensions
+    # Splits times labels: the side of the splits, which are three, goes with each label.
+    grid = rows.select(label).distinct().crossJoin(F.broadcast(rows.select(split).distinct()))
     full = grid.join(counts, [split, label], "left").select(F.col(split).alias("split"), F.col(label).alias("label"), F.coalesce("n", F.lit(0)).alias("n"))
     both = full.unionByName(full.groupBy("label").agg(F.sum("n").alias("n")).select(F.lit("OVERALL").alias("split"), "label", "n"))
     return both.withColumn("percentage", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("split")) * 100, 1))
@@ -114,5 +131,49 @@ def suspected_error(error: Column, merchant: Column, amount: Column, date: Colum
     )
 
 
+def item_stats(rows: DataFrame) -> DataFrame:
+    """One row: records, items each has on average, and how many have a total."""
+    return rows.agg(F.count(F.lit(1)).alias("records"), F.round(F.avg(F.size("items")), 1).alias("average_items"), F.count_if(F.coalesce("total", F.lit(0.0)) != 0).alias("with_total"))
+
+
+def as_json(rows: DataFrame, column: str = "record") -> DataFrame:
+    """Each row as one JSON text, nulls included."""
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias(column))
+
+
+def sample_by_quota(rows: DataFrame, group: str, order: str, quotas: dict[str, int]) -> DataFrame:
+    """The first rows of each group, as many as its quota; groups without one give none."""
+    most = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
+    ranked = rows.where(F.col(group).isin(*quotas)).withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(order)))
+    return ranked.where(F.col("place") <= F.try_element_at(most, F.col(group)))
+
+
+def build(*loaded: DataFrame, key: str = "path") -> DataFrame:
+    """Loaded sets unified and split, each source for itself."""
+    return stratified_split(unified(*loaded), key=key)
+
+
+def allowed_uploads(files: DataFrame, most: int = 3, bytes_: int = 10 * 1024 * 1024) -> DataFrame:
+    """The first ``most`` files (place, mime, length) that are images of at most ``bytes_``."""
+    return files.where(F.col("mime").startswith("image/") & (F.col("length") <= bytes_)).orderBy("place").limit(most)
+
+
+def end_record(rows: DataFrame) -> DataFrame:
+    """Read documents (path, route, merchant, items, raw) as one record each: method, a preview of three items, their number, and the text that a category is told by."""
+    names = F.filter(F.transform(F.coalesce("items", F.array().cast(f"array<{ITEM}>")), lambda i: i["name"]), lambda n: F.coalesce(n, F.lit("")) != "")
+    screen = F.col("route") == "screenshot"
+    text = F.when(screen, F.coalesce(F.nullif("merchant", F.lit("")), F.substring(F.coalesce("raw", F.lit("")), 1, 200))).otherwise(F.array_join(names, " "))
+    return rows.select(
+        F.element_at(F.split("path", "/"), -1).alias("image"), F.when(screen, "easyocr+regex").otherwise("donut").alias("method"), F.when(screen, F.col("merchant")).alias("merchant"),
+        F.array_join(F.slice(names, 1, 3), "|").alias("items_preview"), F.size(names).alias("n_items"), text.alias("text"),
+    )
+
+
+def status_label(status: Column, merchant: Column, amount: Column) -> Column:
+    """How a reading is shown: one without a merchant or an amount is to be checked too."""
+    missing = (F.coalesce(merchant, F.lit("")) == "") | (F.coalesce(amount, F.lit("")) == "")
+    return F.when(status == "failed", "Belum terbaca").when((status == "needs_review") | missing, "Perlu dicek").otherwise("Terbaca")
+
+
 def first_of_group(rows: DataFrame, group: str, order: str, k: int) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("place") <= k)

@@ -12,10 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..domain import POPULAR_MERCHANTS
+from ..domain import DOCUMENT_LABELS, POPULAR_MERCHANTS, RECEIPT_TYPES, SCREENSHOT_TYPES
 from ..functions import dates, money
 from ..functions.dates import fixed_digits, let
-from ..functions.text import CITIES, merchant_key, misread_variants, ratio
+from ..functions.text import CITIES, POPULAR_KEYS, choice, merchant_key, misread_merchants, misread_variants, ratio
+from ..session import ship
 
 NOT_FOUND = "Merchant tidak terdeteksi"
 #: Phrases that tell document types apart.
@@ -309,16 +310,27 @@ def item_line(line: Column) -> Column:
 
 
 def canonical(name: Column) -> Column:
-    """The popular merchant that a name's key, its first word's key or a part of it is, else the name; misread keys are for ``corrected``."""
+    """The popular merchant that a name's key, its first word's key or a part of it is, else the name; misread keys are for ``misread`` and ``corrected``."""
     def find(s: Column) -> Column:
         key, first = merchant_key(s), merchant_key(F.element_at(F.split(F.concat(s, F.lit(" ")), " "), 1))
-        keys = {"".join(c for c in m.lower() if c.isalnum()): m for m in POPULAR_MERCHANTS}
+        keys = POPULAR_KEYS
         tests = [F.when(key == k, m) for k, m in keys.items()] + [F.when(first == k, m) for k, m in keys.items()] + [F.when(F.contains(key, F.lit(k)), m) for k, m in keys.items() if len(k) >= 5]
         return F.coalesce(*tests, s)
 
     return let(trimmed_place(name), find)
 
 
+def misread(names: Column) -> Column:
+    """For each of an array of names the popular merchant that it likely misspells, else null.
+
+    Likeness has no built-in function. Only keys of 6 letters on that aren't popular, and near enough to one in length for
+    the least likeness, go to Python: an array of nulls for most documents.
+    """
+    longest = max(map(len, POPULAR_KEYS)) * 1.12 / 0.88
+    tried = lambda x: let(trimmed_place(x), lambda p: F.when(~canonical(p).isin(*POPULAR_MERCHANTS) & F.length(merchant_key(p)).between(6, int(longest)), merchant_key(p)))
+    return misread_merchants(F.transform(names, tried))
+
+
 def is_known(name: Column) -> Column:
     return canonical(name).isin(*POPULAR_MERCHANTS)
 
@@ -329,6 +341,7 @@ def corrected(names: DataFrame, column: str = "merchant", least: float = 0.88) -
     Likeness has no built-in function, so it is computed in Python, over distinct names only, each of their misread
     variants against the few popular ones.
     """
+    ship(names.sparkSession)
     keys = names.sparkSession.createDataFrame([("".join(c for c in m.lower() if c.isalnum()), m) for m in POPULAR_MERCHANTS], "k string, popular string")
     distinct = names.select(column).distinct().withColumn("_c", canonical(F.col(column)))
     tried = distinct.where(~F.col("_c").isin(*POPULAR_MERCHANTS) & (F.length(merchant_key(F.col(column))) >= 6)).select(column, F.explode(misread_variants(merchant_key(F.col(column)))).alias("v"))
@@ -384,15 +397,18 @@ _ANCHOR = r"bayar ke|bayar kepada|payment to|pembayaran ke|merchant|nama toko|na
 _SKIP = r"^\s*([0-9:.,\s]+(wib|wita|wit|am|pm)?|[-–—]?\s*(?:rp|idr)\.?\s*[0-9.,o]+|[0-9.,]+\s*(?:kb/?s|kbis|mb/?s|mbps|%)|qris|qr\s+bayar|qr\s*code|pembayaran\s*(?:berhasil|qr)?|transaksi\s*berhasil|transaction\s*details?|rincian.*)\s*$"
 
 
-def features(lines: Column, qr: Column, screen: Column) -> Column:
+def features(lines: Column, qr: Column, screen: Column, likely: Column) -> Column:
     """What each line holds: itself, repaired and in lower case; its amounts and their rank; whether it names a merchant and which.
 
+    likely: by place, the popular merchant that a line misspells, or null.
+
     qr: a compact QR text; screen: a payment screen. Fields that only receipts or only screens need are null for the other.
     """
     rupiah = r"(?i)(?:rp\.?|idr)\s*([0-9oilsb][0-9oilsb.,\s]*)"
     large = lambda found: F.filter(F.transform(found, lambda r: money.token(r, F.lit(True), qr)), lambda v: v.between(1000, 1e9))
 
-    def of(y: Column) -> Column:
+    def of(y: Column, i: Column) -> Column:
+        guess = F.get(likely, i)
         raw, norm, low, t = y["raw"], y["norm"], y["low"], y["t"]
         inline = F.regexp_extract(raw, _WITHIN[3], 1)
         for p in (_WITHIN[2], _WITHIN[1], _WITHIN[0]):
@@ -400,7 +416,7 @@ def features(lines: Column, qr: Column, screen: Column) -> Column:
         way = F.when(raw.rlike(_WITHIN[0]), 1).when(raw.rlike(_WITHIN[1]), 2).when(raw.rlike(_WITHIN[2]), 3).when(raw.rlike(_WITHIN[3]), 4).otherwise(0)
         return F.struct(
             raw.alias("raw"), norm.alias("norm"), low.alias("low"), F.lower(t).alias("tlow"), tier(low).alias("tier"), F.when(~screen, amounts(norm)).alias("values"), F.when(screen, large(F.regexp_extract_all(t, F.lit(rupiah), 1))).alias("rupiah"),
-            F.when(screen, large(F.regexp_extract_all(t, F.lit(r"\b([0-9]{1,3}(?:[.,][0-9]{3})+)\b"), 1))).alias("grouped"), item_line(raw).alias("item"), bad_merchant(raw).alias("bad"), F.when(screen, _good(raw)).alias("good"), F.when(~screen, canonical(raw)).alias("name"), F.when(~screen, is_known(raw)).alias("known"),
+            F.when(screen, large(F.regexp_extract_all(t, F.lit(r"\b([0-9]{1,3}(?:[.,][0-9]{3})+)\b"), 1))).alias("grouped"), item_line(raw).alias("item"), bad_merchant(raw).alias("bad"), F.when(screen, _good(raw)).alias("good"), F.when(~screen, F.coalesce(guess, canonical(raw))).alias("name"), F.when(~screen, guess.isNotNull() | is_known(raw)).alias("known"),
             low.rlike(r"[-–—]?\s*(rp|idr)\.?\s*[0-9.,oilsb]+").alias("money"), ((F.trim(raw) == "") | F.lower(F.trim(raw)).isin(*LABELS) | raw.rlike(REF) | low.rlike(_LABEL)).alias("label"), way.alias("way"), F.when(screen & (way > 0), _good(inline)).alias("inline"),
         )
 
@@ -434,25 +450,115 @@ def screen_merchant(f: Column, kind: Column) -> Column:
     )
 
 
-def extract(documents: DataFrame, lines: str = "lines", by: Callable[[Column], Column] = route) -> DataFrame:
-    """``documents`` with document_type, route, merchant, amount, date, currency, their confidences, status and category."""
+#: Lines of a document's head in which a misspelled merchant is looked for: those that ``receipt_merchant`` reads.
+HEAD = 10
+
+
+def kept_merchant(found: Column, existing: Column, screen: Column) -> Column:
+    """(value, confidence): the merchant found, or one that an earlier reading gave where that is valid and the found one invalid, weak or shorter."""
+    name = trimmed_place(existing)
+    words = lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
+    valid = (F.coalesce(existing, F.lit("")) != "") & ~bad_merchant(existing) & (F.coalesce(name, F.lit("")) != "") & ~bad_merchant(name)
+    fuller = (found["confidence"] < 0.72) & (words(name) > words(found["value"])) & (F.length(name) >= F.length(found["value"]))
+    weak = bad_merchant(found["value"]) | (found["value"] == NOT_FOUND) | (found["confidence"] < 0.55) | fuller
+    return F.when(valid & weak, F.struct(name.alias("value"), F.greatest(found["confidence"], F.when(screen, 0.62).otherwise(0.50)).alias("confidence"))).otherwise(found)
+
+
+#: What a reading warns of.
+UNSURE = (("merchant", "Merchant belum terdeteksi. Periksa dan isi manual."), ("amount", "Nominal tidak yakin. Periksa kembali."), ("date", "Tanggal tidak terdeteksi. Isi manual."))
+FOREIGN = ("Mata uang non-IDR terdeteksi (", "). Nominal ditampilkan dalam mata uang asli.")
+REVIEW = "Beberapa data perlu diperiksa kembali."
+
+
+def warnings(currency: Column, confidences: dict[str, Column]) -> Column:
+    lowest = F.least(*confidences.values())
+    return F.array_compact(F.array(
+        F.when(currency != "IDR", F.concat(F.lit(FOREIGN[0]), currency, F.lit(FOREIGN[1]))), *[F.when(confidences[k] < 0.45, F.lit(text)) for k, text in UNSURE], F.when(lowest < 0.55, F.lit(REVIEW)),
+    ))
+
+
+def extract(documents: DataFrame, lines: str = "lines", by: Callable[[Column], Column] = route, existing: tuple[str, str, str] | None = None, app_label: str | None = None) -> DataFrame:
+    """``documents`` with document_type, route, merchant, amount, date, currency, their confidences, warnings, status and category.
+
+    existing: columns of an earlier reading (merchant, amount, date), which stand where this one finds nothing or less;
+    app_label: a column of the category that the app itself shows.
+    """
     from .categorize import chain, status
 
+    ship(documents.sparkSession)
     of = F.coalesce(F.col(lines), F.array().cast("array<string>"))
-    qr = F.lower(F.array_join(of, "\n")).rlike("qr bayar|pembayaran qr")
-    read = documents.withColumns({"document_type": document_type(of), "_q": qr}).withColumn("_r", by(of))
-    read = read.withColumn("_f", features(of, F.col("_q"), F.col("_r.route") == "screenshot"))
-    f, kind, screen = F.col("_f"), F.col("document_type"), F.col("_r.route") == "screenshot"
+    low = F.lower(F.array_join(of, "\n"))
+    read = documents.withColumns({"document_type": document_type(of), "_q": low.rlike("qr bayar|pembayaran qr")}).withColumn("_r", by(of))
+    screen, kind = F.col("_r.route") == "screenshot", F.col("document_type")
+    was, had, day = map(F.col, existing) if existing else (F.lit(None).cast("string"), F.lit(0.0), F.lit(""))
+    # Receipts' heads and the earlier merchant; nothing of other documents.
+    heads = F.concat(F.when(~screen, F.slice(of, 1, HEAD)).otherwise(F.array().cast("array<string>")), F.array(was))
+    read = read.withColumn("_g", misread(heads)).withColumn("_f", features(of, F.col("_q"), screen, F.when(~screen, F.slice("_g", F.lit(1), F.size("_g") - 1)).otherwise(F.array().cast("array<string>"))))
+    f = F.col("_f")
     read = read.withColumns({
         "_m": F.when(screen, screen_merchant(f, kind)).otherwise(receipt_merchant(f)), "_a": F.when(screen, screen_amount(f, kind)).otherwise(receipt_amount(f)), "_d": best_date(f),
         "currency": F.when(screen, "IDR").otherwise(money.currency(F.array_join(of, " "))),
     })
-    single = F.size(F.split(F.col("_m.value"), " ")) == 1
-    capped = F.when(F.col("currency") != "IDR", F.least(F.col("_a.confidence"), F.lit(0.65))).when(F.col("document_type") == "compact_qr_card", F.least(F.col("_a.confidence"), F.lit(0.80))).otherwise(F.col("_a.confidence"))
+    if existing:
+        none, labelled = F.col("_a.value") <= 0, low.rlike("tanggal|date|waktu|time")
+        stays = (F.col("_d.value") == "") & (F.coalesce(day, F.lit("")) != "") & ((kind != "compact_qr_card") | labelled)
+        same = lambda value, sure, score: F.struct(value.alias("value"), sure.alias("confidence"), score.alias("score"))
+        read = read.withColumns({
+            "_m": kept_merchant(F.col("_m"), F.coalesce(F.element_at("_g", -1), canonical(was)), screen),
+            "_a": F.when(none & (F.coalesce(had, F.lit(0.0)) > 0), same(had.cast("double"), F.lit(0.40), F.col("_a.score"))).otherwise(F.col("_a")),
+            "_d": F.when(stays, same(day, F.when(kind == "compact_qr_card", 0.40).otherwise(0.50), F.col("_d.score"))).otherwise(F.col("_d")),
+        })
+    single = (F.size(F.split(F.col("_m.value"), " ")) == 1) & (F.col("_m.value") != NOT_FOUND)
+    capped = F.when(F.col("currency") != "IDR", F.least(F.col("_a.confidence"), F.lit(0.65))).when(kind == "compact_qr_card", F.least(F.col("_a.confidence"), F.lit(0.80))).otherwise(F.col("_a.confidence"))
     out = read.withColumns({
         "route": F.col("_r.route"), "route_confidence": F.col("_r.confidence"), "merchant": F.col("_m.value"), "merchant_confidence": F.when(single, F.least(F.col("_m.confidence"), F.lit(0.55))).otherwise(F.col("_m.confidence")),
         "amount": F.col("_a.value"), "amount_confidence": capped, "date": F.col("_d.value"), "date_confidence": F.col("_d.confidence"),
-    }).drop("_r", "_m", "_a", "_d", "_f", "_q")
+    }).drop("_r", "_m", "_a", "_d", "_f", "_q", "_g")
     known = F.when(F.col("merchant") == NOT_FOUND, "").otherwise(F.col("merchant"))
-    category = chain(known, F.lit(None).cast("string"), F.array_join(lines, " "), F.col("route") == "receipt", F.lit(False))
-    return out.withColumns({"status": status(known, F.col("amount"), F.col("date"), F.col("route_confidence"), F.col("merchant_confidence"), F.col("amount_confidence"), F.col("date_confidence")), "category": category["label"], "category_source": category["source"]})
+    label = F.col(app_label) if app_label else F.lit(None).cast("string")
+    category = chain(known, label, F.array_join(lines, " "), F.col("route") == "receipt", F.lit(False))
+    sure = {k: F.col(f"{k}_confidence") for k in ("merchant", "amount", "date")}
+    state = status(known, F.col("amount"), F.col("date"), F.col("route_confidence"), *sure.values())
+    return out.withColumns({"warnings": warnings(F.col("currency"), sure), "status": state, "category": category["label"], "category_source": category["source"]})
+
+
+def read_all(documents: DataFrame, lines: str = "lines") -> DataFrame:
+    """``extract`` after the first reading of payment screens, whose fields stand where the second finds none; receipts have the second alone."""
+    from . import screens
+
+    of = F.coalesce(F.col(lines), F.array().cast("array<string>"))
+    routed = documents.withColumn("_by", route(of))
+    is_screen = F.col("_by.route") == "screenshot"
+    only = F.when(is_screen, screens.merged(of)).otherwise(F.array().cast("array<string>"))
+    first = routed.withColumn("_s", only).withColumns({"_em": screens.recipient(F.col("_s")), "_ea": screens.amount(F.col("_s")), "_ed": screens.date(F.col("_s")), "_ec": screens.shown_category(F.col("_s"))})
+    first = first.withColumn(lines, F.when(is_screen, F.col("_s")).otherwise(of))
+    return extract(first, lines, lambda _: F.col("_by"), ("_em", "_ea", "_ed"), "_ec").drop("_by", "_s", "_em", "_ea", "_ed", "_ec")
+
+
+def public_type(internal: Column, fallback: Column) -> Column:
+    """(public, label, internal): receipt, screenshot or unknown, by the internal type, else by the route."""
+    kind = F.lower(F.trim(F.coalesce(internal, F.lit(""))))
+    public = F.when(kind.isin(*SCREENSHOT_TYPES), "screenshot").when(kind.isin(*RECEIPT_TYPES), "receipt").when(fallback.isin("receipt", "screenshot"), fallback).otherwise("unknown")
+    return F.struct(public.alias("public"), choice(public, DOCUMENT_LABELS, "").alias("label"), kind.alias("internal"))
+
+
+def parsed_result(raw: Column) -> Column:
+    """The one object that a vision model's JSON result holds, as JSON: itself, the first of a list with a total, else its first; text as raw_text; else {}."""
+    value = F.try_parse_json(raw)
+    kind = F.schema_of_variant(value)
+    listed = F.filter(F.try_variant_get(value, "$", "array<variant>"), lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+    text = lambda v: F.to_json(v)
+    total = lambda v: F.coalesce(F.to_json(F.try_variant_get(v, "$.total", "variant")), F.lit("null"))
+    filled = F.filter(listed, lambda v: ~total(v).isin("null", '""', "0", "0.0", "false", "{}", "[]"))
+    return F.coalesce(
+        F.when(kind.startswith("OBJECT"), text(value)), F.when(kind.startswith("ARRAY"), F.coalesce(text(F.get(filled, F.lit(0))), text(F.get(listed, F.lit(0))))),
+        F.when(kind == "STRING", F.to_json(F.struct(F.try_variant_get(value, "$", "string").alias("raw_text")))), F.lit("{}"),
+    )
+
+
+def with_model_total(amount: Column, confidence: Column, model_total: Column) -> Column:
+    """(value, confidence) of a receipt beside a vision model's total: it stands in for none at 0.70, and where both agree within 5 % a weak confidence grows by 0.15."""
+    total = F.coalesce(money.token(model_total, F.lit(True), F.lit(False)), F.lit(0.0))
+    agree = (amount > 0) & (total > 0) & (confidence < 0.65) & (F.abs(amount - total) / F.greatest(amount, F.lit(1.0)) < 0.05)
+    made = lambda v, c: F.struct(v.alias("value"), c.cast("double").alias("confidence"))
+    return F.when((amount <= 0) & (total > 0), made(total, F.lit(0.70))).when(agree, made(amount, F.least(F.lit(0.95), confidence + 0.15))).otherwise(made(amount, confidence))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import calendar
 import datetime as dt
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..domain import MONTH_NAMES
 from ..functions.dates import in_month, normalised
 from ..functions.text import category_display
 
@@ -104,6 +106,16 @@ def income_use(ledger: DataFrame, income: float) -> DataFrame:
 
 
 def income_entries(raw: DataFrame) -> DataFrame:
-    """Entries (id, amount, label, date) of a JSON array in column ``entries``; what is no array has none."""
+    """Entries (id, amount, label, date) of a JSON array in column ``entries``; what is no array, such as a single object, has none."""
     kind = "array<struct<id:bigint,amount:double,label:string,date:string>>"
-    return raw.select(F.explode(F.coalesce(F.from_json("entries", kind), F.array().cast(kind))).alias("e")).select("e.*")
+    listed = F.when(F.ltrim("entries").startswith("["), F.from_json("entries", kind))
+    return raw.select(F.explode(F.coalesce(listed, F.array().cast(kind))).alias("e")).where("e is not null").select("e.*")
+
+
+def month_or_current(month: str, now: dt.datetime) -> str:
+    """``month`` if it is written YYYY-MM, else that of ``now``, which callers give."""
+    return month if re.fullmatch(r"[0-9]{4}-[0-9]{2}", month or "") else f"{now:%Y-%m}"
+
+
+def current_month_label(now: dt.datetime) -> str:
+    return f"{MONTH_NAMES[now.month - 1]} {now.year}"

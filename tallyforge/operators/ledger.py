@@ -48,9 +48,14 @@ def number(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def update_category(ledger: DataFrame, updates: DataFrame) -> DataFrame:
-    """Categories by id from ``updates`` (id, category); ids that repeat in it take the greatest category."""
+    """Categories by id from ``updates`` (id, category); ids that repeat in it take the greatest category.
+
+    Of records that share an id only the first changes: by when it was saved, then by the other fields.
+    """
     u = updates.where(F.col("category").isin(*CATEGORY_DISPLAY)).groupBy("id").agg(F.max("category").alias("new"))
-    return ledger.join(u, "id", "left").withColumn("category", F.coalesce("new", "category")).select(*FIELDS)
+    first = F.row_number().over(Window.partitionBy("id").orderBy("saved_at", "merchant", "amount", "date", "category", "source", "notes")) == 1
+    changed = ledger.select(*FIELDS).join(u, "id").withColumn("category", F.when(first, F.col("new")).otherwise(F.col("category"))).select(*FIELDS)
+    return ledger.select(*FIELDS).join(u, "id", "left_anti").unionByName(changed)
 
 
 def unmatched(ledger: DataFrame, changes: DataFrame) -> DataFrame:

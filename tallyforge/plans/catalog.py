@@ -116,9 +116,10 @@ def income_use(spark, sf):
 
 @query("SELECT c_custkey AS id, c_acctbal AS amount, c_mktsegment AS label, '2024-01-01' AS date FROM customer WHERE c_custkey % 3 <> 0")
 def income_entries(spark, sf):
+    """Of every third customer the entries are one object in place of an array, or no JSON; both have none."""
     c = t(spark, sf, "customer")
     entry = F.to_json(F.array(F.struct(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("amount"), F.col("c_mktsegment").alias("label"), F.lit("2024-01-01").alias("date"))))
-    return insights.income_entries(c.select(F.when(F.col("c_custkey") % 3 == 0, '{"id": 1}').otherwise(entry).alias("entries")).where(~F.col("entries").startswith("{")))
+    return insights.income_entries(c.select(F.when(F.col("c_custkey") % 6 == 0, ' {"id": 1, "amount": 5}').when(F.col("c_custkey") % 3 == 0, "x").otherwise(entry).alias("entries")))
 
 
 # -- budget -----------------------------------------------------------------------------------------------------------
@@ -178,9 +179,10 @@ def ledger_insert(spark, sf):
     return ledger.insert(e.where("id % 5 <> 0"), good.unionByName(bad)).select("id", "merchant", "amount", "category")
 
 
-@query(f"WITH e AS ({ledgers.EVENTS_SQL}) SELECT id, merchant, amount, CASE WHEN id % 7 = 0 THEN 'kesehatan' ELSE category END AS category FROM e")
+@query(f"WITH e AS ({ledgers.EVENTS_SQL}), r AS (SELECT *, id % 4000 AS k FROM e), s AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY saved_at, merchant, amount, date, category, source) AS place FROM r) SELECT k AS id, merchant, amount, CASE WHEN k % 7 = 0 AND place = 1 THEN 'kesehatan' ELSE category END AS category FROM s")
 def ledger_update(spark, sf):
-    e = ledgers.events(spark, sf).drop("ts")
+    """Ids repeat: only the first record of each changes."""
+    e = ledgers.events(spark, sf).drop("ts").withColumn("id", F.col("id") % 4000)
     changes = e.where("id % 7 = 0").select("id", F.lit("kesehatan").alias("category")).unionByName(e.where("id % 11 = 0").select("id", F.lit("no_such").alias("category")))
     return ledger.update_category(e, changes).select("id", "merchant", "amount", "category")
 
@@ -431,11 +433,13 @@ def mbanking_records(spark, sf):
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS path, coalesce(CASE WHEN c_custkey % 4 = 0 THEN 'given' END, c_mktsegment) AS category, 'a b' AS text FROM customer")
 def kaggle_records(spark, sf):
+    """Names repeat in the table of categories: the last row counts, not the greatest."""
     c = t(spark, sf, "customer")
     notes = F.array(*[F.struct(F.lit(x).alias("text")) for x in ("a", "", "b")])
     gt = F.to_json(F.struct(F.struct(F.col("c_mktsegment").alias("category")).alias("metadata"), notes.alias("annotations")))
     lines = c.select(F.to_json(F.struct(F.col("c_custkey").cast("string").alias("file_name"), gt.alias("ground_truth"))).alias("line"))
     named = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("file_name"), F.when(F.col("c_custkey") % 4 == 0, "given").otherwise("").alias("category"))
+    named = named.select("*", F.lit(2).alias("row")).unionByName(named.select("file_name", F.lit("zzz").alias("category"), F.lit(1).alias("row")))
     return loaders.kaggle(lines, named).select("path", "category", "text")
 
 

@@ -17,14 +17,15 @@ SEGMENT_CATEGORIES = {"AUTOMOBILE": "transportasi", "BUILDING": "tagihan", "FURN
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """A ledger of JSON records (an array or lines), or of Parquet; a missing path is an empty ledger, records that don't parse are none."""
+    """A ledger of JSON records (one file with an array, or a folder of lines), or of Parquet; a missing path is an empty ledger, records that don't parse are none."""
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
         return spark.createDataFrame([], SCHEMA)
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.schema(SCHEMA).parquet(path)
-    return spark.read.schema(SCHEMA).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    one_file = not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+    return spark.read.schema(SCHEMA).option("multiLine", one_file).option("mode", "DROPMALFORMED").json(path)
 
 
 def write(ledger: DataFrame, path: str) -> None:

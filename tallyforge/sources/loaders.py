@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.money import digits_only, quantity
 
 
-def listing(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("jpg", "jpeg", "png", "webp", "bmp"), limit: int | None = None) -> DataFrame:
-    """Path and length of the image files under a root, each once; contents aren't read."""
+def listing(spark: SparkSession, root: str | list[str], extensions: tuple[str, ...] = ("jpg", "jpeg", "png", "webp", "bmp"), limit: int | None = None) -> DataFrame:
+    """Path and length of the image files under one root or several, each once; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(x for e in extensions for x in (e, e.upper())) + "}").load(root).select("path", "length").dropDuplicates(["path"])
     return files if limit is None else files.orderBy("path").limit(limit)
 
@@ -19,6 +19,18 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(F.col("value").alias("line"))
 
 
+def counted(lines_: DataFrame) -> DataFrame:
+    """One row: how many records parse as JSON objects with a ground truth, and how many are bad."""
+    good = truth(F.col("line")).isNotNull() & F.get_json_object("line", "$.file_name").isNotNull()
+    return lines_.agg(F.count_if(good).alias("good"), F.count_if(~good).alias("bad"))
+
+
+def unprocessed(files: DataFrame, done: DataFrame) -> DataFrame:
+    """Files (path) whose name without folder and extension isn't among those of ``done``."""
+    stem = lambda p: F.regexp_replace(F.element_at(F.split(p, "/"), -1), r"\.[^.]*$", "")
+    return files.withColumn("stem", stem(F.col("path"))).join(done.select(stem(F.col("path")).alias("stem")).distinct(), "stem", "left_anti").drop("stem")
+
+
 def truth(record: Column) -> Column:
     """The embedded ground truth as JSON text, without its wrapper if there is one; null where it doesn't parse."""
     inner = F.get_json_object(record, "$.ground_truth")
@@ -26,7 +38,10 @@ def truth(record: Column) -> Column:
 
 
 def kaggle(records: DataFrame, categories: DataFrame | None = None) -> DataFrame:
-    """Records of (line): metadata category and year, annotation texts joined; a table (file_name, category) overrides, of repeats the last by name."""
+    """Records of (line): metadata category and year, annotation texts joined; a table (file_name, category) overrides.
+
+    Of repeated names the last row counts: by column ``row`` where the table has one, else as it is read.
+    """
     gt = truth(F.col("line"))
     out = records.select(
         F.get_json_object("line", "$.file_name").alias("path"), F.nullif(F.get_json_object(gt, "$.metadata.category"), F.lit("")).alias("own"), F.get_json_object(gt, "$.metadata.year").alias("date"),
@@ -35,7 +50,8 @@ def kaggle(records: DataFrame, categories: DataFrame | None = None) -> DataFrame
     out = out.where(F.col("path").isNotNull())
     if categories is None:
         return out.select("path", F.lit("kaggle").alias("source"), F.lit("en").alias("language"), F.lit(None).cast("string").alias("merchant"), "date", F.lit(None).cast("double").alias("total"), F.col("own").alias("category"), "text")
-    named = categories.groupBy(F.col("file_name").alias("path")).agg(F.max("category").alias("given"))
+    place = F.col("row") if "row" in categories.columns else F.monotonically_increasing_id()
+    named = categories.withColumn("_row", place).groupBy(F.col("file_name").alias("path")).agg(F.max_by("category", "_row").alias("given"))
     joined = out.join(named, "path", "left")
     return joined.select("path", F.lit("kaggle").alias("source"), F.lit("en").alias("language"), F.lit(None).cast("string").alias("merchant"), "date", F.lit(None).cast("double").alias("total"), F.coalesce(F.nullif("given", F.lit("")), "own").alias("category"), "text")
 
