@@ -18,8 +18,12 @@ of two or more suffixes after length / SYMBOL rounds are the repeated intervals.
 are counted singly by a 128-bit hash instead, with map-side combining. That is exact too, and never gathers a group.
 
 Only what occurs once travels back to the documents, so no hot value is joined. Texts are dealt once, compressed, by row, and
-kept in the shared folder under that partitioning. Hashes are 64 bits for anchors (where a collision only costs a candidate)
-and 128 for segments and windows.
+kept in the shared folder under that partitioning. Rows are numbered, so none can be taken for another. Hashes are 64 bits
+for anchors (where a collision only costs a candidate) and 128 for segments and windows.
+
+Beside the bytes, ``n_passages`` counts a document's paragraphs (lines) of over ``WORDS`` words that another document holds
+too, which may be shorter than ``length``; they stay in the text. Each row's paragraphs are hashed as it is packed (128
+bits); of a hash only the least and the greatest row meet, and what is shared joins back row by row.
 
 Defined results: null text is empty; texts below ``length`` bytes stay whole; rows that repeat id and text are
 copies of each other; an empty table gives none; other columns go.
@@ -40,6 +44,8 @@ from ._common import batch_of, cut, cut_by, ddl, partitions, pieces, ship, table
 from .shingles import _inverse_powers, mix
 
 LENGTH, K, W = 400, 28, 92
+#: Words that a paragraph must have more than to count as a passage.
+WORDS = 50
 SYMBOL = 100
 #: Distinct segments of a key up to which it is left to the merged transforms, and bytes of text that are merged together:
 #: so few that ranks have 16 bits, which sort by radix.
@@ -244,12 +250,12 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-_ROWS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())])
+_ROWS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("packed", pa.binary()), ("passages", pa.list_(pa.binary()))])
 _ANCHORS = pa.schema([("h", pa.int64()), ("uid", pa.int64()), ("at", pa.int32())])
 _SEGMENTS = pa.schema([("key", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64()), ("uid", pa.int64()), ("a", pa.int32()), ("count", pa.int32())])
 _TEXTS = pa.schema([("key", pa.int64()), ("w0", pa.int64()), ("w1", pa.int64()), ("times", pa.int64()), ("uid", pa.int64()), ("a", pa.int32()), ("raw", pa.binary())])
 _KEEPS = pa.schema([("uid", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
-RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_passages", pa.int64())])
 
 
 def _lists(rows: DataFrame, *columns: str) -> DataFrame:
@@ -258,6 +264,19 @@ def _lists(rows: DataFrame, *columns: str) -> DataFrame:
     return lists.select("uid", *[F.col(f"l.{c}").alias(c) for c in columns])
 
 
+def passages(raw: bytes) -> list[bytes]:
+    """Hashes of a text's distinct paragraphs of over WORDS words, white space apart."""
+    found = (p.split() for p in raw.split(b"\n") if len(p) > 2 * WORDS)
+    return sorted({hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in found if len(w) > WORDS})
+
+
+def shared_passages(rows: DataFrame) -> DataFrame:
+    """uid and n_passages of rows with passages that another row has too."""
+    each = rows.select("uid", F.explode("passages").alias("p"))
+    shared = each.groupBy("p").agg(F.min("uid").alias("least"), F.max("uid").alias("most")).where("least <> most").select("p")
+    return each.join(shared, "p").groupBy("uid").agg(F.count(F.lit(1)).alias("n_passages"))
+
+
 def removed_windows(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, once, keeps): packed texts by row; positions of anchors found once; window starts [a, b) that are candidates but not repeated."""
     spark = docs.sparkSession
@@ -268,10 +287,9 @@ def removed_windows(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, D
         packer = zstandard.ZstdCompressor(level=3)
         for batch in pieces(batches):
             raw = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            uid = [int.from_bytes(hashlib.blake2b(b"%d " % (-1 if i is None else i) + x, digest_size=8).digest(), "little", signed=True) for i, x in zip(batch.column(0).to_pylist(), raw, strict=True)]
-            yield batch_of(_ROWS, uid=uid, doc_id=batch.column(0), n=[len(x) for x in raw], packed=[packer.compress(x) for x in raw])
+            yield batch_of(_ROWS, uid=batch.column(2), doc_id=batch.column(0), n=[len(x) for x in raw], packed=[packer.compress(x) for x in raw], passages=list(map(passages, raw)))
 
-    rows = cut_by(texts(docs).mapInArrow(pack, ddl(_ROWS)), n, "uid")
+    rows = cut_by(texts(docs.withColumn("uid", F.monotonically_increasing_id()), "uid").mapInArrow(pack, ddl(_ROWS)), n, "uid")
     long = rows.where(F.col("n") >= length)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,13 +397,14 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, with_text: bool = False)
     rows, once, keeps = removed_windows(docs, length)
     lists = _lists(cut(keeps), "a", "b")
     schema = RESULT.append(pa.field("kept", pa.binary())) if with_text else RESULT
-    both = rows.join(once, "uid", "left").join(lists, "uid", "left").select("doc_id", "n", "packed", "at", "a", "b")
+    both = rows.join(once, "uid", "left").join(lists, "uid", "left").join(shared_passages(rows), "uid", "left")
+    both = both.select("doc_id", "n", "packed", "at", "a", "b", F.coalesce("n_passages", F.lit(0)).alias("n_passages"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
                 out: dict[str, list] = {f.name: [] for f in schema}
-                for doc, n, packed, at, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[2:], strict=True):
+                for doc, n, packed, at, a, b, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[2:], strict=True):
                     raw = _unpacked(packed)
                     gone = np.zeros(n, bool)
                     if n >= length:
@@ -398,7 +417,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, with_text: bool = False)
                         np.add.at(change, ends - 1 + length, -1)
                         gone = np.cumsum(change[:-1]) > 0
                     kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                    row = {"doc_id": doc, "n_bytes": n, "n_removed": n - len(kept), "n_spans": len(_runs(gone)[0]), "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept}
+                    row = {"doc_id": doc, "n_bytes": n, "n_removed": n - len(kept), "n_spans": len(_runs(gone)[0]), "kept_sha256": hashlib.sha256(kept).hexdigest(), "n_passages": found.as_py(), "kept": kept}
                     for k in out:
                         out[k].append(row[k])
                 yield batch_of(schema, **out)
