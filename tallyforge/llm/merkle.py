@@ -1,12 +1,13 @@
 """Merkle fingerprints of documents over paragraphs and sections.
 
 A paragraph is a line with its line end; a section is a run of paragraphs that ends where a paragraph's digest says so
-(one in eight), so that an edit moves no later section's bounds. Paragraph node = BLAKE2b of its bytes, section node =
-BLAKE2b of its paragraph nodes, root = SHA-256 of the section nodes: equal roots mean equal texts. Under each
-paragraph lie short leaves of a few words, cut likewise by content, as 24-bit hashes that only serve likeness.
+(one in eight), so that an edit moves no later section's bounds. Paragraph node = BLAKE2b-256 of its bytes, section node =
+BLAKE2b-256 of its paragraph nodes, root = SHA-256 of the section nodes and nothing else: equal roots mean equal texts, as
+far as 256 bits tell. Under each paragraph lie short leaves of a few words, cut likewise by content, as 24-bit hashes that
+only serve likeness.
 
 A fingerprint is ``root|section;section;...``, a section is ``paragraph,paragraph,...`` and a paragraph
-``digest:leaves``. ``differences`` descends from unequal sections to the unequal paragraphs and gives their places;
+``digest:leaves``, its digest the first 64 bits of its node. ``differences`` descends from unequal sections to the unequal paragraphs and gives their places;
 ``likeness`` is the share of common leaves (Dice over multisets, 1 for equal roots, 0 where nothing is common).
 
 ``with_next`` pairs each document with the next by ascending id. Ranges of ids are set by percentiles of the ids
@@ -35,8 +36,11 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sh
 LEAF_WORDS, SECTION_PARAGRAPHS = 4, 8
 
 
-def paragraph_node(text: str) -> str:
-    """``digest:leaves`` of a paragraph."""
+Node = tuple[bytes, str]
+
+
+def paragraph_node(text: str) -> Node:
+    """The node of a paragraph, and what the fingerprint shows of it: ``digest:leaves``."""
     raw = text.encode("utf-8", "surrogatepass")
     leaves, h, open_ = [], 0, False
     crc = zlib.crc32
@@ -47,12 +51,13 @@ def paragraph_node(text: str) -> str:
             h, open_ = 0, False
     if open_:
         leaves.append(b"%06x" % (h & 0xFFFFFF))
-    return f"{hashlib.blake2b(raw, digest_size=8).hexdigest()}:{b''.join(leaves).decode()}"
+    node = hashlib.blake2b(raw, digest_size=32).digest()
+    return node, f"{node[:8].hex()}:{b''.join(leaves).decode()}"
 
 
-def fingerprint(text: str, known: dict[str, str] | None = None, used: dict[str, str] | None = None) -> str:
+def fingerprint(text: str, known: dict[str, Node] | None = None, used: dict[str, Node] | None = None) -> str:
     """``known`` holds nodes of paragraphs already computed; ``used`` receives those of this text."""
-    sections: list[list[str]] = []
+    sections: list[list[Node]] = []
     open_ = False
     for paragraph in text.split("\n"):
         node = known.get(paragraph) if known is not None else None
@@ -63,15 +68,13 @@ def fingerprint(text: str, known: dict[str, str] | None = None, used: dict[str,
         if not open_:
             sections.append([])
         sections[-1].append(node)
-        open_ = int(node[:2], 16) % SECTION_PARAGRAPHS != 0
-    nodes = [section_node(s) for s in sections]
-    whole = hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
-    root = hashlib.sha256("".join(nodes).encode() + whole).hexdigest()
-    return f"{root}|" + ";".join(",".join(s) for s in sections)
+        open_ = node[0][0] % SECTION_PARAGRAPHS != 0
+    root = hashlib.sha256(b"".join(section_node([p for p, _ in s]) for s in sections)).hexdigest()
+    return f"{root}|" + ";".join(",".join(shown for _, shown in s) for s in sections)
 
 
-def section_node(paragraphs: list[str]) -> str:
-    return hashlib.blake2b("".join(p.partition(":")[0] for p in paragraphs).encode(), digest_size=16).hexdigest()
+def section_node(paragraphs: list[bytes]) -> bytes:
+    return hashlib.blake2b(b"".join(paragraphs), digest_size=32).digest()
 
 
 def leaves_of(print_: str) -> np.ndarray:
@@ -100,9 +103,9 @@ def differences(a: str, b: str) -> list[tuple[int, int]]:
     if a[:64] == b[:64]:
         return []
     mine, theirs = ([s.split(",") for s in p.partition("|")[2].split(";")] for p in (a, b))
-    same = {section_node(s) for s in mine}
+    same = {tuple(s) for s in mine}
     have = {p.partition(":")[0] for s in mine for p in s}
-    return [(k, j) for k, s in enumerate(theirs) if section_node(s) not in same for j, p in enumerate(s) if p.partition(":")[0] not in have]
+    return [(k, j) for k, s in enumerate(theirs) if tuple(s) not in same for j, p in enumerate(s) if p.partition(":")[0] not in have]
 
 
 def edited_text(text: str, following: str) -> str:
@@ -168,7 +171,7 @@ def edits(docs: DataFrame, ranges: int | None = None) -> DataFrame:
             for part, peek, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if peek and peeked == part:
                     continue
-                nodes: dict[str, str] = {}
+                nodes: dict[str, Node] = {}
                 print_ = fingerprint(text, None, nodes)
                 now = (part, doc, text, print_, leaves_of(print_), nodes)
                 if held and held[0] == part:

@@ -126,8 +126,10 @@ def test_suffixes_against_all_windows(spark, docs):
             if windows[b[k : k + 400]] > 1:
                 gone[k : k + 400] = b"\1" * 400
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        want[i, len(b), sum(gone), len([s for s in bytes(gone).split(b"\0") if s]), hashlib.sha256(kept).hexdigest(), kept] += 1
-    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], bytes(r["kept"])) for r in got) == want
+        shared = len({" ".join(p.split()) for p in (t or "").split("\n") if len(p.split()) > 50 and sum(" ".join(p.split()) in [" ".join(q.split()) for q in (u or "").split("\n")] for _, u in corpus()) > 1})
+        want[i, len(b), sum(gone), len([s for s in bytes(gone).split(b"\0") if s]), hashlib.sha256(kept).hexdigest(), shared, kept] += 1
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_passages"], bytes(r["kept"])) for r in got) == want
+    assert any(k[5] for k in want)
 
 
 @pytest.mark.parametrize("shards", [1, 2, 5])
@@ -391,6 +393,40 @@ def test_fingerprints(spark, docs):
     assert merkle.edits(docs.where("doc_id = 8"), 3).first()["near_next"] == 1.0
 
 
+def plain_fingerprint(text):
+    """The tree from its description alone: root, and the leaves of all paragraphs."""
+    nodes, sections, leaves = [], [], Counter()
+    for line in text.split("\n"):
+        raw = line.encode()
+        nodes.append(hashlib.blake2b(raw, digest_size=32).digest())
+        run = []
+        for word in raw.split():
+            run.append(word)
+            if zlib.crc32(word) % 4 == 0:
+                leaves[zlib.crc32(b"".join(run)) & 0xFFFFFF] += 1
+                run = []
+        if run:
+            leaves[zlib.crc32(b"".join(run)) & 0xFFFFFF] += 1
+        if nodes[-1][0] % 8 == 0:
+            sections.append(hashlib.blake2b(b"".join(nodes), digest_size=32).digest())
+            nodes = []
+    if nodes:
+        sections.append(hashlib.blake2b(b"".join(nodes), digest_size=32).digest())
+    return hashlib.sha256(b"".join(sections)).hexdigest(), leaves
+
+
+def test_fingerprints_against_the_plain_tree():
+    rng = random.Random(11)
+    texts = [t or "" for _, t in corpus()] + ["\n".join(prose(rng, rng.randint(0, 9)) for _ in range(rng.randint(1, 60))) for _ in range(40)]
+    plain = [plain_fingerprint(t) for t in texts]
+    shown = [merkle.fingerprint(t) for t in texts]
+    assert [s.partition("|")[0] for s in shown] == [root for root, _ in plain]
+    for (ra, a), (rb, b), x, y in zip(plain, plain[1:], shown, shown[1:], strict=False):
+        total = sum(a.values()) + sum(b.values())
+        want = 1.0 if ra == rb else 2 * sum((a & b).values()) / total if total and a and b else 0.0
+        assert merkle.likeness(x, y) == pytest.approx(want)
+
+
 def test_fingerprints_locate_edits():
     lines = [f"paragraph {i} says {i * i}" for i in range(40)]
     a = merkle.fingerprint("\n".join(lines))
