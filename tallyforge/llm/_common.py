@@ -32,12 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the cluster's shared checkpoint folder, its lineage cut.
 
-    Only where the session names no such folder (as in tests on one machine) is a temporary one set.
+    Only where the session names no such folder and driver and executors are one machine is a temporary one set.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint"))
     out = df.checkpoint(eager=True)
     # What the lineage held is garbage now; once the driver collects it, Spark deletes its shuffle files.
     del df
