@@ -305,11 +305,12 @@ _BASIS = _basis().astype(np.float32)
 
 
 def plane(image: Image, c: Component) -> np.ndarray:
-    """A component's samples, before upsampling and cropping."""
+    """A component's samples, whole numbers of 8 bits, before upsampling and cropping."""
     values = (c.coefficients * image.quants[c.quant]).astype(np.float32)
     blocks = np.empty_like(values)
     blocks[:, ZIGZAG] = values
     blocks = np.matmul(np.matmul(_BASIS.T, blocks.reshape(-1, 8, 8)), _BASIS) + 128
+    np.clip(np.rint(blocks, out=blocks), 0, 255, out=blocks)
     return blocks.reshape(c.blocks_high, c.blocks_wide, 8, 8).transpose(0, 2, 1, 3).reshape(8 * c.blocks_high, 8 * c.blocks_wide)
 
 
