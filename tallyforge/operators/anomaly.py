@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..domain import DEFAULT_CATEGORY
 from ..functions.money import rupiah
+from .ranks import medians
 
 #: Fewer positive amounts than this give no anomaly at all.
 LEAST_ROWS = 10
@@ -25,10 +26,8 @@ COLUMNS = ("id", "merchant", "amount", "date", "category", "source", "saved_at")
 def baselines(ledger: DataFrame) -> DataFrame:
     """One row over positive amounts: n, mean, median, and the upper median (the element at place n // 2)."""
     own = ledger.where(F.col("amount") > 0)
-    base = own.agg(F.count(F.lit(1)).alias("n"), F.avg("amount").alias("mean"), F.median("amount").alias("median"))
-    # From above, the discrete half is the upper of two middle elements.
-    upper = own.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY amount DESC)").alias("upper_median"))
-    return base.crossJoin(F.broadcast(upper))
+    base = own.agg(F.count(F.lit(1)).alias("n"), F.avg("amount").alias("mean"))
+    return base.crossJoin(F.broadcast(medians(own, "amount")))  # one row each
 
 
 def by_rule(ledger: DataFrame, times: float = 3.0) -> DataFrame:
@@ -93,6 +92,21 @@ def _score(rows: pd.DataFrame, forests: pd.DataFrame) -> pd.DataFrame:
     return rows[["id", "scope", "amount"]].assign(score=pickle.loads(forests["forest"].iloc[0]).score(rows["amount"].to_numpy()))
 
 
+def scoped(own: DataFrame, min_samples: int = 5, by_category: bool = True) -> DataFrame:
+    """``own`` with the scope of each row: its category's, that of all small categories together, or one for all."""
+    if not by_category:
+        return own.withColumn("scope", F.lit("global"))
+    sizes = own.groupBy("category").agg(F.count(F.lit(1)).alias("size"))
+    large = F.when(F.col("size") >= min_samples, F.concat(F.lit("category:"), F.col("category"))).otherwise("global_fallback")
+    return own.join(sizes, "category").withColumn("scope", large).drop("size")
+
+
+def scopes(own: DataFrame) -> DataFrame:
+    """(scope, n, own_mean, own_median) of scopes of two rows or more."""
+    counts = own.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg("amount").alias("own_mean")).where("n >= 2")
+    return counts.join(medians(own, "amount", "scope").select("scope", F.col("median").alias("own_median")), "scope")
+
+
 def by_forest(ledger: DataFrame, requested: float = 0.1, min_samples: int = 5, by_category: bool = True, seed: int = 42) -> DataFrame:
     """High amounts that isolation forests flag: one per category with enough rows, one for all rows of small categories together.
 
@@ -101,14 +115,10 @@ def by_forest(ledger: DataFrame, requested: float = 0.1, min_samples: int = 5, b
     most trees x subsample values, which bounds the exact percentile that sets its group's threshold.
     """
     own = ledger.where(F.col("amount") > 0).withColumn("category", F.coalesce("category", F.lit(DEFAULT_CATEGORY)))
-    every = own.agg(F.count(F.lit(1)).alias("all_n"), F.avg("amount").alias("all_mean"), F.median("amount").alias("all_median")).where(F.col("all_n") >= LEAST_ROWS)
-    if by_category:
-        sizes = own.groupBy("category").agg(F.count(F.lit(1)).alias("size"))
-        own = own.join(sizes, "category").withColumn("scope", F.when(F.col("size") >= min_samples, F.concat(F.lit("category:"), F.col("category"))).otherwise("global_fallback")).drop("size")
-    else:
-        own = own.withColumn("scope", F.lit("global"))
-    own = own.crossJoin(F.broadcast(every))  # one row
-    counts = own.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg("amount").alias("own_mean"), F.median("amount").alias("own_median")).where("n >= 2")
+    base = baselines(own).where(F.col("n") >= LEAST_ROWS)
+    every = base.select(F.col("n").alias("all_n"), F.col("mean").alias("all_mean"), F.col("median").alias("all_median"))
+    own = scoped(own, min_samples, by_category).crossJoin(F.broadcast(every))  # one row
+    counts = scopes(own)
     first = Window.partitionBy("scope").orderBy(F.xxhash64("id"), "id")
     some = own.select("scope", "id", "amount").withColumn("k", F.row_number().over(first)).where(F.col("k") <= FIT_ROWS)
     forests = some.select("scope", "amount").groupBy("scope").applyInPandas(_fit(seed), "scope string, forest binary")
@@ -133,7 +143,12 @@ def by_forest(ledger: DataFrame, requested: float = 0.1, min_samples: int = 5, b
 def detect(ledger: DataFrame, requested: float = 0.1, min_samples: int = 5, by_category: bool = True, seed: int = 42) -> DataFrame:
     """Forest anomalies, and those by rule that no forest flagged; ids must be set. Without categories, the forest's alone."""
     found = by_forest(ledger, requested, min_samples, by_category, seed)
-    return found.unionByName(by_rule(ledger).join(found.select("id"), "id", "left_anti")) if by_category else found
+    return with_rules(found, ledger) if by_category else found
+
+
+def with_rules(found: DataFrame, ledger: DataFrame) -> DataFrame:
+    """``found`` and the anomalies by rule whose ids it lacks."""
+    return found.unionByName(by_rule(ledger).join(found.select("id"), "id", "left_anti"))
 
 
 def attention(score: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..domain import CATEGORY_DISPLAY, DEFAULT_CATEGORY
 from ..functions.money import coerced
 from ..functions.text import category_display, clean_merchant
-from ..session import checkpointed
+from .ranks import number
 
 FIELDS = ("id", "merchant", "amount", "date", "category", "source", "notes", "saved_at")
 
@@ -38,15 +38,6 @@ def insert(ledger: DataFrame, new: DataFrame) -> DataFrame:
     return ledger.select(*FIELDS).unionByName(numbered.select(*FIELDS))
 
 
-def number(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``rows`` with ``number`` from 1 on by ``order``: within ranges, and on from the counts of the ranges before."""
-    parts = checkpointed(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))  # ranges stay what they are
-    counts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("c"))
-    before = counts.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = parts.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
-    return own.join(before, "part").withColumn("number", F.col("before") + F.col("k")).drop("part", "k", "c", "before")
-
-
 def update_category(ledger: DataFrame, updates: DataFrame) -> DataFrame:
     """Categories by id from ``updates`` (id, category); ids that repeat in it take the greatest category.
 

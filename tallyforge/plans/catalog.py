@@ -165,6 +165,21 @@ def forest_anomalies(spark, sf):
     return anomaly.detect(month_events(spark, sf))
 
 
+@query(EV + ", p AS (SELECT *, count(*) OVER (PARTITION BY category) AS size FROM m WHERE amount > 0), s AS (SELECT CASE WHEN size >= 1990 THEN 'category:' || category ELSE 'global_fallback' END AS scope, amount FROM p) SELECT scope, count(*) AS n, round(avg(amount), 4) AS own_mean, median(amount) AS own_median FROM s GROUP BY scope HAVING count(*) >= 2")
+def forest_scopes(spark, sf):
+    """The groups that forests are fitted on, with the baselines that their finds are held against; small categories are one group."""
+    own = month_events(spark, sf).where("amount > 0")
+    return anomaly.scopes(anomaly.scoped(own, min_samples=1990)).withColumn("own_mean", F.round("own_mean", 4))
+
+
+@query(EV + ", b AS (SELECT count(*) AS n, avg(amount) AS mean FROM m WHERE amount > 0), r AS (SELECT id, -0.6::DOUBLE AS anomaly_score, 'rule_based' AS baseline_scope FROM m CROSS JOIN b WHERE n >= 10 AND amount > 3 * mean), f AS (SELECT id, -0.7::DOUBLE AS anomaly_score, 'global' AS baseline_scope FROM m WHERE id % 3 = 0 AND amount > 100) SELECT * FROM f UNION ALL SELECT * FROM r WHERE id NOT IN (SELECT id FROM f)")
+def merged_anomalies(spark, sf):
+    """Finds of a model, here by a plain rule, and the rule's anomalies that it lacks."""
+    m = month_events(spark, sf)
+    found = m.where("id % 3 = 0 and amount > 100").select(*anomaly.COLUMNS, F.lit(-0.7).alias("anomaly_score"), F.lit(0.0).alias("baseline_median"), F.lit(0.0).alias("baseline_mean"), F.lit("global").alias("baseline_scope"), F.lit("").alias("anomaly_reason"))
+    return anomaly.with_rules(found, m).select("id", "anomaly_score", "baseline_scope")
+
+
 @query("SELECT range AS n, least(0.49, CASE WHEN range >= 2 THEN greatest(0.1, 1.0::DOUBLE / range) ELSE 0.1 END)::DOUBLE AS contamination FROM range(1, 101)")
 def contamination(spark, sf):
     return spark.range(1, 101).select(F.col("id").alias("n"), anomaly.contamination(F.col("id")).alias("contamination"))
@@ -411,12 +426,12 @@ def encoded_targets(spark, sf):
     return c.select(F.col("c_custkey").alias("id"), etl.encoded(fields).alias("target"))
 
 
-@query("SELECT l_orderkey AS path, 'i' || l_linenumber AS name, l_quantity AS quantity, floor(l_extendedprice)::DOUBLE AS total_price FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT l_orderkey AS path, 'i' || l_linenumber AS name, l_quantity AS quantity, floor(l_extendedprice)::DOUBLE AS total_price FROM lineitem")
 def cord_items(spark, sf):
-    """Ground truth written from line items, the menu a list for even orders and one object for odd ones, and read back."""
-    one = t(spark, sf, "lineitem").where("l_linenumber = 1")
-    item = F.to_json(F.struct(F.concat(F.lit("i"), F.col("l_linenumber").cast("string")).alias("nm"), F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" x")).alias("cnt"), F.format_number(F.floor("l_extendedprice"), 0).alias("price")))
-    menu = F.when(F.col("l_orderkey") % 2 == 0, F.concat(F.lit("["), item, F.lit("]"))).otherwise(item)
+    """Ground truth written from all line items of an order, the menu a list, or one object where an odd order has one item, and read back; some names are lists."""
+    item = F.to_json(F.struct(F.array(F.concat(F.lit("i"), F.col("l_linenumber").cast("string"))).alias("nm"), F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" x")).alias("cnt"), F.format_number(F.floor("l_extendedprice"), 0).alias("price")))
+    one = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(item).alias("items"))
+    menu = F.when((F.size("items") == 1) & (F.col("l_orderkey") % 2 == 1), F.element_at("items", 1)).otherwise(F.concat(F.lit("["), F.array_join("items", ","), F.lit("]")))
     gt = F.concat(F.lit('{"menu": '), menu, F.lit(', "total": {"total_price": "1"}}'))
     line = F.to_json(F.struct(F.col("l_orderkey").cast("string").alias("file_name"), gt.alias("ground_truth")))
     got = loaders.cord(one.select(line.alias("line"))).select("path", F.explode("items").alias("i"))

@@ -127,3 +127,37 @@ def test_streamed_days(spark, tmp_path):
 def test_ledger_reader_tolerates(spark, tmp_path, path):
     (tmp_path / "bad.json").write_text("{not json")
     assert ledgers.read(spark, str(tmp_path / path)).count() == 0
+
+
+def test_forest_against_plain_trees():
+    """Paths through explicit trees, with the same draws in the same order."""
+    import numpy as np
+
+    x = np.sort(np.random.default_rng(1).gamma(2.0, 50.0, 700))
+    forest, rng, m = anomaly.Forest(x, 7, trees=20), np.random.default_rng(7), 256
+
+    def bound(n):
+        return 0.0 if n <= 1 else 1.0 if n == 2 else 2.0 * (np.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
+
+    def grow(points, depth):
+        if len(points) <= 1 or depth >= 8 or points[0] == points[-1]:
+            return depth + bound(len(points))
+        cut = rng.uniform(points[0], points[-1])
+        return cut, grow([p for p in points if p <= cut], depth + 1), grow([p for p in points if p > cut], depth + 1)
+
+    def path(tree, v):
+        return tree if not isinstance(tree, tuple) else path(tree[1] if v <= tree[0] else tree[2], v)
+
+    trees = [grow(sorted(rng.choice(x, m, replace=False)), 0) for _ in range(20)]
+    probe = [*x[::50], 0.0, 1e6]
+    want = [-(2.0 ** -(np.mean([path(t, v) for t in trees]) / bound(m))) for v in probe]
+    assert forest.score(np.array(probe)) == pytest.approx(want)
+
+
+def test_medians_of_groups(spark):
+    from tallyforge.operators import ranks
+
+    rows = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("a", 10.0), ("b", 5.0), ("c", 4.0), ("c", 4.0), ("c", None), ("d", None)], "g string, x double")
+    assert {r["g"]: (r["median"], r["upper_median"]) for r in ranks.medians(rows, "x", "g").collect()} == {"a": (2.5, 3.0), "b": (5.0, 5.0), "c": (4.0, 4.0)}
+    one = ranks.medians(rows, "x").first()
+    assert (one["median"], one["upper_median"]) == (4.0, 4.0) and ranks.medians(rows.limit(0), "x").first()["median"] is None
