@@ -18,6 +18,11 @@ POPULAR_KEYS = {"".join(c for c in m.lower() if c.isalnum()): m for m in POPULAR
 _TRIM = r"^[ ,.;:-]+|[ ,.;:-]+$"
 
 
+def words(texts: tuple[str, ...]) -> Column:
+    """A literal array, parsed at once: a list of literals costs the driver several calls for each."""
+    return F.expr("array(" + ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in texts) + ")")
+
+
 def choice(key: Column, table: dict[str, str], default: Column | str) -> Column:
     out = F.lit(default) if isinstance(default, str) else default
     for k, v in table.items():

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..domain import CATEGORY_DISPLAY, DEFAULT_CATEGORY, KEYWORDS
 from ..functions.dates import let
+from ..functions.text import words
 
 
 def alone(keywords: tuple[str, ...]) -> str:
@@ -17,7 +18,7 @@ def alone(keywords: tuple[str, ...]) -> str:
 
 
 def _inside(keywords: tuple[str, ...]) -> Column:
-    return F.array(*[F.lit(k) for k in keywords if len(k) > 4])
+    return words(tuple(k for k in keywords if len(k) > 4))
 
 
 def by_keyword(text: Column) -> Column:
@@ -34,32 +35,43 @@ def result(label: Column, confidence: Column | float, source: str) -> Column:
     return F.struct(label.alias("label"), F.lit(confidence).cast("double").alias("confidence") if isinstance(confidence, float) else confidence.alias("confidence"), F.lit(source).alias("source"))
 
 
-def classify(text: Column, learned: Column | None = None) -> Column:
-    """(label, confidence, source): keyword at 0.68, else ``learned`` (a struct of label and confidence) from 0.55 on, else the default."""
-    word, other = by_keyword(text), F.lit(DEFAULT_CATEGORY)
+def _classified(text: Column, word: Column, learned: Column | None = None) -> Column:
+    """``classify`` of a text whose keyword's category is known."""
+    other = F.lit(DEFAULT_CATEGORY)
     rest = result(other, 0.0, "ml_unavailable")
     if learned is not None:
         rest = F.when(learned["confidence"] >= 0.55, result(learned["label"], learned["confidence"], "ml_classifier")).otherwise(result(other, learned["confidence"], "ml_low_confidence"))
     return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", result(other, 0.0, "empty_input")).when(word.isNotNull(), result(word, 0.68, "keyword")).otherwise(rest)
 
 
+def classify(text: Column, learned: Column | None = None) -> Column:
+    """(label, confidence, source): keyword at 0.68, else ``learned`` (a struct of label and confidence) from 0.55 on, else the default."""
+    return let(by_keyword(text), lambda word: _classified(text, word, learned))
+
+
 def by_merchant(merchant: Column) -> Column:
     """(label, confidence, source) of a merchant's own words at 0.78, or null."""
-    return F.when(by_keyword(merchant).isNotNull(), result(by_keyword(merchant), 0.78, "merchant_keyword"))
+    return let(by_keyword(merchant), lambda word: F.when(word.isNotNull(), result(word, 0.78, "merchant_keyword")))
 
 
 def chain(merchant: Column, app_label: Column, raw: Column, is_receipt: Column, timed_out: Column) -> Column:
     """The first that applies: merchant's words, the app's label, timeout, classifier, receipt's text (at most 0.42), screenshot's text (at most 0.55), none."""
     blank = F.trim(F.coalesce(merchant, F.lit(""))) == ""
-    return (
-        F.when(by_merchant(merchant).isNotNull(), by_merchant(merchant))
-        .when(app_label.isin(*CATEGORY_DISPLAY), result(app_label, 0.72, "app_label"))
-        .when(timed_out, result(F.lit(DEFAULT_CATEGORY), 0.0, "timeout"))
-        .when(~blank, classify(merchant))
-        .when(is_receipt, F.struct(classify(raw)["label"].alias("label"), F.least(F.lit(0.42), classify(raw)["confidence"]).alias("confidence"), F.lit("receipt_raw_text").alias("source")))
-        .when(by_keyword(raw).isNotNull(), result(by_keyword(raw), 0.55, "screenshot_raw_keyword"))
-        .otherwise(result(F.lit(DEFAULT_CATEGORY), 0.0, "screenshot_no_merchant"))
-    )
+
+    def first(w: Column) -> Column:
+        receipt = let(_classified(raw, w["raw"]), lambda c: F.struct(c["label"].alias("label"), F.least(F.lit(0.42), c["confidence"]).alias("confidence"), F.lit("receipt_raw_text").alias("source")))
+        return (
+            F.when(w["merchant"].isNotNull(), result(w["merchant"], 0.78, "merchant_keyword"))
+            .when(app_label.isin(*CATEGORY_DISPLAY), result(app_label, 0.72, "app_label"))
+            .when(timed_out, result(F.lit(DEFAULT_CATEGORY), 0.0, "timeout"))
+            .when(~blank, _classified(merchant, w["merchant"]))
+            .when(is_receipt, receipt)
+            .when(w["raw"].isNotNull(), result(w["raw"], 0.55, "screenshot_raw_keyword"))
+            .otherwise(result(F.lit(DEFAULT_CATEGORY), 0.0, "screenshot_no_merchant"))
+        )
+
+    # The text counts only where the merchant is blank and so says nothing.
+    return let(F.struct(by_keyword(merchant).alias("merchant"), by_keyword(F.when(blank, raw)).alias("raw")), first)
 
 
 def hybrid(text: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..domain import DOCUMENT_LABELS, POPULAR_MERCHANTS, RECEIPT_TYPES, SCREENSHOT_TYPES
 from ..functions import dates, money
 from ..functions.dates import fixed_digits, let
-from ..functions.text import CITIES, POPULAR_KEYS, choice, merchant_key, misread_merchants, misread_variants, ratio
+from ..functions.text import CITIES, POPULAR_KEYS, choice, merchant_key, misread_merchants, misread_variants, ratio, words
 from ..session import ship
 
 NOT_FOUND = "Merchant tidak terdeteksi"
@@ -69,7 +69,7 @@ def total_of(rules: list[Rule]) -> Column:
 
 
 def hits(text: Column, phrases: tuple[str, ...]) -> Column:
-    return F.size(F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(text, p)))
+    return F.size(F.filter(words(phrases), lambda p: F.contains(text, p)))
 
 
 def trimmed_amount(text: Column) -> Column:
@@ -94,8 +94,8 @@ def document_type(lines: Column) -> Column:
         strong = full.rlike(r"\b(merchant\s+pan|customer\s+pan|terminal\s+id|reference\s+number|transaction\s+id|source\s+of\s+fund|acquirer\s+name)\b")
         hint = full.rlike(r"\b(qr\s+bayar|pembayaran\s+qris|pembayaran\s+qr)\b")
         compact = (hits(full, COMPACT) > 0) & ((n <= 20) | (full.rlike(r"\b(?:rp|idr)\s*[0-9.,oilsb]{4,}") & full.rlike(r"(^|\n|\b)ke\s+[a-z0-9]")))
-        words = F.regexp_count(full, F.lit(r"\b(subtotal|sub total|grand total|total due|amount due|balance due|nett?|tax|vat|service|discount|cash|tunai|change|kembali|kembalian)\b"))
-        receipt = hits(full, RECEIPT) + F.least(F.lit(6), words) + F.least(F.lit(6), items) + F.when(paid & (items >= 2), 4).otherwise(0) + F.when(brand & paid, 5).otherwise(0)
+        said = F.regexp_count(full, F.lit(r"\b(subtotal|sub total|grand total|total due|amount due|balance due|nett?|tax|vat|service|discount|cash|tunai|change|kembali|kembalian)\b"))
+        receipt = hits(full, RECEIPT) + F.least(F.lit(6), said) + F.least(F.lit(6), items) + F.when(paid & (items >= 2), 4).otherwise(0) + F.when(brand & paid, 5).otherwise(0)
         detail, wallet = hits(full, DETAIL), hits(full, WALLET)
         screen = 2 * detail + 2 * wallet + total_of([(full.rlike(r"\b(customer pan|merchant pan|terminal id|reference|rrn|stan|source of fund)\b"), 4), (hint & ((detail > 0) | (wallet > 0) | (n <= 20)), 3), (full.rlike(r"\b(share|bagikan|category|kategori|main pocket|saldo)\b"), 2)])
 
@@ -357,7 +357,7 @@ def receipt_merchant(f: Column) -> Column:
     kinds = F.transform(f, lambda x, i: F.when(x["low"].rlike("subtotal|sub total|total|tax|ppn|pb1|service|tunai|qty"), F.greatest(F.lit(0), i - 2)).when(x["low"].rlike(r"\b(item|price|amount)\b") | x["item"], i))
     start = F.coalesce(F.get(F.filter(kinds, lambda k: k.isNotNull()), F.lit(0)), n)
     top = F.least(n, F.greatest(F.lit(3), F.least(F.lit(10), F.floor((n + 3) / 4).cast("int"))))
-    words = "subtotal|total|tax|ppn|pb1|service|tunai|payment|debit|qris|qty|cashier|kasir|operator|receipt|rcpt|table|guest|shopping|groceries|category|belanja|folio|account statement|your account|satisfaction|reservations|return policy|our pleasure|hope you|unhappy|important to us"
+    heads = "subtotal|total|tax|ppn|pb1|service|tunai|payment|debit|qris|qty|cashier|kasir|operator|receipt|rcpt|table|guest|shopping|groceries|category|belanja|folio|account statement|your account|satisfaction|reservations|return policy|our pleasure|hope you|unhappy|important to us"
     function_word = r"\b(your|our|the|and|but|are|were|will|have|has|with|for|that|this|from|they|you|we|it|not|any|all|been|may|if|of|to|in|is|or)\b"
 
     def candidate(x: Column, i: Column) -> Column:
@@ -369,7 +369,7 @@ def receipt_merchant(f: Column) -> Column:
         below = F.get(f, i + 1)
         price_below = F.coalesce(~below["raw"].rlike("[A-Za-z]") & (F.size(below["values"]) > 0) & ~below["low"].rlike(DAY), F.lit(False))
         bad = (
-            (F.length(s) < 3) | (F.length(s) > 60) | low.rlike(ADDRESS) | low.rlike(words) | low.rlike(r"http|www\.|@|\.com|\brece\b|\breceip[a-z]{0,3}\b") | ~s.rlike("[A-Za-z]{3,}") | s.endswith(":")
+            (F.length(s) < 3) | (F.length(s) > 60) | low.rlike(ADDRESS) | low.rlike(heads) | low.rlike(r"http|www\.|@|\.com|\brece\b|\breceip[a-z]{0,3}\b") | ~s.rlike("[A-Za-z]{3,}") | s.endswith(":")
             | sentence | (x["bad"] & ~x["known"]) | (x["item"] & ~x["known"]) | plain | price_below
         )
         score = 100 - 8 * i + total_of([(i <= 2, 30), (digits > letters, -40), ((letters >= 5) & (vowels >= 2), 10)])
@@ -457,9 +457,9 @@ HEAD = 10
 def kept_merchant(found: Column, existing: Column, screen: Column) -> Column:
     """(value, confidence): the merchant found, or one that an earlier reading gave where that is valid and the found one invalid, weak or shorter."""
     name = trimmed_place(existing)
-    words = lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
+    count = lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
     valid = (F.coalesce(existing, F.lit("")) != "") & ~bad_merchant(existing) & (F.coalesce(name, F.lit("")) != "") & ~bad_merchant(name)
-    fuller = (found["confidence"] < 0.72) & (words(name) > words(found["value"])) & (F.length(name) >= F.length(found["value"]))
+    fuller = (found["confidence"] < 0.72) & (count(name) > count(found["value"])) & (F.length(name) >= F.length(found["value"]))
     weak = bad_merchant(found["value"]) | (found["value"] == NOT_FOUND) | (found["confidence"] < 0.55) | fuller
     return F.when(valid & weak, F.struct(name.alias("value"), F.greatest(found["confidence"], F.when(screen, 0.62).otherwise(0.50)).alias("confidence"))).otherwise(found)
 

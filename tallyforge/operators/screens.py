@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, money
 from ..functions.dates import let
 from ..functions.text import choice
+from ..functions.text import words as literals
 from .extract import total_of, trimmed_amount
 
 #: Words beside which the amount of a payment stands, and such as only fees and balances have.
@@ -96,7 +97,7 @@ _LOCATION = r"(?i)^[A-Z][A-Z\s]+,\s*[0-9]{4,6}(\s*,\s*[A-Z]{2})?$"
 
 
 def any_of(text: Column, words: tuple[str, ...]) -> Column:
-    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+    return F.exists(literals(words), lambda w: F.contains(text, w))
 
 
 def repaired(text: Column) -> Column:
