@@ -19,6 +19,7 @@ IDEAL = {"kebutuhan": 0.5, "keinginan": 0.3, "tabungan": 0.2}
 DEFAULT_CATEGORY, DEFAULT_BUCKET = "lainnya", "keinginan"
 #: Month names of labels, and month words that dates are written with.
 MONTH_NAMES = ("Januari", "Februari", "Maret", "April", "Mei", "Juni", "Juli", "Agustus", "September", "Oktober", "November", "Desember")
+SHORT_MONTHS = ("Jan", "Feb", "Mar", "Apr", "Mei", "Jun", "Jul", "Agu", "Sep", "Okt", "Nov", "Des")
 MONTH_WORDS = {
     1: ("jan", "januari"), 2: ("feb", "februari"), 3: ("mar", "maret"), 4: ("apr", "april"), 5: ("may", "mei"), 6: ("jun", "juni"),
     7: ("jul", "juli"), 8: ("aug", "agu", "ags", "agustus"), 9: ("sep", "sept", "september"), 10: ("okt", "oct", "oktober", "october"),

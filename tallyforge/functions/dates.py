@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..domain import MONTH_NAMES, MONTH_WORDS
+from ..domain import MONTH_NAMES, MONTH_WORDS, SHORT_MONTHS
 
 
 def normalised(raw: Column) -> Column:
@@ -35,6 +35,19 @@ def month_label(prefix: Column) -> Column:
     return F.when(ok, F.concat(name, F.lit(" "), F.substring(prefix, 1, 4))).otherwise(prefix)
 
 
+def from_ymd(ymd: Column) -> Column:
+    """The date of text that begins YYYY-MM-DD, days and months beyond their end counting on; null if it is shorter or has a zero."""
+    part = lambda k: F.regexp_extract(F.substring(ymd, 1, 10), r"^([0-9]+)-([0-9]+)-([0-9]+)$", k).try_cast("int")
+    first = F.add_months(F.make_date(part(1), F.lit(1), F.lit(1)), part(2) - 1)
+    return F.when((F.length(ymd) >= 10) & (part(1) > 0) & (part(2) > 0) & (part(3) > 0), F.date_add(first, part(3) - 1))
+
+
+def tick_label(ymd: Column) -> Column:
+    """'5 Jan' of a day, as charts show it; other text unchanged."""
+    day = from_ymd(ymd)
+    return F.coalesce(F.concat(F.dayofmonth(day).cast("string"), F.lit(" "), F.element_at(F.array(*map(F.lit, SHORT_MONTHS)), F.month(day))), ymd)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed once however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -51,22 +51,32 @@ def escaped(x: Column) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """Whole numbers without decimals."""
-    return F.when(x == F.floor(x), x.cast("bigint").cast("string")).otherwise(x.cast("string"))
+    """Whole numbers without decimals, others with two."""
+    return F.when(x == F.floor(x), x.cast("bigint").cast("string")).when(x.isNotNull(), F.format_string("%.2f", x.cast("double")))
 
 
-def encoded(fields: dict[str, Column], items: Column | None = None) -> Column:
-    """Target text: a tag around each field that isn't null, and each item with its own."""
-    tag = lambda name, x: F.when(x.isNotNull(), F.concat(F.lit(f"<s_{name}>"), escaped(x.cast("string")), F.lit(f"</s_{name}>")))
-    parts = [tag(k, v) for k, v in fields.items()]
+#: The tags of target texts, in their order: of a record, then of its items.
+RECORD_TAGS, ITEM_TAGS = ("source", "merchant", "date", "total", "currency", "category", "items"), ("item", "name", "qty", "unit_price", "price")
+
+
+def _tag(name: str, x: Column) -> Column:
+    return F.when(x.isNotNull(), F.concat(F.lit(f"<s_{name}>"), x, F.lit(f"</s_{name}>")))
+
+
+def encoded(source: Column, merchant: Column, date: Column, total: Column, currency: Column, category: Column, items: Column | None = None) -> Column:
+    """Target text of a record: a tag around each field that is there, and around its items each with its own."""
+    there = lambda x: F.nullif(x, F.lit(""))
+    parts = [source, escaped(there(merchant)), escaped(there(date)), number_text(total), there(currency), escaped(there(category))]
     if items is not None:
-        one = lambda i: F.concat_ws("", F.lit("<s_item>"), tag("name", i["name"]), tag("qty", number_text(i["quantity"])), tag("price", number_text(i["total_price"])), F.lit("</s_item>"))
-        parts.append(F.array_join(F.transform(items, one), ""))
-    return F.concat_ws("", F.lit("<s_receipt>"), *parts, F.lit("</s_receipt>"))
+        fields = lambda i: (escaped(i["name"]), number_text(i["quantity"]), number_text(i["unit_price"]), number_text(i["total_price"]))
+        one = lambda i: _tag("item", F.concat_ws("", *[_tag(t, x) for t, x in zip(ITEM_TAGS[1:], fields(i), strict=True)]))
+        parts.append(F.when(F.size(items) > 0, F.array_join(F.transform(items, one), "")))
+    return F.concat_ws("", *[_tag(t, x) for t, x in zip(RECORD_TAGS, parts, strict=False)])
 
 
-def special_tokens(fields: tuple[str, ...] = ("receipt", "merchant", "date", "total", "category", "items", "item", "name", "qty", "price", "unit_price", "source")) -> list[str]:
-    return [f"<{slash}s_{f}>" for f in fields for slash in ("", "/")]
+def special_tokens() -> list[str]:
+    """The opening and the closing tag of each field."""
+    return [f"<{slash}s_{t}>" for t in (*RECORD_TAGS, *ITEM_TAGS) for slash in ("", "/")]
 
 
 def label_shares(rows: DataFrame, label: str, split: str = "split") -> DataFrame:

@@ -419,11 +419,28 @@ def suspected_errors(spark, sf):
     return e.select("id", etl.suspected_error(F.when(F.col("id") % 17 == 0, "x"), F.col("merchant"), F.col("amount"), F.col("date"), F.col("id") % 100 / 100).alias("error"))
 
 
-@query("SELECT c_custkey AS id, '<s_receipt><s_merchant>' || replace(replace(c_name || '<&>', '&', '&amp;'), '<', '&lt;')[1:-2] || '&gt;</s_merchant>' || CASE WHEN c_custkey % 2 = 0 THEN '<s_category>' || c_mktsegment || '</s_category>' ELSE '' END || '</s_receipt>' AS target FROM customer")
+@query("""SELECT c_custkey AS id, '<s_source>cord</s_source><s_merchant>' || c_name || '&lt;&amp;&gt;</s_merchant>' || CASE WHEN c_custkey % 4 = 0 THEN '' WHEN c_custkey % 4 = 1 THEN '<s_total>' || c_custkey || '</s_total>' ELSE '<s_total>' || printf('%.2f', c_custkey + 0.25) || '</s_total>' END || '<s_currency>IDR</s_currency>'
+ || CASE WHEN c_custkey % 2 = 0 THEN '<s_category>' || c_mktsegment || '</s_category>' ELSE '' END || CASE WHEN c_custkey % 3 = 0 THEN '<s_items><s_item><s_name>a&apos;b</s_name><s_qty>2</s_qty><s_unit_price>' || c_custkey || '.50</s_unit_price></s_item><s_item><s_name>c</s_name><s_price>' || c_custkey || '</s_price></s_item></s_items>' ELSE '' END AS target FROM customer""")
 def encoded_targets(spark, sf):
-    c = t(spark, sf, "customer")
-    fields = {"merchant": F.concat("c_name", F.lit("<&>")), "category": F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment"))}
-    return c.select(F.col("c_custkey").alias("id"), etl.encoded(fields).alias("target"))
+    c, k, null = t(spark, sf, "customer"), F.col("c_custkey").cast("double"), F.lit(None).cast("double")
+    item = lambda n, q, u, p: F.struct(F.lit(n).alias("name"), q.alias("quantity"), u.alias("unit_price"), p.alias("total_price"))
+    items = F.when(k % 3 == 0, F.array(item("a'b", F.lit(2.0), k + 0.5, null), item("c", null, null, k))).otherwise(F.array().cast(f"array<{etl.ITEM}>"))
+    total = F.when(k % 4 == 1, k).when(k % 4 != 0, k + 0.25)
+    target = etl.encoded(F.lit("cord"), F.concat("c_name", F.lit("<&>")), F.lit(""), total, F.lit("IDR"), F.when(k % 2 == 0, F.col("c_mktsegment")), items)
+    return c.select(F.col("c_custkey").alias("id"), target.alias("target"))
+
+
+@query(f"WITH p AS (SELECT p_partkey AS id, lower(p_name) AS x, p_partkey % 100 / 100.0::DOUBLE AS c FROM part), k AS (SELECT *, {_keyword_sql('x')} AS w FROM p) SELECT id, coalesce(w, CASE WHEN c >= 0.55 THEN 'hiburan' ELSE 'lainnya' END) AS label, CASE WHEN w IS NULL THEN c ELSE 0.68 END::DOUBLE AS confidence, CASE WHEN w IS NOT NULL THEN 'keyword' WHEN c >= 0.55 THEN 'ml_classifier' ELSE 'ml_low_confidence' END AS origin FROM k")
+def learned_category(spark, sf):
+    """A learned classifier in its place behind the keywords; its label and confidence are given here by a rule."""
+    got = categorize.classify(F.col("p_name"), F.struct(F.lit("hiburan").alias("label"), (F.col("p_partkey") % 100 / 100).alias("confidence")))
+    return t(spark, sf, "part").select(F.col("p_partkey").alias("id"), got["label"].alias("label"), got["confidence"].alias("confidence"), got["source"].alias("origin"))
+
+
+@query("SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate + INTERVAL 40 DAY, '%Y-%m-%d') AS later, day(o_orderdate) || ' ' || ['Jan', 'Feb', 'Mar', 'Apr', 'Mei', 'Jun', 'Jul', 'Agu', 'Sep', 'Okt', 'Nov', 'Des'][month(o_orderdate)] AS tick FROM orders")
+def tick_labels(spark, sf):
+    days = t(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).distinct()
+    return days.select("day", F.date_format(F.date_add(dates.from_ymd(F.col("day")), 40), "yyyy-MM-dd").alias("later"), dates.tick_label(F.col("day")).alias("tick"))
 
 
 @query("SELECT l_orderkey AS path, 'i' || l_linenumber AS name, l_quantity AS quantity, floor(l_extendedprice)::DOUBLE AS total_price FROM lineitem")

@@ -35,9 +35,9 @@ def replace_ledger(ledger: DataFrame, path: str) -> None:
 def unified_rows(rows: DataFrame) -> DataFrame:
     """Rows of ``etl.unified`` with ``split`` (and ``items``, where they are known) as training data has them."""
     items = F.col("items") if "items" in rows.columns else F.lit(None).cast(f"array<{etl.ITEM}>")
-    fields = {"merchant": F.col("merchant"), "date": F.col("date"), "total": etl.number_text(F.col("total")), "category": F.col("category")}
+    target = etl.encoded(F.col("source"), F.col("merchant"), F.col("date"), F.col("total"), F.lit("IDR"), F.col("category"), items)
     return rows.select(
-        F.col("path").alias("image_path"), etl.encoded(fields, items).alias("donut_target"), "source", "language", "category", "merchant", F.col("date").alias("transaction_date"), F.col("total").alias("total_amount"),
+        F.col("path").alias("image_path"), target.alias("donut_target"), "source", "language", "category", "merchant", F.col("date").alias("transaction_date"), F.col("total").alias("total_amount"),
         F.lit("IDR").alias("currency"), F.col("text").alias("text_for_classification"), F.coalesce(F.size(items), F.lit(0)).alias("n_items"), "split",
     )
 

@@ -137,3 +137,16 @@ def test_split_of_strata(spark):
     rows = spark.createDataFrame([(i, "a" if i < 95 else None if i < 99 else "c") for i in range(100)], "id long, source string")
     got = {(r["source"], r["split"]): r["count"] for r in etl.stratified_split(rows).groupBy("source", "split").count().collect()}
     assert got == {("a", "train"): 76, ("a", "val"): 9, ("a", "test"): 10, (None, "train"): 3, (None, "test"): 1, ("c", "test"): 1}
+
+
+def test_tags_of_targets():
+    tokens = etl.special_tokens()
+    assert len(tokens) == 24 and tokens[:2] == ["<s_source>", "</s_source>"] and tokens[-2:] == ["<s_price>", "</s_price>"]
+
+
+def test_days_count_on(spark):
+    from tallyforge.functions import dates
+
+    days = {"2024-01-05": "5 Jan", "2024-02-31": "2 Mar", "2024-13-01": "1 Jan", "2024-05": "2024-05", "2024-00-10": "2024-00-10", "x": "x"}
+    rows = spark.createDataFrame([(k,) for k in days], "d string")
+    assert {r["d"]: r["t"] for r in rows.select("d", dates.tick_label(F.col("d")).alias("t")).collect()} == days
