@@ -77,9 +77,12 @@ def valid_day(day: Column, month: Column, year: Column) -> Column:
 
 
 def fixed_digits(text: Column) -> Column:
-    """Letters that a scanner read for digits, in numeric surroundings: O 0, I and l 1, S 5, B 8."""
+    """Letters that a scanner read for digits, in numeric surroundings: O 0, I and l 1, S 5, B 8.
+
+    The long look back stands behind its letter, so that it is tried at such letters only.
+    """
     rules = [
-        (r"(?<=\d)[Oo]", "0"), (r"[Oo](?=\d)", "0"), (r"(?<=[.,][Oo0]{0,40})[Oo]", "0"), (r"(?<=\d)[Il](?=\d)", "1"), (r"(?<=[a-zA-Z])[Il](?=\d)", "1"),
+        (r"(?<=\d)[Oo]", "0"), (r"[Oo](?=\d)", "0"), (r"[Oo](?<=[.,][Oo0]{0,40}[Oo])", "0"), (r"(?<=\d)[Il](?=\d)", "1"), (r"(?<=[a-zA-Z])[Il](?=\d)", "1"),
         (r"(?<=\d)S(?=\d)", "5"), (r"(?<=\d)S(?=[.,]\d)", "5"), (r"(?<=\d)[Bb](?=[\d.,])", "8"),
     ]
     for pattern, to in rules:
