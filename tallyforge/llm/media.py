@@ -2,7 +2,7 @@
 
 ``stored`` gives each text's file; ``read_back`` decodes files of this kind (payload, tensor and features), and
 ``tensors`` any progressive or baseline file of a binary column. All are single passes without a shuffle; a worker holds
-one file's coefficients at a time. The query writes the files to the shared folder and reads them from there.
+one file's coefficients at a time. The query writes the files as a table to the shared folder and reads them from there.
 
 A feature is the tensor's size, mean and deviation of R, G and B, and a 64-bit average hash of an 8 x 8 luma thumbnail.
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import jpeg
-from ._common import batch_of, cut, ddl, pieces, ship, table, texts
+from ._common import batch_of, ddl, pieces, ship, table, texts, written
 
 STORED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 READ = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
@@ -84,4 +84,4 @@ def tensors(media: DataFrame, id_column: str = "doc_id", column: str = "media")
 
 
 def op3_media(spark, sf_dir: str) -> DataFrame:
-    return read_back(cut(stored(table(spark, sf_dir, "documents"))))
+    return read_back(written(stored(table(spark, sf_dir, "documents")), "media"))
