@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import minhash, mixing, packing, pii, quality
-from tallyforge.llm._common import cut, table
+from tallyforge.llm._common import cut, shared_folder, table
 
 #: A document stays if its score is at least this; the score is the learned chance of label 1.
 LEAST_QUALITY = 0.3
@@ -73,14 +73,8 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder where the cluster shares files: the checkpoint folder that the session names, else one set for tests."""
-    cut(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark)
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
