@@ -81,6 +81,7 @@ def fixed_digits(text: Column) -> Column:
 
     The long look back stands behind its letter, so that it is tried at such letters only.
     """
+    # What is repaired, in order.
     rules = [
         (r"(?<=\d)[Oo]", "0"), (r"[Oo](?=\d)", "0"), (r"[Oo](?<=[.,][Oo0]{0,40}[Oo])", "0"), (r"(?<=\d)[Il](?=\d)", "1"), (r"(?<=[a-zA-Z])[Il](?=\d)", "1"),
         (r"(?<=\d)S(?=\d)", "5"), (r"(?<=\d)S(?=[.,]\d)", "5"), (r"(?<=\d)[Bb](?=[\d.,])", "8"),
@@ -94,12 +95,14 @@ def parsed(raw: Column) -> Column:
     """DD/MM/YYYY from text that starts with a date in one of five forms, or ''."""
     s = F.regexp_replace(fixed_digits(F.coalesce(raw, F.lit(""))), r"(?<=\d)\s*([/.\-_|])\s*(?=\d)", "$1")
     s = F.trim(F.regexp_replace(s, r"\s+", " "))
+    # Times after a date.
     clock = r"\d{1,2}[:.]\d{2}(?:[:.]\d{2})?\s*(?:\w{2,4})?\s*$"
     s = F.trim(F.regexp_replace(s, r"\s*[-–]\s*\d{1,2}:\d{2}(?::\d{2})?(?:\s*\w{2,4})?\s*$", ""))
     s = F.trim(F.regexp_replace(s, r",\s*" + clock, ""))
     s = F.trim(F.regexp_replace(s, r"(?i)\s+\d{1,2}[:.]\d{2}(?::\d{2})?\s*(?:wib|wita|wit|am|pm)?\s*$", ""))
 
     sep = r"[/.\-_|]"
+    # Forms of dates, in order.
     forms = [
         (r"^(\d{1,2})\s+([A-Za-z]{3,})\.?\s+(\d{2,4})", 1, 2, 3, "named"), (r"^([A-Za-z]{3,})\.?\s+(\d{1,2}),?\s+(\d{2,4})", 2, 1, 3, "named"),
         (rf"^(\d{{4}}){sep}(\d{{1,2}}){sep}(\d{{1,2}})", 3, 2, 1, ""), (rf"^(\d{{1,2}}){sep}(\d{{1,2}}){sep}(\d{{2,4}})", 1, 2, 3, "swaps"), (r"^(\d{2})(\d{2})(\d{4})$", 1, 2, 3, ""),

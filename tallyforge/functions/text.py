@@ -54,6 +54,7 @@ def clean_merchant(text: Column) -> Column:
     """A merchant's name without payment prefixes and suffixes, place codes and tails; popular names by key as they are spelled."""
     c = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")
     c = F.regexp_replace(c, r"^[ ,.;:\-!()\[\]{}]+|[ ,.;:\-!()\[\]{}]+$", "")
+    # What payment apps put before and after a name.
     c = _stripped(F.regexp_replace(c, r"(?i)^(?:fmi\s*qr|qr\s*pay|pembayaran\s*qr|bayar\s*qr|qr\s*bayar|qris|qr)\s+", ""))
     c = _stripped(F.regexp_replace(c, r"(?i)\s+(?:qris|qr|q)\s*$", ""))
     key, popular = merchant_key(c), F.lit(None).cast("string")
@@ -72,6 +73,7 @@ def valid_merchant(text: Column) -> Column:
     low = F.lower(c)
     digits, letters = F.length(F.regexp_replace(c, "[^0-9]", "")), F.length(F.regexp_replace(c, "[^A-Za-z]", ""))
     vowels = F.length(F.regexp_replace(low, "[^aeiou]", ""))
+    # What no merchant's name is.
     bad = (
         (F.length(c) < 2)
         | low.rlike(rf"^(?:{CITIES})\s*,?\s*id$")

@@ -41,6 +41,7 @@ def advice(ledger: DataFrame, income: float) -> DataFrame:
     need, want, save = (F.col(f"{b}_ratio") * 100 for b in BUCKETS)
     percent = lambda x: F.concat(F.rint(x).cast("int").cast("string"), F.lit("%"))
     spent = F.col("spent")
+    # Limits, and what the advice says.
     rules = [
         ("over_income", spent > income, F.concat(F.lit("Pengeluaran melebihi pemasukan sebesar "), rupiah(spent - income), F.lit(". Coba kurangi pengeluaran keinginan terlebih dahulu."))),
         ("needs_high", need > 55, F.concat(F.lit("Pengeluaran kebutuhan ("), percent(need), F.lit(") melebihi batas ideal 50%. Cek tagihan atau biaya transportasi yang bisa dihemat."))),

@@ -97,6 +97,7 @@ def document_type(lines: Column) -> Column:
         said = F.regexp_count(full, F.lit(r"\b(subtotal|sub total|grand total|total due|amount due|balance due|nett?|tax|vat|service|discount|cash|tunai|change|kembali|kembalian)\b"))
         receipt = hits(full, RECEIPT) + F.least(F.lit(6), said) + F.least(F.lit(6), items) + F.when(paid & (items >= 2), 4).otherwise(0) + F.when(brand & paid, 5).otherwise(0)
         detail, wallet = hits(full, DETAIL), hits(full, WALLET)
+        # What each test weighs.
         screen = 2 * detail + 2 * wallet + total_of([(full.rlike(r"\b(customer pan|merchant pan|terminal id|reference|rrn|stan|source of fund)\b"), 4), (hint & ((detail > 0) | (wallet > 0) | (n <= 20)), 3), (full.rlike(r"\b(share|bagikan|category|kategori|main pocket|saldo)\b"), 2)])
 
         def by_scores(s: Column) -> Column:
@@ -149,6 +150,7 @@ def best_date(f: Column) -> Column:
             low = x["low"]
             skip = low.rlike(REF) & ~low.rlike("tanggal|date|waktu|time")
             labelled = low.rlike(near)
+            # What each test weighs.
             line_score = 50 + total_of([
                 (labelled, 50), (~labelled & around(f, i, -2, 2).rlike(near + "|transaksi|transaction|payment|pembayaran"), 35), (i <= F.greatest(F.lit(3), F.floor(n / 4)), 15),
                 ((i > F.greatest(F.lit(3), F.floor(n / 4))) & (i <= F.greatest(F.lit(6), F.floor(n / 2))), 8), (low.rlike(r"\b[0-9]{1,2}[:.][0-9]{2}(:[0-9]{2})?\b"), 8), (low.rlike(r"[a-z0-9]{5,}-[a-z0-9-]{4,}"), -60),
@@ -209,6 +211,7 @@ def receipt_amount(f: Column) -> Column:
             flag = lambda t: F.when(t.rlike(CHANGE), -500).when(t.rlike(CASH) & with_change, -200).otherwise(0)
             back = F.when(flag(one) != 0, flag(one)).otherwise(flag(two))
             ref, long, very = low.rlike(REF), (digits > 8) & ~final, digits > 10
+            # What each test weighs.
             fixed = base + back + total_of([
                 (due, 200), (total, 120), (amount, 80), ((kind == 2) & ~total_there, 50), ((kind == 2) & total_there, 15), (total_there & only_paid, -180), ((kind == 3) & total_there, -150), ((kind == 3) & ~total_there, -60),
                 (change, -500), (noise & final, -120), (noise & ~final, -900), (before.rlike(NOISE) & ~low.rlike(r"\b(grand\s+total|total|amount\s+due|total\s+due|balance\s+due|due|bayar|tunai)\b"), -450), (url, -900), (back_url, -650),
@@ -246,6 +249,7 @@ def screen_amount(f: Column, kind: Column) -> Column:
         rp = low.rlike(r"\b(rp|idr)")
         third, half = F.greatest(F.lit(3), F.floor(n / 3)), F.greatest(F.lit(5), F.floor(n / 2))
         artifact = x["raw"].rlike(r"[0-9]+[.,][0-9]{4,}") | (compact & x["norm"].rlike(r"\b[0-9]{3}[.,]00[1-9]\b"))
+        # What each test weighs.
         fixed = base + total_of([
             (low.rlike(SCREEN_REJECT), -120), (before.rlike(SCREEN_REJECT) & ~window.rlike(MAIN), -140), (low.rlike(REF), -120),
             (window.rlike(r"\b(customer\s+pan|merchant\s+pan|terminal\s+id|reference|transaction\s+id|source\s+of\s+fund|rekening|account)\b") & ~window.rlike(r"\b(rp|idr|total|nominal|jumlah|amount|bayar)\b"), -100),
@@ -372,6 +376,7 @@ def receipt_merchant(f: Column) -> Column:
             (F.length(s) < 3) | (F.length(s) > 60) | low.rlike(ADDRESS) | low.rlike(heads) | low.rlike(r"http|www\.|@|\.com|\brece\b|\breceip[a-z]{0,3}\b") | ~s.rlike("[A-Za-z]{3,}") | s.endswith(":")
             | sentence | (x["bad"] & ~x["known"]) | (x["item"] & ~x["known"]) | plain | price_below
         )
+        # What each test weighs.
         score = 100 - 8 * i + total_of([(i <= 2, 30), (digits > letters, -40), ((letters >= 5) & (vowels >= 2), 10)])
         return F.struct(F.when(bad, -1000).otherwise(score).alias("score"), (-i).alias("line"), name.alias("value"))
 

@@ -161,6 +161,7 @@ def amount(lines: Column) -> Column:
         def scored(i: Column, base: int, line: Column, values: Column) -> Column:
             low, norm = F.lower(line), repaired(F.lower(line))
             currency, fee, numbered = norm.rlike(CURRENCY), any_of(low, ("biaya admin", "fee", "saldo")), low.rlike(NUMBERED)
+            # What each test weighs.
             fixed = base + total_of([
                 (fee, -55), (low.rlike(NOT_FINAL), -50), (numbered, -90), (low.contains("token") & ~currency, -90), (norm.rlike(r"^[\s\-–—]*(?:rp|idr)\b"), 45), (norm.rlike(r"[\-–—]\s*(?:rp|idr)\b"), 30),
                 (i <= F.greatest(F.lit(3), F.floor(n / 3)), 35), ((i <= F.greatest(F.lit(5), F.floor(n / 2))) & success, 18), (any_of(low, ("total", "nominal", "jumlah", "amount", "tagihan")), 55), (any_of(low, DONE), 35),
@@ -253,6 +254,7 @@ def date_candidates(lines: Column) -> Column:
             window = F.lower(F.array_join(F.slice(f, F.greatest(i - 1, F.lit(0)) + 1, F.least(i + 2, n) - F.greatest(i - 1, F.lit(0))), " "))
             found = F.concat(*[F.regexp_extract_all(x, F.lit(p), 0) for p, *_ in FORMS])
             near = window.rlike(NEAR_DATE)
+            # What each test weighs.
             score = 60 + total_of([(window.rlike(DATE_WORDS), 50), (i <= F.greatest(F.lit(5), F.floor(n / 2)), 20), (x.rlike(r"\b[0-9]{1,2}[:.][0-9]{2}(?::[0-9]{2})?\b"), 8), (window.rlike(NO_DATE), -70)])
             made = lambda s: F.transform(found, lambda r, k: F.struct(s["s"].alias("score"), (-i).alias("line"), (-k).alias("place"), F.when(~likely_time(r) | s["n"], date_value(r)).alias("value")))
             return F.filter(let(F.struct(score.alias("s"), near.alias("n")), made), lambda c: c["value"].isNotNull())
