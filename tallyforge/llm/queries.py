@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licences, media, merkle, minhash, mixing, negatives, packing, pii, quality, suffixes, warc
+from . import infill, licences, media, merkle, minhash, mixing, negatives, packing, pii, quality, suffixes, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,10 +15,11 @@ QUERIES = {
     "op8_fingerprints": merkle.op8_fingerprints,
     "op9_mixing": mixing.op9_mixing,
     "op10_warc": warc.op10_warc,
+    "op12_infill": infill.op12_infill,
     "op13_negatives": negatives.op13_negatives,
 }
 
 
 def oracle() -> dict[str, str]:
     """SQL of those that it can express; made when asked for, since the licence classifier is fitted for it."""
-    return {"op6_licences": licences.oracle(), "op9_mixing": mixing.ORACLE, "op10_warc": warc.ORACLE, "op13_negatives": negatives.ORACLE}
+    return {"op6_licences": licences.oracle(), "op9_mixing": mixing.ORACLE, "op10_warc": warc.ORACLE, "op12_infill": infill.ORACLE, "op13_negatives": negatives.ORACLE}
