@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import infill, licences, media, merkle, minhash, mixing, negatives, packing, pii, quality, suffixes, warc
+from . import infill, licences, media, merkle, minhash, mixing, negatives, packing, pii, quality, suffixes, warc, windows
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_fingerprints": merkle.op8_fingerprints,
     "op9_mixing": mixing.op9_mixing,
     "op10_warc": warc.op10_warc,
+    "op11_windows": windows.op11_windows,
     "op12_infill": infill.op12_infill,
     "op13_negatives": negatives.op13_negatives,
 }
