@@ -35,18 +35,23 @@ def insert(ledger: DataFrame, new: DataFrame) -> DataFrame:
     numbered = number(rows, ["saved_at", "merchant", "amount"])
     top = ledger.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     numbered = numbered.crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.col("number"))  # one row
-    return ledger.select(*FIELDS).unionByName(numbered.select(*FIELDS))
+    if "place" not in ledger.columns:
+        return ledger.select(*FIELDS).unionByName(numbered.select(*FIELDS))
+    return ledger.select(*FIELDS, "place").unionByName(numbered.select(*FIELDS), allowMissingColumns=True)  # new ones come last
 
 
 def update_category(ledger: DataFrame, updates: DataFrame) -> DataFrame:
     """Categories by id from ``updates`` (id, category); ids that repeat in it take the greatest category.
 
-    Of records that share an id only the first changes: by when it was saved, then by the other fields.
+    Of records that share an id only the first changes: by its ``place`` in the file where the ledger has one, else by when
+    it was saved and the other fields.
     """
     u = updates.where(F.col("category").isin(*CATEGORY_DISPLAY)).groupBy("id").agg(F.max("category").alias("new"))
-    first = F.row_number().over(Window.partitionBy("id").orderBy("saved_at", "merchant", "amount", "date", "category", "source", "notes")) == 1
-    changed = ledger.select(*FIELDS).join(u, "id").withColumn("category", F.when(first, F.col("new")).otherwise(F.col("category"))).select(*FIELDS)
-    return ledger.select(*FIELDS).join(u, "id", "left_anti").unionByName(changed)
+    placed = "place" in ledger.columns
+    order, kept = (["place"], [*FIELDS, "place"]) if placed else (["saved_at", "merchant", "amount", "date", "category", "source", "notes"], list(FIELDS))
+    first = F.row_number().over(Window.partitionBy("id").orderBy(*order)) == 1
+    changed = ledger.select(*kept).join(u, "id").withColumn("category", F.when(first, F.col("new")).otherwise(F.col("category"))).select(*kept)
+    return ledger.select(*kept).join(u, "id", "left_anti").unionByName(changed)
 
 
 def unmatched(ledger: DataFrame, changes: DataFrame) -> DataFrame:
@@ -55,7 +60,7 @@ def unmatched(ledger: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def delete(ledger: DataFrame, ids: DataFrame) -> DataFrame:
-    return ledger.join(ids.select("id"), "id", "left_anti").select(*FIELDS)
+    return ledger.join(ids.select("id"), "id", "left_anti").select(*FIELDS, *(["place"] if "place" in ledger.columns else []))
 
 
 def truncate(ledger: DataFrame) -> DataFrame:

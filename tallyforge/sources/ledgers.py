@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,16 +18,81 @@ EVENT_CATEGORIES = {"click": "makanan_minuman", "error": "lainnya", "purchase":
 SEGMENT_CATEGORIES = {"AUTOMOBILE": "transportasi", "BUILDING": "tagihan", "FURNITURE": "belanja", "HOUSEHOLD": "kesehatan", "MACHINERY": "pendidikan"}
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """A ledger of JSON records (one file with an array, or a folder of lines), or of Parquet; a missing path is an empty ledger, records that don't parse are none."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-        return spark.createDataFrame([], SCHEMA)
-    if path.rstrip("/").endswith(".parquet"):
-        return spark.read.schema(SCHEMA).parquet(path)
-    one_file = not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
-    return spark.read.schema(SCHEMA).option("multiLine", one_file).option("mode", "DROPMALFORMED").json(path)
+#: Where a record stands: file, first byte of the split that held it, and a number that grows within the split.
+PLACE = "struct<file:string,block:long,row:long>"
+_NUMBER = r"^\d{19}$"
+
+
+def _at(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def versions_of(path: str) -> str:
+    """The folder, beside a ledger, of its versions and of the numbered manifests that name them."""
+    return f"{path.rstrip('/')}.versions"
+
+
+def manifests(spark: SparkSession, path: str) -> list[str]:
+    """Paths of a ledger's manifests, oldest first."""
+    place, fs = _at(spark, versions_of(path))
+    if not fs.exists(place):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(place)]
+    return [f"{versions_of(path)}/{n}" for n in sorted(names) if re.match(_NUMBER, n)]
+
+
+def live(spark: SparkSession, path: str) -> str | None:
+    """The folder that a ledger's last manifest names; None if nothing was ever committed."""
+    known = manifests(spark, path)
+    return f"{versions_of(path)}/{spark.read.text(known[-1]).first()[0]}" if known else None
+
+
+def _typed(records: DataFrame) -> DataFrame:
+    """SCHEMA's columns, ``place`` and ``bad`` of (text, place): each record is cast by itself, and one that can't be is kept as text.
+
+    A record is bad if it is no object, its id no whole number, its amount no number or text of one, or another field no
+    text. Fields that are missing or null are null.
+    """
+    of = lambda name, kind: F.try_variant_get("_v", f"$.{name}", kind)
+    kind = lambda name: F.coalesce(F.schema_of_variant(of(name, "variant")), F.lit("VOID"))
+    bad = ~F.coalesce(F.schema_of_variant("_v"), F.lit("")).startswith("OBJECT") | ~kind("id").isin("BIGINT", "VOID") | ((kind("amount") != "VOID") & of("amount", "double").isNull())
+    for f in SCHEMA.fieldNames():
+        if f not in ("id", "amount"):
+            bad = bad | ~kind(f).isin("STRING", "VOID")
+    typed = records.withColumn("_v", F.try_parse_json("text")).withColumn("_bad", bad)
+    own = [F.when(~F.col("_bad"), of(f.name, f.dataType.simpleString())).alias(f.name) for f in SCHEMA.fields]
+    return typed.select(*own, F.col("place").cast(PLACE).alias("place"), F.when(F.col("_bad"), F.coalesce("text", F.lit("null"))).alias("bad"))
+
+
+def scan(spark: SparkSession, path: str, form: str | None = None) -> DataFrame:
+    """Every record of a ledger: SCHEMA's columns, its ``place``, and ``bad``, the text of one that doesn't fit them (else null).
+
+    form: ``array``, files that each hold one JSON array (the default for a file; a text that is no array, or doesn't parse,
+    holds no record); ``lines``, a record a line (for a folder); ``parquet`` (by name). What was committed with
+    ``sinks.replace_ledger`` comes before what ``path`` holds itself; a missing path is an empty ledger.
+    """
+    if committed := live(spark, path):
+        path, form = committed, "lines"
+    place, fs = _at(spark, path)
+    if not fs.exists(place):
+        return spark.createDataFrame([], SCHEMA).withColumns({"place": F.lit(None).cast(PLACE), "bad": F.lit(None).cast("string")})
+    form = form or ("parquet" if path.rstrip("/").endswith(".parquet") else "lines" if fs.getFileStatus(place).isDirectory() else "array")
+    if form == "parquet":
+        rows = spark.read.schema(SCHEMA).parquet(path)
+        return rows.select(*SCHEMA.fieldNames(), F.struct(F.col("_metadata.file_path").alias("file"), F.lit(0).cast("long").alias("block"), F.col("_metadata.row_index").alias("row")).cast(PLACE).alias("place"), F.lit(None).cast("string").alias("bad"))
+    if form == "array":
+        whole = spark.read.text(path, wholetext=True).select(F.trim(F.translate("value", "\ufeff\r\n\t", "    ")).alias("ends"), "value", F.col("_metadata.file_path").alias("file"))
+        whole = whole.where(F.col("ends").startswith("[") & F.col("ends").endswith("]"))
+        each = whole.select("file", F.posexplode(F.from_json("value", "array<string>")).alias("row", "text"))
+        return _typed(each.select("text", F.struct("file", F.lit(0).cast("long").alias("block"), F.col("row").cast("long").alias("row")).alias("place")))
+    lines = spark.read.text(path).select(F.col("value").alias("text"), F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("place"))
+    return _typed(lines.where(F.trim("text") != ""))
+
+
+def read(spark: SparkSession, path: str, form: str | None = None) -> DataFrame:
+    """SCHEMA's columns and ``place`` of the records that fit; those that don't are in ``scan``."""
+    return scan(spark, path, form).where(F.col("bad").isNull()).drop("bad")
 
 
 def write(ledger: DataFrame, path: str) -> None:

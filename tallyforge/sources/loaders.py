@@ -37,10 +37,17 @@ def truth(record: Column) -> Column:
     return F.coalesce(F.get_json_object(inner, "$.gt_parse"), inner)
 
 
+def category_table(spark: SparkSession, path: str) -> DataFrame:
+    """file_name, category and ``row``, its place in the files, of CSV files with a header."""
+    rows = spark.read.option("header", True).schema("file_name string, category string").csv(path)
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())  # the last grows within a split
+    return rows.select("file_name", F.coalesce("category", F.lit("")).alias("category"), place.alias("row"))
+
+
 def kaggle(records: DataFrame, categories: DataFrame | None = None) -> DataFrame:
     """Records of (line): metadata category and year, annotation texts joined; a table (file_name, category) overrides.
 
-    Of repeated names the last row counts: by column ``row`` where the table has one, else as it is read.
+    Of repeated names the last row counts, by column ``row`` as ``category_table`` gives it; in a table without one, the greatest category.
     """
     gt = truth(F.col("line"))
     out = records.select(
@@ -50,18 +57,25 @@ def kaggle(records: DataFrame, categories: DataFrame | None = None) -> DataFrame
     out = out.where(F.col("path").isNotNull())
     if categories is None:
         return out.select("path", F.lit("kaggle").alias("source"), F.lit("en").alias("language"), F.lit(None).cast("string").alias("merchant"), "date", F.lit(None).cast("double").alias("total"), F.col("own").alias("category"), "text")
-    place = F.col("row") if "row" in categories.columns else F.monotonically_increasing_id()
-    named = categories.withColumn("_row", place).groupBy(F.col("file_name").alias("path")).agg(F.max_by("category", "_row").alias("given"))
+    last = F.max_by("category", "row") if "row" in categories.columns else F.max("category")
+    named = categories.groupBy(F.col("file_name").alias("path")).agg(last.alias("given"))
     joined = out.join(named, "path", "left")
     return joined.select("path", F.lit("kaggle").alias("source"), F.lit("en").alias("language"), F.lit(None).cast("string").alias("merchant"), "date", F.lit(None).cast("double").alias("total"), F.coalesce(F.nullif("given", F.lit("")), "own").alias("category"), "text")
 
 
 def menu(gt: Column) -> Column:
     """Items of a menu that is a list or one object; fields may be text or lists of it; nameless items go."""
-    raw = F.get_json_object(gt, "$.menu")
-    each = F.when(raw.startswith("["), F.from_json(raw, "array<map<string,string>>")).otherwise(F.array(F.from_json(raw, "map<string,string>")))
-    flat = lambda x: F.when(x.startswith("["), F.array_join(F.from_json(x, "array<string>"), " ")).otherwise(x)
-    items = F.transform(each, lambda m: F.struct(flat(m["nm"]).alias("name"), quantity(flat(m["cnt"])).alias("quantity"), digits_only(flat(m["unitprice"])).alias("unit_price"), digits_only(flat(m["price"])).alias("total_price")))
+    v = F.try_parse_json(gt)
+    kind = lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID"))
+    raw = F.try_variant_get(v, "$.menu", "variant")
+    each = F.when(kind(raw).startswith("ARRAY"), F.try_variant_get(raw, "$", "array<variant>")).when(kind(raw).startswith("OBJECT"), F.array(raw))
+
+    def flat(item: Column, name: str) -> Column:
+        x = F.try_variant_get(item, f"$.{name}", "variant")
+        listed = F.array_join(F.try_variant_get(x, "$", "array<string>"), " ")
+        return F.when(kind(x).startswith("ARRAY"), listed).otherwise(F.try_variant_get(x, "$", "string"))
+
+    items = F.transform(each, lambda m: F.struct(flat(m, "nm").alias("name"), quantity(flat(m, "cnt")).alias("quantity"), digits_only(flat(m, "unitprice")).alias("unit_price"), digits_only(flat(m, "price")).alias("total_price")))
     return F.filter(items, lambda i: F.coalesce(F.trim(i["name"]), F.lit("")) != "")
 
 

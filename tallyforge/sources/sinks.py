@@ -1,35 +1,84 @@
-"""Writers: ledgers that are swapped in whole, data sets by split, and reports."""
+"""Writers: ledgers committed whole by a manifest, data sets by split, and reports."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..domain import CATEGORY_DISPLAY
 from ..operators import etl, evaluation
-from .ledgers import SCHEMA
+from .ledgers import PLACE, SCHEMA, _at, manifests, scan, versions_of
 
 UNIFIED = ("image_path", "donut_target", "source", "language", "category", "merchant", "transaction_date", "total_amount", "currency", "text_for_classification", "n_items", "split")
 
 
-def _place(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def stage(ledger: DataFrame, path: str) -> str:
+    """``ledger`` as JSON lines in a new version of ``path``'s; its name. Records keep their places, those without one follow; bad ones are written as they were read."""
+    spark, name = ledger.sparkSession, f"v-{uuid.uuid4().hex}"
+    record = F.to_json(F.struct(*SCHEMA.fieldNames()), {"ignoreNullFields": "true"})
+    order = [F.col("place").isNull(), F.col("place"), F.col("id")] if "place" in ledger.columns else []
+    text = F.coalesce("bad", record) if "bad" in ledger.columns else record
+    rows = ledger.repartitionByRange(*order).sortWithinPartitions(*order) if order else ledger
+    folder = f"{versions_of(path)}/{name}"
+    rows.select(text.alias("value")).write.text(folder)
+    done, fs = _at(spark, f"{folder}/_SUCCESS")
+    if not fs.exists(done):
+        raise OSError(f"{folder} was not written to its end")
+    return name
+
+
+def _renamed(spark: SparkSession, old: str, new: str) -> None:
+    (source, fs), target = _at(spark, old), _at(spark, new)[0]
+    if fs.exists(target):
+        raise FileExistsError(f"{new}: another commit came first")
+    if not fs.rename(source, target):
+        raise OSError(f"{old} could not be renamed to {new}")
+
+
+def publish(spark: SparkSession, path: str, name: str, seen: list[str]) -> None:
+    """The commit: a manifest that names version ``name``, renamed to the number after the last of ``seen``. Nothing that readers see changes before."""
+    number = int(seen[-1].rpartition("/")[2]) + 1 if seen else 1
+    beside = f"{versions_of(path)}/{name}.manifest"
+    place, fs = _at(spark, beside)
+    out = fs.create(place, False)
+    out.write(bytearray(name.encode()))
+    out.close()
+    _renamed(spark, beside, f"{versions_of(path)}/{number:019d}")
+
+
+def purge(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Deletes all but the last ``keep`` manifests and the versions that they name; a query may still read the one before the last."""
+    for manifest in manifests(spark, path)[:-keep]:
+        folder = f"{versions_of(path)}/{spark.read.text(manifest).first()[0]}"
+        for old in (manifest, folder):  # first what points there
+            place, fs = _at(spark, old)
+            if not fs.delete(place, True) and fs.exists(place):
+                raise OSError(f"{old} could not be deleted")
 
 
 def replace_ledger(ledger: DataFrame, path: str) -> None:
-    """``ledger`` as JSON lines in place of what ``path`` holds, which it may be read from: written beside it, then swapped in."""
+    """``ledger`` in place of what ``path`` holds, which it may be read from: a new version is written whole, then a manifest names it.
+
+    A failure before the manifest leaves the old ledger, one after it the new. What ``path`` itself held is not touched. Two
+    writers that began from the same version end with one commit and one error.
+    """
     spark = ledger.sparkSession
-    staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    ledger.select(*SCHEMA.fieldNames()).write.json(staged)
-    to, fs = _place(spark, path)
-    was = f"{staged}.was"
-    if fs.exists(to):
-        fs.rename(to, _place(spark, was)[0])
-    fs.rename(_place(spark, staged)[0], to)
-    fs.delete(_place(spark, was)[0], True)
+    seen = manifests(spark, path)
+    publish(spark, path, stage(ledger, path), seen)
+    purge(spark, path)
+
+
+def amend_ledger(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame], form: str | None = None) -> None:
+    """``change`` of the records that fit, written back with those that don't, which stay as they are."""
+    every = scan(spark, path, form)
+    changed = change(every.where(F.col("bad").isNull()).drop("bad"))
+    if "place" not in changed.columns:
+        changed = changed.withColumn("place", F.lit(None).cast(PLACE))
+    bad = every.where(F.col("bad").isNotNull())
+    replace_ledger(changed.select(*SCHEMA.fieldNames(), "place", F.lit(None).cast("string").alias("bad")).unionByName(bad), path)
 
 
 def unified_rows(rows: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tallyforge.plans import catalog, reading  # noqa: F401  reading registers its queries in catalog
+from tallyforge.plans import catalog, files, reading  # noqa: F401  the latter register their queries in catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

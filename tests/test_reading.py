@@ -121,7 +121,7 @@ def test_ledger_is_swapped_in_place(spark, tmp_path):
     rows = spark.createDataFrame([(i, "m", 1.0, "", "belanja", "manual", "", "") for i in range(5)], ledgers.SCHEMA)
     sinks.replace_ledger(rows, path)
     sinks.replace_ledger(ledgers.read(spark, path).where("id > 2"), path)
-    assert sorted(r["id"] for r in ledgers.read(spark, path).collect()) == [3, 4] and [p.name for p in tmp_path.iterdir()] == ["ledger"]
+    assert sorted(r["id"] for r in ledgers.read(spark, path).collect()) == [3, 4] and [p.name for p in tmp_path.iterdir()] == ["ledger.versions"]
 
 
 def test_listing_of_roots(spark, tmp_path):
