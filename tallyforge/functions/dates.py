@@ -30,14 +30,14 @@ def in_month(date: Column, saved_at: Column, month: str) -> Column:
 def month_label(prefix: Column) -> Column:
     """'2026-06' as 'Juni 2026'; other text unchanged."""
     number = F.substring(prefix, 6, 2).try_cast("int")
-    ok = prefix.rlike(r"^[0-9]{4}.[0-9]{2}") & number.between(1, 12)
+    ok = prefix.rlike(r"^\d{4}.\d{2}") & number.between(1, 12)
     name = F.element_at(F.array(*map(F.lit, MONTH_NAMES)), F.when(ok, number).otherwise(1))
     return F.when(ok, F.concat(name, F.lit(" "), F.substring(prefix, 1, 4))).otherwise(prefix)
 
 
 def from_ymd(ymd: Column) -> Column:
     """The date of text that begins YYYY-MM-DD, days and months beyond their end counting on; null if it is shorter or has a zero."""
-    part = lambda k: F.regexp_extract(F.substring(ymd, 1, 10), r"^([0-9]+)-([0-9]+)-([0-9]+)$", k).try_cast("int")
+    part = lambda k: F.regexp_extract(F.substring(ymd, 1, 10), r"^(\d+)-(\d+)-(\d+)$", k).try_cast("int")
     first = F.add_months(F.make_date(part(1), F.lit(1), F.lit(1)), part(2) - 1)
     return F.when((F.length(ymd) >= 10) & (part(1) > 0) & (part(2) > 0) & (part(3) > 0), F.date_add(first, part(3) - 1))
 

@@ -32,7 +32,7 @@ def digits_only(x: Column) -> Column:
 
 def quantity(x: Column) -> Column:
     """The first number, decimal comma or point; null if there is none."""
-    return F.nullif(F.regexp_extract(F.regexp_replace(x, ",", "."), r"([0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).try_cast("double")
+    return F.nullif(F.regexp_extract(F.regexp_replace(x, ",", "."), r"(\d+(?:\.\d+)?)", 1), F.lit("")).try_cast("double")
 
 
 def currency(text: Column) -> Column:
@@ -51,13 +51,13 @@ def token(raw: Column, rupiah_context: Column, compact_qr: Column) -> Column:
     currency; in a compact QR text a group 00x after three digits has a stray last digit.
     """
     s = F.regexp_replace(fixed_digits(raw), r"(?i)rp|idr|[$€£+\s-]", "")
-    s = F.regexp_replace(s, r"^[^0-9]+|[^0-9]+$", "")
+    s = F.regexp_replace(s, r"^\D+|\D+$", "")
 
     def value(s: Column) -> Column:
-        digits, groups = F.regexp_replace(s, "[^0-9]", ""), F.split(s, "[.,]")
+        digits, groups = F.regexp_replace(s, r"\D", ""), F.split(s, "[.,]")
         n, last, first = F.size(groups), F.element_at(groups, -1), F.element_at(groups, 1)
         both = s.contains(",") & s.contains(".")
-        whole = F.regexp_replace(F.regexp_replace(s, r"[.,][0-9]*$", ""), "[.,]", "")
+        whole = F.regexp_replace(F.regexp_replace(s, r"[.,]\d*$", ""), "[.,]", "")
         decimal = F.concat(whole, F.lit("."), last)
         short = F.length(last).between(1, 2)
         stray = compact_qr & rupiah_context & (n == 2) & (F.length(first) == 3) & (F.length(last) == 3) & last.startswith("00") & (last != "000")
@@ -81,18 +81,18 @@ def token(raw: Column, rupiah_context: Column, compact_qr: Column) -> Column:
 
 def screen_token(raw: Column, rupiah_context: Column, compact_qr: Column) -> Column:
     """Whole rupiah of an amount on a payment screen, or null: like ``token``, but cents always go, and of surplus digits only those after a point."""
-    s = F.regexp_replace(F.regexp_replace(fixed_digits(raw), r"(?<=[0-9])[Bb](?=\s[0-9])", "8"), r"(?i)\b(rp\.?|idr)\b|[–—+\s-]", "")
-    s = F.regexp_replace(s, r"^[^0-9]+|[^0-9]+$", "")
+    s = F.regexp_replace(F.regexp_replace(fixed_digits(raw), r"(?<=\d)[Bb](?=\s\d)", "8"), r"(?i)\b(rp\.?|idr)\b|[–—+\s-]", "")
+    s = F.regexp_replace(s, r"^\D+|\D+$", "")
 
     def value(s: Column) -> Column:
-        digits, groups = F.regexp_replace(s, "[^0-9]", ""), F.split(s, "[.,]")
+        digits, groups = F.regexp_replace(s, r"\D", ""), F.split(s, "[.,]")
         n, first, last = F.size(groups), F.element_at(groups, 1), F.element_at(groups, -1)
         cents = F.length(last).between(1, 2) & ((n == 2) | (s.contains(",") & s.contains(".")))
         stray = compact_qr & rupiah_context & (n == 2) & (F.length(first) == 3) & (F.length(last) == 3) & last.startswith("00") & (last != "000")
         surplus = rupiah_context & (n == 2) & s.contains(".") & (F.length(last) > 3)
         chosen = (
-            F.when(n == 1, digits).when(cents, F.regexp_replace(F.regexp_replace(s, "[.,][0-9]*$", ""), "[^0-9]", "")).when(stray, F.substring(digits, F.lit(1), F.length(digits) - 1))
-            .when(surplus, F.regexp_replace(F.concat(first, F.substring(last, 1, 3)), "[^0-9]", "")).otherwise(digits)
+            F.when(n == 1, digits).when(cents, F.regexp_replace(F.regexp_replace(s, r"[.,]\d*$", ""), r"\D", "")).when(stray, F.substring(digits, F.lit(1), F.length(digits) - 1))
+            .when(surplus, F.regexp_replace(F.concat(first, F.substring(last, 1, 3)), r"\D", "")).otherwise(digits)
         )
         return chosen.try_cast("double")
 
@@ -102,7 +102,7 @@ def screen_token(raw: Column, rupiah_context: Column, compact_qr: Column) -> Col
 def without_cents(x: Column) -> Column:
     """A written amount without spaces and without one or two decimals at its end, after a point or a comma."""
     s = F.regexp_replace(x, r"\s+", "")
-    return F.regexp_replace(F.regexp_replace(s, r"\.[0-9]{1,2}$", ""), ",[0-9]{1,2}$", "")
+    return F.regexp_replace(F.regexp_replace(s, r"\.\d{1,2}$", ""), r",\d{1,2}$", "")
 
 
 def income_input(x: Column) -> Column:
@@ -122,13 +122,13 @@ def clamped(x: Column) -> Column:
 
 def prefixed_amounts(text: Column) -> Column:
     """Amounts of 1000 to 1e9 that follow Rp or IDR, in order."""
-    found = F.regexp_extract_all(text, F.lit(r"(?i)(?:rp|idr)\.?\s*([0-9]{1,3}(?:[.,][0-9]{3})+|[0-9]{4,})"), 1)
-    values = F.transform(found, lambda x: F.regexp_replace(x, "[^0-9]", "").try_cast("double"))
+    found = F.regexp_extract_all(text, F.lit(r"(?i)(?:rp|idr)\.?\s*(\d{1,3}(?:[.,]\d{3})+|\d{4,})"), 1)
+    values = F.transform(found, lambda x: F.regexp_replace(x, r"\D", "").try_cast("double"))
     return F.filter(values, lambda v: v.between(1000, 1e9))
 
 
 def grouped_amounts(text: Column) -> Column:
     """Numbers with thousands groups, with or without a currency, in order."""
-    found = F.regexp_extract_all(text, F.lit(r"\b([0-9]{1,3}(?:[.,][0-9]{3})+)\b"), 1)
-    values = F.transform(found, lambda x: F.regexp_replace(x, "[^0-9]", "").try_cast("double"))
+    found = F.regexp_extract_all(text, F.lit(r"\b(\d{1,3}(?:[.,]\d{3})+)\b"), 1)
+    values = F.transform(found, lambda x: F.regexp_replace(x, r"\D", "").try_cast("double"))
     return F.filter(values, lambda v: v.between(1000, 1e9))

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..domain import DOCUMENT_LABELS, POPULAR_MERCHANTS, RECEIPT_TYPES, SCREENSHOT_TYPES
 from ..functions import dates, money
 from ..functions.dates import fixed_digits, let
-from ..functions.text import CITIES, POPULAR_KEYS, choice, merchant_key, misread_merchants, misread_variants, ratio, words
-from ..session import ship
+from ..functions.text import CITIES, POPULAR_KEYS, by_distinct, choice, merchant_key, misread_popular, words
+
 
 NOT_FOUND = "Merchant tidak terdeteksi"
 #: Phrases that tell document types apart.
@@ -35,9 +35,9 @@ TIER3 = r"\b(subtotal|sub\s+total|service\s+charge|service|serv|svc|tax|ppn|pb1|
 CHANGE, CASH = r"\b(change|kembalian|kembali)\b", r"\b(tunai|cash)\b"
 NOISE = r"\b(http|https|www\.|\.com|\.co\.id|link|url|instagram|wifi|password|coupon|kupon|voucher|card|kartu|phone|telp|telepon|no\s*hp|hp|cashier|kasir|operator|receipt\s*no|rcpt|invoice|ref|reference|order\s*(?:id|no)|id\s*transaksi|no\.?\s*struk)\b"
 URL = r"https?://|www\.|\.com|\.co\.id|link|url|/f/|/[a-z0-9]{4,}"
-QUANTITY = r"\b[0-9]+\s*x\b|\b[0-9]+x\b|\bx[0-9]+\b|\bqty\b|\bpcs\b|@"
-DAY = r"\b[0-9]{1,2}[/.\-][0-9]{1,2}[/.\-][0-9]{2,4}\b"
-WRITTEN_DAY = r"^[0-9]{1,2}\s+(?:jan|feb|mar|apr|may|mei|jun|jul|aug|agu|ags|sep|okt|oct|nov|des|dec)[a-z]*\.?\s+[0-9]{2,4}|^(?:jan|feb|mar|apr|may|mei|jun|jul|aug|agu|ags|sep|okt|oct|nov|des|dec)[a-z]*\.?\s+[0-9]{1,2},?\s+[0-9]{2,4}|^[0-9]{4}[/.\-_|][0-9]{1,2}[/.\-_|][0-9]{1,2}|^[0-9]{8}$"
+QUANTITY = r"\b\d+\s*x\b|\b\d+x\b|\bx\d+\b|\bqty\b|\bpcs\b|@"
+DAY = r"\b\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2,4}\b"
+WRITTEN_DAY = r"^\d{1,2}\s+(?:jan|feb|mar|apr|may|mei|jun|jul|aug|agu|ags|sep|okt|oct|nov|des|dec)[a-z]*\.?\s+\d{2,4}|^(?:jan|feb|mar|apr|may|mei|jun|jul|aug|agu|ags|sep|okt|oct|nov|des|dec)[a-z]*\.?\s+\d{1,2},?\s+\d{2,4}|^\d{4}[/.\-_|]\d{1,2}[/.\-_|]\d{1,2}|^\d{8}$"
 MAIN = r"\b(total|nominal|jumlah|amount|tagihan|bayar|harga|charge|transfer)\b"
 SCREEN_REJECT = "transaction id|id transaksi|reference|referensi|no\\. ref|merchant pan|customer pan|terminal id|token|source of fund|sumber dana|rekening|account|phone|telepon|tanggal|date|time|waktu|rrn|stan|trace|auth|approval|invoice|order sn|transaction sn|merchant ref"
 CUE = r"\b(warung|toko|shop|store|mart|resto|restaurant|cafe|coffee|kopi|bakery|dapur|kedai|rumah\s+makan|rm|pt|cv)\b"
@@ -74,7 +74,7 @@ def hits(text: Column, phrases: tuple[str, ...]) -> Column:
 
 def trimmed_amount(text: Column) -> Column:
     """A last group of four digits or more after a point keeps three: repeated zeros and noise of scanners."""
-    return F.regexp_replace(text, r"([0-9]+)\.([0-9]{3})[0-9]+(?![0-9]*\.)", "$1.$2")
+    return F.regexp_replace(text, r"(\d+)\.(\d{3})\d+(?!\d*\.)", "$1.$2")
 
 
 def around(f: Column, i: Column, lo: int, hi: int) -> Column:
@@ -111,7 +111,7 @@ def document_type(lines: Column) -> Column:
         scored = let(F.struct(screen.alias("s"), receipt.alias("r"), detail.alias("d"), wallet.alias("w")), by_scores)
         return F.when(brand & paid & ~strong, "photo_receipt").when(compact, "compact_qr_card").otherwise(scored)
 
-    item = lambda x: F.lower(fixed_digits(x)).rlike(QUANTITY + r"|[a-z]{3,}.*([0-9]{1,3}[.,][0-9]{3}|[0-9]+[.,][0-9]{2})\s*$")
+    item = lambda x: F.lower(fixed_digits(x)).rlike(QUANTITY + r"|[a-z]{3,}.*(\d{1,3}[.,]\d{3}|\d+[.,]\d{2})\s*$")
     of = F.coalesce(lines, F.array().cast("array<string>"))
     return let(F.struct(F.lower(F.array_join(of, "\n")).alias("full"), F.size(of).alias("n"), F.size(F.filter(of, item)).alias("items")), decide)
 
@@ -133,8 +133,8 @@ def route(lines: Column) -> Column:
 
 
 _DATES = (
-    r"([0-9]{1,2}\s+[A-Za-z]{3,}\.?\s+[0-9]{2,4})", r"([A-Za-z]{3,}\.?\s+[0-9]{1,2},?\s+[0-9]{2,4})", r"\b([0-9]{4}[/.\-_|][0-9]{1,2}[/.\-_|][0-9]{1,2})\b",
-    r"\b([0-9]{1,2}[/\-_|][0-9]{1,2}[/\-_|][0-9]{2,4})\b", r"\b([0-9]{1,2}\.[0-9]{1,2}\.[0-9]{2,4})\b", r"\b([0-9]{8})\b",
+    r"(\d{1,2}\s+[A-Za-z]{3,}\.?\s+\d{2,4})", r"([A-Za-z]{3,}\.?\s+\d{1,2},?\s+\d{2,4})", r"\b(\d{4}[/.\-_|]\d{1,2}[/.\-_|]\d{1,2})\b",
+    r"\b(\d{1,2}[/\-_|]\d{1,2}[/\-_|]\d{2,4})\b", r"\b(\d{1,2}\.\d{1,2}\.\d{2,4})\b", r"\b(\d{8})\b",
 )
 
 
@@ -146,14 +146,14 @@ def best_date(f: Column) -> Column:
         n = F.size(f)
 
         def of_line(x: Column, i: Column) -> Column:
-            found = F.concat(*[F.regexp_extract_all(F.regexp_replace(x["norm"], r"(?<=[0-9])\s*([/.\-_|])\s*(?=[0-9])", "$1"), F.lit(p), 1) for p in _DATES])
+            found = F.concat(*[F.regexp_extract_all(F.regexp_replace(x["norm"], r"(?<=\d)\s*([/.\-_|])\s*(?=\d)", "$1"), F.lit(p), 1) for p in _DATES])
             low = x["low"]
             skip = low.rlike(REF) & ~low.rlike("tanggal|date|waktu|time")
             labelled = low.rlike(near)
             # What each test weighs.
             line_score = 50 + total_of([
                 (labelled, 50), (~labelled & around(f, i, -2, 2).rlike(near + "|transaksi|transaction|payment|pembayaran"), 35), (i <= F.greatest(F.lit(3), F.floor(n / 4)), 15),
-                ((i > F.greatest(F.lit(3), F.floor(n / 4))) & (i <= F.greatest(F.lit(6), F.floor(n / 2))), 8), (low.rlike(r"\b[0-9]{1,2}[:.][0-9]{2}(:[0-9]{2})?\b"), 8), (low.rlike(r"[a-z0-9]{5,}-[a-z0-9-]{4,}"), -60),
+                ((i > F.greatest(F.lit(3), F.floor(n / 4))) & (i <= F.greatest(F.lit(6), F.floor(n / 2))), 8), (low.rlike(r"\b\d{1,2}[:.]\d{2}(:\d{2})?\b"), 8), (low.rlike(r"[a-z0-9]{5,}-[a-z0-9-]{4,}"), -60),
             ])
             made = F.transform(found, lambda r, k: F.struct((line_score + F.when(r.rlike("[A-Za-z]{3,}"), 20).otherwise(0)).alias("score"), (-i).alias("line"), (-k).alias("place"), dates.parsed(r).alias("value"), r.rlike("[A-Za-z]{3,}").alias("named")))
             return F.when(skip, F.array().cast("array<struct<score:int,line:int,place:int,value:string,named:boolean>>")).otherwise(F.filter(made, lambda c: c["value"] != ""))
@@ -166,7 +166,7 @@ def best_date(f: Column) -> Column:
     return pick(f)
 
 
-_MONEY = r"(?i)((?:\b(?:rp|idr|cad|usd|aud|sgd|eur|gbp)\b\.?\s*)?[$€£]?\s*(?:[0-9]{1,3}(?:[.,][0-9]{3})+(?:[.,][0-9]{1,2})?|[0-9]+[.,][0-9]{1,2}|[0-9]{4,}))"
+_MONEY = r"(?i)((?:\b(?:rp|idr|cad|usd|aud|sgd|eur|gbp)\b\.?\s*)?[$€£]?\s*(?:\d{1,3}(?:[.,]\d{3})+(?:[.,]\d{1,2})?|\d+[.,]\d{1,2}|\d{4,}))"
 
 
 def amounts(line: Column) -> Column:
@@ -201,7 +201,7 @@ def receipt_amount(f: Column) -> Column:
             x = F.get(f, i)
             low, kind = x["low"], x["tier"]
             before = around(f, i, -2, -1)
-            digits = F.length(F.regexp_replace(x["norm"], "[^0-9]", ""))
+            digits = F.length(F.regexp_replace(x["norm"], r"\D", ""))
             due, total, amount, final = low.rlike(DUE), low.rlike(TOTAL), low.rlike(r"\b(amount|jumlah|tagihan|nominal)\b"), low.rlike(FINAL)
             change, noise, url, back_url = low.rlike(CHANGE), low.rlike(NOISE), low.rlike(URL), before.rlike(URL)
             only_paid = low.rlike(r"\b(tunai|cash|debit|credit|qris|payment|paid|lunas|tender|bayar)\b") & ~total & ~due & ~low.rlike(r"\b(total\s+bayar|jumlah\s+bayar|total\s+payment|total\s+paid|paid\s+amount)\b")
@@ -215,7 +215,7 @@ def receipt_amount(f: Column) -> Column:
             fixed = base + back + total_of([
                 (due, 200), (total, 120), (amount, 80), ((kind == 2) & ~total_there, 50), ((kind == 2) & total_there, 15), (total_there & only_paid, -180), ((kind == 3) & total_there, -150), ((kind == 3) & ~total_there, -60),
                 (change, -500), (noise & final, -120), (noise & ~final, -900), (before.rlike(NOISE) & ~low.rlike(r"\b(grand\s+total|total|amount\s+due|total\s+due|balance\s+due|due|bayar|tunai)\b"), -450), (url, -900), (back_url, -650),
-                (long, -650), (very & ~final, -700), (very & final, -250), (cash, -200), (ref, -120), (low.rlike(QUANTITY), -150), (x["norm"].rlike(r"^\s*[0-9]+\s+[A-Za-z]") & (kind == 0), -120),
+                (long, -650), (very & ~final, -700), (very & final, -250), (cash, -200), (ref, -120), (low.rlike(QUANTITY), -150), (x["norm"].rlike(r"^\s*\d+\s+[A-Za-z]") & (kind == 0), -120),
                 (low.rlike("[a-z]{3,}") & (kind == 0) & ~low.rlike(r"\b(rp|idr)\b"), -70), (x["norm"].rlike(DAY), -100), (i >= F.floor(n * 0.6), 25),
             ])
             named = (due | total | amount | F.lit(next_line)) & (kind != 3) & ~change & (back == 0) & ~cash & ~ref & ~(noise & ~final) & ~url & ~back_url & ~long & ~very
@@ -248,13 +248,13 @@ def screen_amount(f: Column, kind: Column) -> Column:
         low, before, window = x["tlow"], around(f, i, -2, -1), around(f, i, -2, 2)
         rp = low.rlike(r"\b(rp|idr)")
         third, half = F.greatest(F.lit(3), F.floor(n / 3)), F.greatest(F.lit(5), F.floor(n / 2))
-        artifact = x["raw"].rlike(r"[0-9]+[.,][0-9]{4,}") | (compact & x["norm"].rlike(r"\b[0-9]{3}[.,]00[1-9]\b"))
+        artifact = x["raw"].rlike(r"\d+[.,]\d{4,}") | (compact & x["norm"].rlike(r"\b\d{3}[.,]00[1-9]\b"))
         # What each test weighs.
         fixed = base + total_of([
             (low.rlike(SCREEN_REJECT), -120), (before.rlike(SCREEN_REJECT) & ~window.rlike(MAIN), -140), (low.rlike(REF), -120),
             (window.rlike(r"\b(customer\s+pan|merchant\s+pan|terminal\s+id|reference|transaction\s+id|source\s+of\s+fund|rekening|account)\b") & ~window.rlike(r"\b(rp|idr|total|nominal|jumlah|amount|bayar)\b"), -100),
-            (low.rlike(DAY + r"|\b[0-9]{4}[/.\-][0-9]{1,2}[/.\-][0-9]{1,2}\b"), -100), (F.regexp_replace(low, "[.,]", "").rlike(r"\b[0-9]{10,}\b"), -80),
-            ((F.length(F.regexp_replace(low, "[^0-9]", "")) >= 10) & ~rp, -220), (low.rlike(MAIN), 70), (~low.rlike(MAIN) & before.rlike(MAIN), 55), (low.rlike(r"(^|[\s(])\s*[-–—]?\s*(rp|idr)"), 50), (low.rlike(r"[-–—]\s*(rp|idr)"), 30),
+            (low.rlike(DAY + r"|\b\d{4}[/.\-]\d{1,2}[/.\-]\d{1,2}\b"), -100), (F.regexp_replace(low, "[.,]", "").rlike(r"\b\d{10,}\b"), -80),
+            ((F.length(F.regexp_replace(low, r"\D", "")) >= 10) & ~rp, -220), (low.rlike(MAIN), 70), (~low.rlike(MAIN) & before.rlike(MAIN), 55), (low.rlike(r"(^|[\s(])\s*[-–—]?\s*(rp|idr)"), 50), (low.rlike(r"[-–—]\s*(rp|idr)"), 30),
             (low.rlike(r"\b(biaya\s+admin|admin\s+fee|saldo|balance)\b"), -60), (i <= third, 40), ((i > third) & (i <= half), 20), (compact & (i <= F.greatest(F.lit(4), F.floor(n / 2))), 30),
             (compact & low.rlike(r"\b(qr\s+bayar|pembayaran\s+qr|pembayaran\s+qris|total|jumlah|nominal)\b"), 35), (compact & rp, 20), (artifact, -10),
         ])
@@ -272,13 +272,13 @@ def screen_amount(f: Column, kind: Column) -> Column:
 
 def trimmed_place(text: Column) -> Column:
     """A name without street, district and city tails; at most 55 characters, cut at a word."""
-    mark = r"(?:jl\.?|ji\.?|jalan|ruko|komplek|perumahan|blok|rt\.?|rw\.?|kel\.?|kec\.?|kecamatan|kelurahan|kota|kab\.?|kabupaten|kode\s+pos|no\.?\s+[0-9]|lt\.?|lantai)"
+    mark = r"(?:jl\.?|ji\.?|jalan|ruko|komplek|perumahan|blok|rt\.?|rw\.?|kel\.?|kec\.?|kecamatan|kelurahan|kota|kab\.?|kabupaten|kode\s+pos|no\.?\s+\d|lt\.?|lantai)"
     ends = r"^[ ,.;:-]+|[ ,.;:-]+$"
     c = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "), ends, "")
     c = F.regexp_replace(c, rf"(?i)\s*(?:;|\||/|\s-\s|,)\s*{mark}\b.*$", "")
     c = F.regexp_replace(c, r"(?i)\s+\b(?:jl\.?|ji\.?|jalan|rt\.?|rw\.?|kec\.?|kel\.?|kecamatan|kelurahan|kode\s+pos)\s+[A-Za-z0-9].*$", "")
     c = F.regexp_replace(c, rf"(?i)\s*,\s*(?:{CITIES})(?:\s+(?:barat|timur|utara|selatan|pusat))?\b.*$", "")
-    c = F.regexp_replace(F.regexp_replace(c, r",\s*[0-9]{4,6}(?:\s*,?\s*[A-Z]{2})?\s*$", ""), ends, "")
+    c = F.regexp_replace(F.regexp_replace(c, r",\s*\d{4,6}(?:\s*,?\s*[A-Z]{2})?\s*$", ""), ends, "")
     short = lambda c: F.regexp_replace(F.regexp_replace(F.substring(c, 1, 55), r"\s+\S*$", ""), ends, "")
     return let(c, lambda c: F.when((F.length(c) > 55) & (F.length(short(c)) >= 8), short(c)).otherwise(c))
 
@@ -288,18 +288,18 @@ def bad_merchant(text: Column) -> Column:
 
     def judge(s: Column) -> Column:
         low = F.lower(s)
-        letters, digits = F.length(F.regexp_replace(s, r"\P{L}", "")), F.length(F.regexp_replace(s, "[^0-9]", ""))
+        letters, digits = F.length(F.regexp_replace(s, r"\P{L}", "")), F.length(F.regexp_replace(s, r"\D", ""))
         patterns = [
             ADDRESS, rf"^(?:{CITIES}|solo|palembang|balikpapan|banjarmasin|pontianak|manado|pekanbaru|padang|makassar|cimahi|tasikmalaya|cilegon|serang|jambi|id|idn|indonesia)$", r"https?://|www\.|\.com\b|\.co\.id\b|\.id\b|@[a-z0-9.-]+\.[a-z]{2,}",
-            r"^\+?[0-9][0-9\s-]{7,}$", FOOTER, DAY, r"\b[0-9]{1,2}[:.][0-9]{2}(:[0-9]{2})?\b", r"\b(rp|idr)\s*[0-9.,o]+\b|^[-–—]?\s*(rp|idr)\b", rf"^(?:{CITIES})\s*,?\s*id$", r"^[a-z][a-z\s]+,\s*[0-9]{4,6}\s*,?\s*(?:[a-z]{2})?\s*$",
-            r"\b(kb/?s|kbis|mb/?s|mbps)\b|[0-9]+\s*%\s*$|^[0-9][0-9.,]+\s*kb",
+            r"^\+?\d[0-9\s-]{7,}$", FOOTER, DAY, r"\b\d{1,2}[:.]\d{2}(:\d{2})?\b", r"\b(rp|idr)\s*[0-9.,o]+\b|^[-–—]?\s*(rp|idr)\b", rf"^(?:{CITIES})\s*,?\s*id$", r"^[a-z][a-z\s]+,\s*\d{4,6}\s*,?\s*(?:[a-z]{2})?\s*$",
+            r"\b(kb/?s|kbis|mb/?s|mbps)\b|\d+\s*%\s*$|^\d[0-9.,]+\s*kb",
         ]
-        coded = (low.rlike(r"^[a-z0-9]{3,12}(?:-[a-z0-9]{2,12}){1,4}$") & (letters > 0) & (digits > 0)) | (s.rlike("^[A-Z0-9]{6,}$") & (digits > 0)) | s.rlike("^[A-Z]{1,3}[0-9]{1,4}$")
+        coded = (low.rlike(r"^[a-z0-9]{3,12}(?:-[a-z0-9]{2,12}){1,4}$") & (letters > 0) & (digits > 0)) | (s.rlike("^[A-Z0-9]{6,}$") & (digits > 0)) | s.rlike(r"^[A-Z]{1,3}\d{1,4}$")
         few = (letters >= 6) & (F.length(F.regexp_replace(low, "[^aeiou]", "")) <= 1)
         out = (F.length(s) < 2) | low.isin(*LABELS) | s.rlike(REF) | coded | few | ((digits >= 10) & (digits / F.greatest(F.length(s), F.lit(1)) > 0.55)) | low.rlike(WRITTEN_DAY)
         for p in patterns:
             out = out | low.rlike(p)
-        return out | (low.rlike(r"^[0-9]+\s+") & low.rlike(r"\b(qr\s+bayar|pembayaran|berhasil)\b"))
+        return out | (low.rlike(r"^\d+\s+") & low.rlike(r"\b(qr\s+bayar|pembayaran|berhasil)\b"))
 
     return let(F.trim(F.coalesce(text, F.lit(""))), judge)
 
@@ -308,8 +308,8 @@ def item_line(line: Column) -> Column:
     low = F.lower(line)
     few_words = F.size(F.regexp_extract_all(low, F.lit("([a-z]+)"), 1)) <= 5
     return (
-        low.rlike(QUANTITY) | line.rlike(r"^\s*[0-9]+\s+[A-Za-z]") | (low.rlike(r"\b[0-9]{1,3}[.,][0-9]{3}\b") & ~low.rlike(r"\b(grand\s+total|total|amount\s+due|total\s+due|balance\s+due|due|bayar|tunai)\b"))
-        | low.rlike(r"[a-z]{3,}.*\b[0-9]{1,3}[.,][0-9]{3}\s*$") | low.rlike(r"[a-z]{3,}.*\s+0(?:\.0+)?\s*$") | (low.rlike(ITEM_WORD) & ~low.rlike(CUE) & few_words)
+        low.rlike(QUANTITY) | line.rlike(r"^\s*\d+\s+[A-Za-z]") | (low.rlike(r"\b\d{1,3}[.,]\d{3}\b") & ~low.rlike(r"\b(grand\s+total|total|amount\s+due|total\s+due|balance\s+due|due|bayar|tunai)\b"))
+        | low.rlike(r"[a-z]{3,}.*\b\d{1,3}[.,]\d{3}\s*$") | low.rlike(r"[a-z]{3,}.*\s+0(?:\.0+)?\s*$") | (low.rlike(ITEM_WORD) & ~low.rlike(CUE) & few_words)
     )
 
 
@@ -325,34 +325,19 @@ def canonical(name: Column) -> Column:
 
 
 def misread(names: Column) -> Column:
-    """For each of an array of names the popular merchant that it likely misspells, else null.
-
-    Likeness has no built-in function. Only keys of 6 letters on that aren't popular, and near enough to one in length for
-    the least likeness, go to Python: an array of nulls for most documents.
-    """
+    """For each of an array of names the popular merchant that it likely misspells, else null: an array of nulls for most documents, told by lengths."""
     longest = max(map(len, POPULAR_KEYS)) * 1.12 / 0.88
-    tried = lambda x: let(trimmed_place(x), lambda p: F.when(~canonical(p).isin(*POPULAR_MERCHANTS) & F.length(merchant_key(p)).between(6, int(longest)), merchant_key(p)))
-    return misread_merchants(F.transform(names, tried))
+    tried = lambda p: F.when(~canonical(p).isin(*POPULAR_MERCHANTS) & F.length(merchant_key(p)).between(6, int(longest)), let(merchant_key(p), lambda k: misread_popular(k)))
+    return F.transform(names, lambda x: let(trimmed_place(x), tried))
 
 
 def is_known(name: Column) -> Column:
     return canonical(name).isin(*POPULAR_MERCHANTS)
 
 
-def corrected(names: DataFrame, column: str = "merchant", least: float = 0.88) -> DataFrame:
-    """``names`` with ``corrected``: the popular merchant that a name is or is likely a misreading of, else the name.
-
-    Likeness has no built-in function, so it is computed in Python, over distinct names only, each of their misread
-    variants against the few popular ones.
-    """
-    ship(names.sparkSession)
-    keys = names.sparkSession.createDataFrame([("".join(c for c in m.lower() if c.isalnum()), m) for m in POPULAR_MERCHANTS], "k string, popular string")
-    distinct = names.select(column).distinct().withColumn("_c", canonical(F.col(column)))
-    tried = distinct.where(~F.col("_c").isin(*POPULAR_MERCHANTS) & (F.length(merchant_key(F.col(column))) >= 6)).select(column, F.explode(misread_variants(merchant_key(F.col(column)))).alias("v"))
-    rated = tried.crossJoin(F.broadcast(keys)).withColumn("r", ratio("v", "k")).where(F.col("r") >= least)  # the other side is the list of popular merchants
-    best = rated.groupBy(column).agg(F.max_by("popular", F.struct("r", "popular")).alias("_p"))
-    found = distinct.join(best, column, "left").select(column, F.coalesce("_p", "_c").alias("corrected"))
-    return names.join(found, column, "left")
+def corrected(names: DataFrame, column: str = "merchant") -> DataFrame:
+    """``names`` with ``corrected``: the popular merchant that a name is or is likely a misreading of, else the name. Distinct names are read once and joined back."""
+    return by_distinct(names, column, "corrected", lambda x: F.coalesce(F.get(misread(F.array(x)), F.lit(0)), canonical(x)))
 
 
 def receipt_merchant(f: Column) -> Column:
@@ -368,7 +353,7 @@ def receipt_merchant(f: Column) -> Column:
         s, low, name = F.trim(x["raw"]), F.lower(F.trim(x["raw"])), x["name"]
         said, many = F.regexp_count(low, F.lit(function_word)), F.size(F.regexp_extract_all(low, F.lit("([a-z]+)"), 1))
         sentence = ((said >= 3) & (many > 3)) | ((said >= 2) & (many <= 4))
-        letters, digits, vowels = F.length(F.regexp_replace(s, r"\P{L}", "")), F.length(F.regexp_replace(s, "[^0-9]", "")), F.length(F.regexp_replace(low, "[^aeiou]", ""))
+        letters, digits, vowels = F.length(F.regexp_replace(s, r"\P{L}", "")), F.length(F.regexp_replace(s, r"\D", "")), F.length(F.regexp_replace(low, "[^aeiou]", ""))
         plain = ~x["known"] & ~low.rlike(CUE) & ((many == 1) | (letters <= 4) | low.rlike(ITEM_WORD))
         below = F.get(f, i + 1)
         price_below = F.coalesce(~below["raw"].rlike("[A-Za-z]") & (F.size(below["values"]) > 0) & ~below["low"].rlike(DAY), F.lit(False))
@@ -391,7 +376,7 @@ def _good(raw: Column) -> Column:
     c = F.regexp_replace(c, r"(?i)^(?:ke|to)\s+", "")
     c = F.regexp_replace(c, r"(?i)^(?:bayar\s+ke|pembayaran\s+ke|payment\s+to|paid\s+to|pembayaran\s+qr\s+ke|qr\s+bayar\s+ke|penerima)\s*[:\-]?\s*", "")
     c = F.regexp_replace(c, r"(?i)^(?:merchant|nama\s+merchant|nama\s+toko|nama\s+usaha|acquirer(?:\s+name)?|terminal\s+id|customer\s+pan|merchant\s+pan)\s*[:\-]\s*", "")
-    c = F.regexp_replace(F.regexp_replace(c, r",\s*[0-9]{6,}.*$", ""), r"\s+[0-9]{8,}.*$", "")
+    c = F.regexp_replace(F.regexp_replace(c, r",\s*\d{6,}.*$", ""), r"\s+\d{8,}.*$", "")
     return let(trimmed_place(c), lambda c: F.when((F.length(c) >= 2) & ~bad_merchant(c), c))
 
 
@@ -421,7 +406,7 @@ def features(lines: Column, qr: Column, screen: Column, likely: Column) -> Colum
         way = F.when(raw.rlike(_WITHIN[0]), 1).when(raw.rlike(_WITHIN[1]), 2).when(raw.rlike(_WITHIN[2]), 3).when(raw.rlike(_WITHIN[3]), 4).otherwise(0)
         return F.struct(
             raw.alias("raw"), norm.alias("norm"), low.alias("low"), F.lower(t).alias("tlow"), tier(low).alias("tier"), F.when(~screen, amounts(norm)).alias("values"), F.when(screen, large(F.regexp_extract_all(t, F.lit(rupiah), 1))).alias("rupiah"),
-            F.when(screen, large(F.regexp_extract_all(t, F.lit(r"\b([0-9]{1,3}(?:[.,][0-9]{3})+)\b"), 1))).alias("grouped"), item_line(raw).alias("item"), bad_merchant(raw).alias("bad"), F.when(screen, _good(raw)).alias("good"), F.when(~screen, F.coalesce(guess, canonical(raw))).alias("name"), F.when(~screen, guess.isNotNull() | is_known(raw)).alias("known"),
+            F.when(screen, large(F.regexp_extract_all(t, F.lit(r"\b(\d{1,3}(?:[.,]\d{3})+)\b"), 1))).alias("grouped"), item_line(raw).alias("item"), bad_merchant(raw).alias("bad"), F.when(screen, _good(raw)).alias("good"), F.when(~screen, F.coalesce(guess, canonical(raw))).alias("name"), F.when(~screen, guess.isNotNull() | is_known(raw)).alias("known"),
             low.rlike(r"[-–—]?\s*(rp|idr)\.?\s*[0-9.,oilsb]+").alias("money"), ((F.trim(raw) == "") | F.lower(F.trim(raw)).isin(*LABELS) | raw.rlike(REF) | low.rlike(_LABEL)).alias("label"), way.alias("way"), F.when(screen & (way > 0), _good(inline)).alias("inline"),
         )
 
@@ -490,7 +475,6 @@ def extract(documents: DataFrame, lines: str = "lines", by: Callable[[Column], C
     """
     from .categorize import chain, status
 
-    ship(documents.sparkSession)
     of = F.coalesce(F.col(lines), F.array().cast("array<string>"))
     low = F.lower(F.array_join(of, "\n"))
     read = documents.withColumns({"document_type": document_type(of), "_q": low.rlike("qr bayar|pembayaran qr")}).withColumn("_r", by(of))

@@ -114,7 +114,7 @@ def income_entries(raw: DataFrame) -> DataFrame:
 
 def month_or_current(month: str, now: dt.datetime) -> str:
     """``month`` if it is written YYYY-MM, else that of ``now``, which callers give."""
-    return month if re.fullmatch(r"[0-9]{4}-[0-9]{2}", month or "") else f"{now:%Y-%m}"
+    return month if re.fullmatch(r"\d{4}-\d{2}", month or "") else f"{now:%Y-%m}"
 
 
 def current_month_label(now: dt.datetime) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..domain import CATEGORY_DISPLAY, DEFAULT_CATEGORY
 from ..functions.money import coerced
-from ..functions.text import category_display, clean_merchant
+from ..functions.text import by_distinct, category_display, clean_merchant
 from .ranks import number
 
 FIELDS = ("id", "merchant", "amount", "date", "category", "source", "notes", "saved_at")
@@ -21,15 +21,19 @@ def reject_reason(merchant: Column, amount: Column, category: Column, date: Colu
     return out.when(category.isNotNull() & (category != "") & ~category.isin(*CATEGORY_DISPLAY), "unknown_category")
 
 
+def named(merchant: Column) -> Column:
+    """A merchant's name as it is stored: cleaned, or as it was given where nothing is left of it."""
+    return F.coalesce(F.nullif(clean_merchant(F.trim(merchant)), F.lit("")), F.trim(merchant))
+
+
 def insert(ledger: DataFrame, new: DataFrame) -> DataFrame:
     """``ledger`` with the valid rows of ``new``, numbered on from its greatest id in order of ``saved_at`` and merchant.
 
     Numbers come from one sort of the batch by range and a count for each part, so no task takes the whole batch.
     """
     ok = new.where(reject_reason(F.col("merchant"), F.col("amount"), F.col("category")).isNull())
-    name = F.when(clean_merchant(F.col("merchant")) != "", clean_merchant(F.col("merchant"))).otherwise(F.trim("merchant"))
-    rows = ok.select(
-        name.alias("merchant"), F.col("amount").cast("double").alias("amount"), F.coalesce("date", F.lit("")).alias("date"), F.coalesce(F.nullif("category", F.lit("")), F.lit(DEFAULT_CATEGORY)).alias("category"),
+    rows = by_distinct(ok, "merchant", "_name", named).select(
+        F.col("_name").alias("merchant"), F.col("amount").cast("double").alias("amount"), F.coalesce("date", F.lit("")).alias("date"), F.coalesce(F.nullif("category", F.lit("")), F.lit(DEFAULT_CATEGORY)).alias("category"),
         F.coalesce(F.nullif("source", F.lit("")), F.lit("receipt")).alias("source"), F.coalesce("notes", F.lit("")).alias("notes"), "saved_at",
     )
     numbered = number(rows, ["saved_at", "merchant", "amount"])
@@ -69,9 +73,8 @@ def truncate(ledger: DataFrame) -> DataFrame:
 
 def view(ledger: DataFrame) -> DataFrame:
     """How a ledger reads: defaults in place of nulls, merchants cleaned again, categories displayed."""
-    merchant = F.coalesce("merchant", F.lit(""))
-    return ledger.select(
-        "id", F.when(clean_merchant(merchant) != "", clean_merchant(merchant)).otherwise(merchant).alias("merchant"), coerced(F.col("amount")).alias("amount"), F.coalesce("date", F.lit("")).alias("date"),
+    return by_distinct(ledger, "merchant", "_name", lambda x: F.coalesce(F.nullif(clean_merchant(x), F.lit("")), x, F.lit(""))).select(
+        "id", F.col("_name").alias("merchant"), coerced(F.col("amount")).alias("amount"), F.coalesce("date", F.lit("")).alias("date"),
         F.coalesce("category", F.lit(DEFAULT_CATEGORY)).alias("category"), F.coalesce("source", F.lit("receipt")).alias("source"), F.coalesce("saved_at", F.lit("")).alias("saved_at"),
         category_display(F.coalesce("category", F.lit(DEFAULT_CATEGORY))).alias("category_display"),
     )

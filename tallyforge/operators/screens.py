@@ -69,13 +69,13 @@ SHOWN = {
 #: Month words as dates have them, longest first; dates by form (pattern, places of day, month and year).
 MONTHS = "januari|februari|maret|april|mei|juni|juli|agustus|september|oktober|november|desember|january|february|march|may|june|july|august|october|december|jan|feb|mar|apr|jun|jul|ags|agu|sep|okt|nov|des|aug|oct|dec"
 FORMS = (
-    (rf"(?i)([0-9]{{1,2}})\s+({MONTHS})\.?\s+([0-9]{{2,4}})", 1, 2, 3), (rf"(?i)({MONTHS})\.?\s+([0-9]{{1,2}}),?\s+([0-9]{{2,4}})", 2, 1, 3),
-    (r"\b([0-9]{4})[/.\-_|]([0-9]{1,2})[/.\-_|]([0-9]{1,2})\b", 3, 2, 1), (r"\b([0-9]{1,2})[/.\-_|]([0-9]{1,2})[/.\-_|]([0-9]{2,4})\b", 1, 2, 3),
+    (rf"(?i)(\d{{1,2}})\s+({MONTHS})\.?\s+(\d{{2,4}})", 1, 2, 3), (rf"(?i)({MONTHS})\.?\s+(\d{{1,2}}),?\s+(\d{{2,4}})", 2, 1, 3),
+    (r"\b(\d{4})[/.\-_|](\d{1,2})[/.\-_|](\d{1,2})\b", 3, 2, 1), (r"\b(\d{1,2})[/.\-_|](\d{1,2})[/.\-_|](\d{2,4})\b", 1, 2, 3),
 )
 #: Patterns of lines, by what they tell of an amount.
 NOT_FINAL = r"\b(sub\s*total|subtotal|tax|pajak|ppn|pb1|service\s*charge|service|discount|diskon|potongan|change|kembalian|kembali|cash|tunai|tender)\b"
 NUMBERED = r"\b(id transaksi|transaction id|reference|referensi|no\.?\s*ref|merchant pan|customer pan|terminal id|token|source of fund|sumber dana|rekening|account|phone|telepon|tanggal|date|time|rrn|stan|trace|auth|approval|invoice|order\s*(?:sn|no|id)|transaction\s*sn|merchant\s*ref)\b"
-MONTH_YEAR = r"\b(jan|feb|mar|apr|mei|may|jun|jul|aug|agu|ags|sep|okt|oct|nov|des|dec)[a-z]*\.?\s+[0-9]{2,4}\b"
+MONTH_YEAR = r"\b(jan|feb|mar|apr|mei|may|jun|jul|aug|agu|ags|sep|okt|oct|nov|des|dec)[a-z]*\.?\s+\d{2,4}\b"
 CURRENCY = r"\b(rp|idr)\b"
 DONE = ("berhasil", "sukses", "payment successful", "pembayaran qris", "qr bayar", "rincian pembayaran")
 COMPACT = ("compact_qr_card", "qr bayar", "pembayaran qr", "pembayaran qris")
@@ -85,15 +85,15 @@ NEAR_DATE = "tanggal|date|selesai pada|paid at"
 NO_DATE = r"\b(transaction id|reference|no\.?\s*ref|pan|terminal|rrn|stan)\b"
 #: Places that trail a recipient's name.
 _PLACE = r"(?:jl\.?|jalan|ruko|komplek|perumahan|blok|rt\.?|rw\.?|kel\.?|kec\.?|kecamatan|kelurahan|kota|kab\.?|kabupaten|kode\s+pos|no\.?|lt\.?|lantai)"
-_NUMBERED_PLACE = _PLACE.replace(r"no\.?", r"no\.?\s+[0-9]")
+_NUMBERED_PLACE = _PLACE.replace(r"no\.?", r"no\.?\s+\d")
 _STREET = r"(?:jl\.?|jalan|rt\.?|rw\.?|kec\.?|kel\.?|kecamatan|kelurahan|kode\s+pos)"
 _TOWNS = r"(?:jakarta|bandung|bekasi|tangerang|surabaya|depok|bogor|semarang|yogyakarta|jogja|medan|malang|denpasar|bali)"
 ADS = ("voucher", "tukar poin", "emas", "paling hemat", "waktu selesai", "berhasil", "detail transaksi")
 _SKIP = (
-    r"(?i)^\s*([0-9:.,\s]+(wib|wita|wit|am|pm)?|[-–—]?\s*(?:rp|idr)\.?\s*[0-9.,o]+|[0-9.,]+\s*(?:kb/?s|kbis|mb/?s|mbps|%)|[0-9]+\s+(?:qr\s+bayar|pembayaran)|qris\s*$|qr\s+bayar|qr\s*code"
+    r"(?i)^\s*([0-9:.,\s]+(wib|wita|wit|am|pm)?|[-–—]?\s*(?:rp|idr)\.?\s*[0-9.,o]+|[0-9.,]+\s*(?:kb/?s|kbis|mb/?s|mbps|%)|\d+\s+(?:qr\s+bayar|pembayaran)|qris\s*$|qr\s+bayar|qr\s*code"
     r"|pembayaran(\s+berhasil)?[!.]?|transaksi(\s+berhasil)?|detail\s+transaksi|transaction\s+details?|rincian(?:\s+pembayaran|\s+transaksi)?|x|0|@|ok|done)\s*$"
 )
-_LOCATION = r"(?i)^[A-Z][A-Z\s]+,\s*[0-9]{4,6}(\s*,\s*[A-Z]{2})?$"
+_LOCATION = r"(?i)^[A-Z][A-Z\s]+,\s*\d{4,6}(\s*,\s*[A-Z]{2})?$"
 
 
 def any_of(text: Column, words: tuple[str, ...]) -> Column:
@@ -102,7 +102,7 @@ def any_of(text: Column, words: tuple[str, ...]) -> Column:
 
 def repaired(text: Column) -> Column:
     """Letters read for digits, also B before a digit that stands apart."""
-    return F.regexp_replace(dates.fixed_digits(text), r"(?<=[0-9])[Bb](?=\s[0-9])", "8")
+    return F.regexp_replace(dates.fixed_digits(text), r"(?<=\d)[Bb](?=\s\d)", "8")
 
 
 def merged(lines: Column) -> Column:
@@ -110,7 +110,7 @@ def merged(lines: Column) -> Column:
 
     A fold: the accumulator holds the lines that are settled and one that may still take the next.
     """
-    digits, group, cents = r"[0-9]$", r"^[0-9]{3}$", r"^[.,][0-9]{2,3}$"
+    digits, group, cents = r"\d$", r"^\d{3}$", r"^[.,]\d{2,3}$"
 
     def joined(a: Column, b: Column) -> Column:
         return (
@@ -145,7 +145,7 @@ def strict_amounts(text: Column, compact: Column) -> Column:
 
 def loose_amounts(text: Column, compact: Column) -> Column:
     """Numbers of 1000 to 1e9 with groups of thousands, in order."""
-    return _plausible(F.regexp_extract_all(repaired(trimmed_amount(text)), F.lit(r"\b([0-9]{1,3}(?:[.,][0-9]{3})+(?:[.,][0-9]{1,2})?)\b"), 1), False, compact)
+    return _plausible(F.regexp_extract_all(repaired(trimmed_amount(text)), F.lit(r"\b(\d{1,3}(?:[.,]\d{3})+(?:[.,]\d{1,2})?)\b"), 1), False, compact)
 
 
 _POINTS = "array<struct<score:int,value:double>>"
@@ -214,8 +214,8 @@ def repaired_date(text: Column) -> Column:
     """A line with digits repaired, also beside date separators, and no space around these."""
     s = repaired(F.coalesce(text, F.lit("")))
     rules = [
-        (r"([0-9]{1,2}[/.\-_][0-9]{1,2}[/.\-_][0-9]{2})\|(?=[0-9])", r"$1\1"), (r"([0-9]{4}[/.\-_][0-9]{1,2}[/.\-_][0-9])\|(?=[0-9])", "$1"), (r"(?<=[0-9])[Oo](?=[0-9/.\-_|])", "0"), (r"(?<=[/.\-_|])[Oo](?=[0-9])", "0"),
-        (r"(?<=[0-9])S(?=[0-9/.\-_|])", "5"), (r"(?<=[0-9])[Il](?=[0-9/.\-_|])", "1"), (r"(?<=[0-9])\s*([/.\-_|])\s*(?=[0-9])", "$1"), (r"\s+", " "),
+        (r"(\d{1,2}[/.\-_]\d{1,2}[/.\-_]\d{2})\|(?=\d)", r"$1\1"), (r"(\d{4}[/.\-_]\d{1,2}[/.\-_]\d)\|(?=\d)", "$1"), (r"(?<=\d)[Oo](?=[0-9/.\-_|])", "0"), (r"(?<=[/.\-_|])[Oo](?=\d)", "0"),
+        (r"(?<=\d)S(?=[0-9/.\-_|])", "5"), (r"(?<=\d)[Il](?=[0-9/.\-_|])", "1"), (r"(?<=\d)\s*([/.\-_|])\s*(?=\d)", "$1"), (r"\s+", " "),
     ]
     for pattern, to in rules:
         s = F.regexp_replace(s, pattern, to)
@@ -224,7 +224,7 @@ def repaired_date(text: Column) -> Column:
 
 def likely_time(raw: Column) -> Column:
     """Whether three numbers are a clock time rather than a date."""
-    form = r"^\s*([0-9]{1,2})[.:]([0-9]{1,2})[.:]([0-9]{1,4})\s*$"
+    form = r"^\s*(\d{1,2})[.:](\d{1,2})[.:](\d{1,4})\s*$"
     part = lambda k: F.regexp_extract(raw, form, k).try_cast("int")
     return F.coalesce(raw.rlike(form) & part(1).between(0, 23) & part(2).between(0, 59) & part(3).between(0, 59), F.lit(False))
 
@@ -255,7 +255,7 @@ def date_candidates(lines: Column) -> Column:
             found = F.concat(*[F.regexp_extract_all(x, F.lit(p), 0) for p, *_ in FORMS])
             near = window.rlike(NEAR_DATE)
             # What each test weighs.
-            score = 60 + total_of([(window.rlike(DATE_WORDS), 50), (i <= F.greatest(F.lit(5), F.floor(n / 2)), 20), (x.rlike(r"\b[0-9]{1,2}[:.][0-9]{2}(?::[0-9]{2})?\b"), 8), (window.rlike(NO_DATE), -70)])
+            score = 60 + total_of([(window.rlike(DATE_WORDS), 50), (i <= F.greatest(F.lit(5), F.floor(n / 2)), 20), (x.rlike(r"\b\d{1,2}[:.]\d{2}(?::\d{2})?\b"), 8), (window.rlike(NO_DATE), -70)])
             made = lambda s: F.transform(found, lambda r, k: F.struct(s["s"].alias("score"), (-i).alias("line"), (-k).alias("place"), F.when(~likely_time(r) | s["n"], date_value(r)).alias("value")))
             return F.filter(let(F.struct(score.alias("s"), near.alias("n")), made), lambda c: c["value"].isNotNull())
 
@@ -283,13 +283,13 @@ def first_date_text(text: Column) -> Column:
 # -- recipients -------------------------------------------------------------------------------------------------------
 def transaction_id(text: Column) -> Column:
     s = F.trim(text)
-    form = r"(?i)^([A-Z0-9]{3,12}-[A-Z0-9]{3,8}-[A-Z0-9]{3,12}|[A-Z0-9]{3,10}-[A-Z0-9]{3,12}|[A-Z]{2,5}[0-9]{8,18})$"
+    form = r"(?i)^([A-Z0-9]{3,12}-[A-Z0-9]{3,8}-[A-Z0-9]{3,12}|[A-Z0-9]{3,10}-[A-Z0-9]{3,12}|[A-Z]{2,5}\d{8,18})$"
     return ~s.contains(" ") & s.rlike(r"\p{L}") & s.rlike(form)
 
 
 def account_number(text: Column) -> Column:
     """A card or account number, or a transaction's id."""
-    digits = F.length(F.regexp_replace(text, "[^0-9]", ""))
+    digits = F.length(F.regexp_replace(text, r"\D", ""))
     return transaction_id(text) | ((digits >= 10) & (digits / F.greatest(F.length(text), F.lit(1)) > 0.7))
 
 
@@ -314,8 +314,8 @@ def clean_recipient(raw: Column) -> Column:
     ends = r"^[ ,.;:-]+|[ ,.;:-]+$"
     c = F.regexp_replace(F.regexp_replace(raw, r"\s+", " "), "^[ :;-]+|[ :;-]+$", "")
     rules = [
-        r"(?i)^(?:ke|to)\s+", r"(?i)^(?:merchant|nama\s+merchant|bayar\s+ke)\s*[:\-]?\s+", r",\s*[0-9]{6,}.*$", r"\s+[0-9]{8,}.*$", rf"(?i)\s*(?:;|\||/|\s-\s)\s*(?={_PLACE}\b).*$", r"(?i),\s*(babakan|bandung|jakarta|surabaya|kota|kab\.?).*$",
-        rf"(?i)\s*,\s*{_NUMBERED_PLACE}\b.*$", rf"(?i)\s+\b{_STREET}\s+[A-Za-z0-9].*$", rf"(?i)\s*,\s*{_TOWNS}(?:\s+(?:barat|timur|utara|selatan|pusat))?\b.*$", r",\s*[0-9]{4,6}(?:\s*,?\s*[A-Z]{2})?\s*$", ends,
+        r"(?i)^(?:ke|to)\s+", r"(?i)^(?:merchant|nama\s+merchant|bayar\s+ke)\s*[:\-]?\s+", r",\s*\d{6,}.*$", r"\s+\d{8,}.*$", rf"(?i)\s*(?:;|\||/|\s-\s)\s*(?={_PLACE}\b).*$", r"(?i),\s*(babakan|bandung|jakarta|surabaya|kota|kab\.?).*$",
+        rf"(?i)\s*,\s*{_NUMBERED_PLACE}\b.*$", rf"(?i)\s+\b{_STREET}\s+[A-Za-z0-9].*$", rf"(?i)\s*,\s*{_TOWNS}(?:\s+(?:barat|timur|utara|selatan|pusat))?\b.*$", r",\s*\d{4,6}(?:\s*,?\s*[A-Z]{2})?\s*$", ends,
     ]
     for pattern in rules:
         c = F.regexp_replace(c, pattern, "")
@@ -334,15 +334,15 @@ def bad_recipient(text: Column) -> Column:
 
     def judge(s: Column) -> Column:
         low = F.lower(s)
-        letters, digits = F.length(F.regexp_replace(s, r"\P{L}", "")), F.length(F.regexp_replace(s, "[^0-9]", ""))
+        letters, digits = F.length(F.regexp_replace(s, r"\P{L}", "")), F.length(F.regexp_replace(s, r"\D", ""))
         mixed = s.rlike(r"\p{L}") & (digits > 0)
         patterns = [
-            r"^(jl\.|jl |jalan|alamat|ruko|komplek)", r"^[-–—]?\s*(rp|idr)\b", r"\b(rp|idr)\s*[0-9.,o]+\b", r"[0-9]{1,2}[/\-.][0-9]{1,2}[/\-.][0-9]{2,4}", rf"^[0-9]{{1,2}}\s+({MONTHS})\.?\s+[0-9]{{2,4}}$",
-            r"\b[0-9]{1,2}[:.][0-9]{2}(:[0-9]{2})?\b", r"^[a-z][a-z\s]+,\s*[0-9]{4,6}\s*,\s*[a-z]{2}$", r"^[a-z]{1,3}[0-9]{1,4}$", r"\b(kb/?s|kbis|mb/?s|mbps)\b|[0-9]+\s*%\s*$|^[0-9][0-9.,]+\s*kb",
+            r"^(jl\.|jl |jalan|alamat|ruko|komplek)", r"^[-–—]?\s*(rp|idr)\b", r"\b(rp|idr)\s*[0-9.,o]+\b", r"\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}", rf"^\d{{1,2}}\s+({MONTHS})\.?\s+\d{{2,4}}$",
+            r"\b\d{1,2}[:.]\d{2}(:\d{2})?\b", r"^[a-z][a-z\s]+,\s*\d{4,6}\s*,\s*[a-z]{2}$", r"^[a-z]{1,3}\d{1,4}$", r"\b(kb/?s|kbis|mb/?s|mbps)\b|\d+\s*%\s*$|^\d[0-9.,]+\s*kb",
         ]
         out = (
             (s == "") | low.isin(*INSTITUTIONS, *LABELS, *CITIES, *ALONE) | account_number(s) | (low.rlike(r"^[a-z0-9]{3,12}(?:-[a-z0-9]{2,12}){1,4}$") & mixed) | ((digits >= 6) & ~s.rlike("[A-Za-z]{4,}")) | (low.rlike("^[a-z0-9]{6,}$") & mixed)
-            | (low.rlike(r"^[0-9]+\s+") & low.rlike(r"\b(qr\s+bayar|pembayaran|berhasil)\b")) | ((letters >= 5) & (F.length(F.regexp_replace(low, "[^aeiou]", "")) <= 1))
+            | (low.rlike(r"^\d+\s+") & low.rlike(r"\b(qr\s+bayar|pembayaran|berhasil)\b")) | ((letters >= 5) & (F.length(F.regexp_replace(low, "[^aeiou]", "")) <= 1))
             | ((F.length(s) > 65) & low.rlike(r"\b(jl\.?|jalan|rt\.?|rw\.?|kec\.?|kel\.?|kota|kab\.?|kode\s+pos|no\.?)\b"))
         )
         for p in patterns:
@@ -370,7 +370,7 @@ def recipient(lines: Column) -> Column:
             & has_letters(s, 4)
         )
         named = (s != "") & ~account_number(s) & ~low.isin(*LABELS) & ~low.rlike(_several(LABELS)) & ~any_of(low, RECIPIENT_WORDS) & has_letters(s)
-        token = F.when(low.rlike(r"gobills\s*-\s*pln\s*token|pln\s*token"), service(F.regexp_replace(s, r"\s*-\s*[0-9]{6,}.*$", "")))
+        token = F.when(low.rlike(r"gobills\s*-\s*pln\s*token|pln\s*token"), service(F.regexp_replace(s, r"\s*-\s*\d{6,}.*$", "")))
         return F.struct(
             s.alias("s"), F.transform(tried, lambda c: F.when(c.isNotNull(), _good(c))).alias("names"), (s != after_qr).alias("ke"), (any_of(low, ADS) | label_line(s)).alias("ad"), any_of(F.lower(x), MERCHANT_WORDS).alias("merchant"),
             any_of(F.lower(x), ("pembayaran qr", "qr bayar")).alias("qr"), token.alias("token"), any_of(F.lower(x), RECIPIENT_WORDS).alias("wanted"), named.alias("named"), free.alias("free"),

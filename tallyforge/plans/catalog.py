@@ -180,9 +180,11 @@ def merged_anomalies(spark, sf):
     return anomaly.with_rules(found, m).select("id", "anomaly_score", "baseline_scope")
 
 
-@query("SELECT range AS n, least(0.49, CASE WHEN range >= 2 THEN greatest(0.1, 1.0::DOUBLE / range) ELSE 0.1 END)::DOUBLE AS contamination FROM range(1, 101)")
+@query("SELECT user_id, count(*) AS n, least(0.49, CASE WHEN count(*) >= 2 THEN greatest(0.1, 1.0::DOUBLE / count(*)) ELSE 0.1 END)::DOUBLE AS contamination FROM events WHERE event_type = 'error' GROUP BY user_id")
 def contamination(spark, sf):
-    return spark.range(1, 101).select(F.col("id").alias("n"), anomaly.contamination(F.col("id")).alias("contamination"))
+    """The share to flag among the errors of each user."""
+    own = t(spark, sf, "events").where("event_type = 'error'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return own.select("user_id", "n", anomaly.contamination(F.col("n")).alias("contamination"))
 
 
 # -- ledger changes ---------------------------------------------------------------------------------------------------

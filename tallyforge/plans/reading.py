@@ -56,7 +56,7 @@ def _noisy_sql(table: str = "orders", key: str = "o_orderkey") -> str:
 
 
 LINES = _noisy_sql()
-DIGITS = "length(regexp_replace(s, '[^0-9]', '', 'g'))"
+DIGITS = r"length(regexp_replace(s, '\D', '', 'g'))"
 LETTERS = r"length(regexp_replace(s, '\P{L}', '', 'g'))"
 
 
@@ -67,12 +67,12 @@ def line_tiers(spark, sf):
 
 
 _LABEL = f"(list_contains({_list(screens.LABELS)}, low) OR (len(list_filter(string_split(low, ' '), lambda w: w <> '')) <= 2 AND list_has_any(string_split(low, ' '), {_list([x for x in screens.LABELS if ' ' not in x])})) OR len(list_filter({_list([x for x in screens.LABELS if ' ' in x])}, lambda w: contains(low, w))) > 0)"
-_ID = rf"(NOT contains(s, ' ') AND regexp_matches(s, '\p{{L}}') AND regexp_matches(s, '(?i)^([A-Z0-9]{{3,12}}-[A-Z0-9]{{3,8}}-[A-Z0-9]{{3,12}}|[A-Z0-9]{{3,10}}-[A-Z0-9]{{3,12}}|[A-Z]{{2,5}}[0-9]{{8,18}})$'))"
+_ID = rf"(NOT contains(s, ' ') AND regexp_matches(s, '\p{{L}}') AND regexp_matches(s, '(?i)^([A-Z0-9]{{3,12}}-[A-Z0-9]{{3,8}}-[A-Z0-9]{{3,12}}|[A-Z0-9]{{3,10}}-[A-Z0-9]{{3,12}}|[A-Z]{{2,5}}\d{{8,18}})$'))"
 _ACCOUNT = f"({_ID} OR ({DIGITS} >= 10 AND {DIGITS} / greatest(length(s), 1) > 0.7))"
 
 
-@query(LINES + f""" SELECT id, k, {_LABEL} AS label, {_ID} AS transaction_id, {_ACCOUNT} AS account, {LETTERS} >= 3 AND {LETTERS} / greatest(length(s), 1) > 0.3 AS lettered,
- regexp_matches(s, '^[0-9]{{1,2}}[.:][0-9]{{1,2}}[.:][0-9]{{1,4}}$') AND coalesce(try_cast(regexp_extract(s, '^([0-9]{{1,2}})', 1) AS INTEGER), 99) <= 23 AND coalesce(try_cast(regexp_extract(s, '^[0-9]+[.:]([0-9]+)', 1) AS INTEGER), 99) <= 59 AND coalesce(try_cast(regexp_extract(s, '([0-9]+)$', 1) AS INTEGER), 99) <= 59 AS clock FROM l""")
+@query(LINES + rf""" SELECT id, k, {_LABEL} AS label, {_ID} AS transaction_id, {_ACCOUNT} AS account, {LETTERS} >= 3 AND {LETTERS} / greatest(length(s), 1) > 0.3 AS lettered,
+ regexp_matches(s, '^\d{{1,2}}[.:]\d{{1,2}}[.:]\d{{1,4}}$') AND coalesce(try_cast(regexp_extract(s, '^(\d{{1,2}})', 1) AS INTEGER), 99) <= 23 AND coalesce(try_cast(regexp_extract(s, '^\d+[.:](\d+)', 1) AS INTEGER), 99) <= 59 AND coalesce(try_cast(regexp_extract(s, '(\d+)$', 1) AS INTEGER), 99) <= 59 AS clock FROM l""")
 def line_kinds(spark, sf):
     x = F.col("line")
     return by_line(spark, sf).select("id", "k", screens.label_line(x).alias("label"), screens.transaction_id(x).alias("transaction_id"), screens.account_number(x).alias("account"), screens.has_letters(x).alias("lettered"), screens.likely_time(x).alias("clock"))
@@ -81,8 +81,8 @@ def line_kinds(spark, sf):
 _FINAL_PRICE = r"\b(grand\s+total|total|amount\s+due|total\s+due|balance\s+due|due|bayar|tunai)\b"
 
 
-@query(LINES + rf""" SELECT id, k, {_has('low', extract.QUANTITY)} OR regexp_matches(line, '^\s*[0-9]+\s+[A-Za-z]') OR (regexp_matches(low, '\b[0-9]{{1,3}}[.,][0-9]{{3}}\b') AND NOT {_has('low', _FINAL_PRICE)})
- OR regexp_matches(low, '[a-z]{{3,}}.*\b[0-9]{{1,3}}[.,][0-9]{{3}}\s*$') OR regexp_matches(low, '[a-z]{{3,}}.*\s+0(?:\.0+)?\s*$') OR ({_has('low', extract.ITEM_WORD)} AND NOT {_has('low', extract.CUE)} AND len(regexp_extract_all(low, '[a-z]+')) <= 5) AS item FROM l""")
+@query(LINES + rf""" SELECT id, k, {_has('low', extract.QUANTITY)} OR regexp_matches(line, '^\s*\d+\s+[A-Za-z]') OR (regexp_matches(low, '\b\d{{1,3}}[.,]\d{{3}}\b') AND NOT {_has('low', _FINAL_PRICE)})
+ OR regexp_matches(low, '[a-z]{{3,}}.*\b\d{{1,3}}[.,]\d{{3}}\s*$') OR regexp_matches(low, '[a-z]{{3,}}.*\s+0(?:\.0+)?\s*$') OR ({_has('low', extract.ITEM_WORD)} AND NOT {_has('low', extract.CUE)} AND len(regexp_extract_all(low, '[a-z]+')) <= 5) AS item FROM l""")
 def item_lines(spark, sf):
     return by_line(spark, sf).select("id", "k", extract.item_line(F.col("line")).alias("item"))
 
@@ -91,13 +91,13 @@ def _bad_name_sql() -> str:
     cities = text.CITIES
     tests = [
         extract.ADDRESS, rf"^(?:{cities}|solo|palembang|balikpapan|banjarmasin|pontianak|manado|pekanbaru|padang|makassar|cimahi|tasikmalaya|cilegon|serang|jambi|id|idn|indonesia)$",
-        r"https?://|www\.|\.com\b|\.co\.id\b|\.id\b|@[a-z0-9.-]+\.[a-z]{2,}", r"^\+?[0-9][0-9\s-]{7,}$", extract.FOOTER, extract.DAY, r"\b[0-9]{1,2}[:.][0-9]{2}(:[0-9]{2})?\b",
-        r"\b(rp|idr)\s*[0-9.,o]+\b|^[-–—]?\s*(rp|idr)\b", rf"^(?:{cities})\s*,?\s*id$", r"^[a-z][a-z\s]+,\s*[0-9]{4,6}\s*,?\s*(?:[a-z]{2})?\s*$", r"\b(kb/?s|kbis|mb/?s|mbps)\b|[0-9]+\s*%\s*$|^[0-9][0-9.,]+\s*kb",
+        r"https?://|www\.|\.com\b|\.co\.id\b|\.id\b|@[a-z0-9.-]+\.[a-z]{2,}", r"^\+?\d[0-9\s-]{7,}$", extract.FOOTER, extract.DAY, r"\b\d{1,2}[:.]\d{2}(:\d{2})?\b",
+        r"\b(rp|idr)\s*[0-9.,o]+\b|^[-–—]?\s*(rp|idr)\b", rf"^(?:{cities})\s*,?\s*id$", r"^[a-z][a-z\s]+,\s*\d{4,6}\s*,?\s*(?:[a-z]{2})?\s*$", r"\b(kb/?s|kbis|mb/?s|mbps)\b|\d+\s*%\s*$|^\d[0-9.,]+\s*kb",
         extract.WRITTEN_DAY,
     ]
-    coded = rf"(regexp_matches(low, '^[a-z0-9]{{3,12}}(?:-[a-z0-9]{{2,12}}){{1,4}}$') AND {LETTERS} > 0 AND {DIGITS} > 0) OR (regexp_matches(s, '^[A-Z0-9]{{6,}}$') AND {DIGITS} > 0) OR regexp_matches(s, '^[A-Z]{{1,3}}[0-9]{{1,4}}$')"
+    coded = rf"(regexp_matches(low, '^[a-z0-9]{{3,12}}(?:-[a-z0-9]{{2,12}}){{1,4}}$') AND {LETTERS} > 0 AND {DIGITS} > 0) OR (regexp_matches(s, '^[A-Z0-9]{{6,}}$') AND {DIGITS} > 0) OR regexp_matches(s, '^[A-Z]{{1,3}}\d{{1,4}}$')"
     few = f"({LETTERS} >= 6 AND length(regexp_replace(low, '[^aeiou]', '', 'g')) <= 1)"
-    return f"(length(s) < 2 OR list_contains({_list(extract.LABELS)}, low) OR {_has('s', extract.REF)} OR {coded} OR {few} OR ({DIGITS} >= 10 AND {DIGITS} / greatest(length(s), 1) > 0.55) OR " + " OR ".join(_has("low", p) for p in tests) + r" OR (regexp_matches(low, '^[0-9]+\s+') AND regexp_matches(low, '\b(qr\s+bayar|pembayaran|berhasil)\b')))"
+    return f"(length(s) < 2 OR list_contains({_list(extract.LABELS)}, low) OR {_has('s', extract.REF)} OR {coded} OR {few} OR ({DIGITS} >= 10 AND {DIGITS} / greatest(length(s), 1) > 0.55) OR " + " OR ".join(_has("low", p) for p in tests) + r" OR (regexp_matches(low, '^\d+\s+') AND regexp_matches(low, '\b(qr\s+bayar|pembayaran|berhasil)\b')))"
 
 
 @query(LINES + f" SELECT id, k, {_bad_name_sql()} AS bad FROM l")
@@ -109,8 +109,8 @@ def _bad_recipient_sql() -> str:
     mixed = rf"regexp_matches(s, '\p{{L}}') AND {DIGITS} > 0"
     months = r"(?:jan|feb|mar|apr|mei|may|jun|jul|agu|ags|aug|sep|okt|oct|nov|des|dec)[a-z]*"
     tests = [
-        r"^(jl\.|jl |jalan|alamat|ruko|komplek)", r"^[-–—]?\s*(rp|idr)\b", r"(rp|idr)\.?\s*[0-9]{1,3}[.,][0-9]{3}", r"[0-9]{1,2}[/\-.][0-9]{1,2}[/\-.][0-9]{2,4}", rf"\b[0-9]{{1,2}}\s+{months}\.?\s+[0-9]{{2,4}}",
-        r"\b[0-9]{1,2}[:.][0-9]{2}(:[0-9]{2})?\b", r"^[a-z][a-z\s]+,\s*[0-9]{4,6}\s*,\s*[a-z]{2}$", r"^[a-z]{1,3}[0-9]{1,4}$", r"\b(kb/?s|kbis|mb/?s|mbps)\b|[0-9]+\s*%\s*$|^[0-9][0-9.,]+\s*kb",
+        r"^(jl\.|jl |jalan|alamat|ruko|komplek)", r"^[-–—]?\s*(rp|idr)\b", r"(rp|idr)\.?\s*\d{1,3}[.,]\d{3}", r"\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}", rf"\b\d{{1,2}}\s+{months}\.?\s+\d{{2,4}}",
+        r"\b\d{1,2}[:.]\d{2}(:\d{2})?\b", r"^[a-z][a-z\s]+,\s*\d{4,6}\s*,\s*[a-z]{2}$", r"^[a-z]{1,3}\d{1,4}$", r"\b(kb/?s|kbis|mb/?s|mbps)\b|\d+\s*%\s*$|^\d[0-9.,]+\s*kb",
     ]
     names = _list([*screens.INSTITUTIONS, *screens.CITIES, *screens.ALONE])
     return (
@@ -128,7 +128,7 @@ def _hits(words) -> str:
     return f"len(list_filter({_list(words)}, lambda p: contains(full_, p)))"
 
 
-_TYPES = LINES + rf""", f AS (SELECT id, lower(string_agg(line, chr(10) ORDER BY k)) AS full_, count(*) AS n, count(*) FILTER ({_has('lower(line)', extract.QUANTITY + r"|[a-z]{3,}.*([0-9]{1,3}[.,][0-9]{3}|[0-9]+[.,][0-9]{2})\s*$")}) AS items FROM l GROUP BY id),
+_TYPES = LINES + rf""", f AS (SELECT id, lower(string_agg(line, chr(10) ORDER BY k)) AS full_, count(*) AS n, count(*) FILTER ({_has('lower(line)', extract.QUANTITY + r"|[a-z]{3,}.*(\d{1,3}[.,]\d{3}|\d+[.,]\d{2})\s*$")}) AS items FROM l GROUP BY id),
  a AS (SELECT *, regexp_matches(full_, '\b(alfamart|alfamidi|indomaret|minimarket|supermarket)\b') AS brand, regexp_matches(full_, '\b(total|grand\s+total|subtotal|tunai|kembali|kembalian|kasir|cashier|ppn|terima\s+kasih)\b') AS paid,
   regexp_matches(full_, '\b(merchant\s+pan|customer\s+pan|terminal\s+id|reference\s+number|transaction\s+id|source\s+of\s+fund|acquirer\s+name)\b') AS strong, regexp_matches(full_, '\b(qr\s+bayar|pembayaran\s+qris|pembayaran\s+qr)\b') AS hint,
   {_hits(extract.DETAIL)} AS d, {_hits(extract.WALLET)} AS w, {_hits(extract.RECEIPT)} AS rec, {_hits(extract.COMPACT)} > 0 AS compact,
@@ -153,26 +153,36 @@ def evidence_scores(spark, sf):
     return noisy(spark, sf).select("id", evaluation.evidence(F.col("lines")).cast("long").alias("score"))
 
 
-@query(LINES + r""" SELECT id, k, list_transform(regexp_extract_all(line, '(?i)(?:rp|idr)\.?\s*([0-9]{1,3}(?:[.,][0-9]{3})+|[0-9]{4,})', 1), lambda x: regexp_replace(x, '[^0-9]', '', 'g'))[1]::DOUBLE AS prefixed,
- list_transform(regexp_extract_all(line, '\b([0-9]{1,3}(?:[.,][0-9]{3})+)\b', 1), lambda x: regexp_replace(x, '[^0-9]', '', 'g'))[1]::DOUBLE AS grouped FROM l""")
+@query(LINES + r""" SELECT id, k, list_transform(regexp_extract_all(line, '(?i)(?:rp|idr)\.?\s*(\d{1,3}(?:[.,]\d{3})+|\d{4,})', 1), lambda x: regexp_replace(x, '\D', '', 'g'))[1]::DOUBLE AS prefixed,
+ list_transform(regexp_extract_all(line, '\b(\d{1,3}(?:[.,]\d{3})+)\b', 1), lambda x: regexp_replace(x, '\D', '', 'g'))[1]::DOUBLE AS grouped FROM l""")
 def line_amounts(spark, sf):
     return by_line(spark, sf).select("id", "k", F.get(money.prefixed_amounts(F.col("line")), F.lit(0)).alias("prefixed"), F.get(money.grouped_amounts(F.col("line")), F.lit(0)).alias("grouped"))
 
 
-_CLEAN = LINES.replace("trim(line) AS s", r"regexp_replace(regexp_replace(line, '^[ ,.;:\-!()\[\]{}]+|[ ,.;:\-!()\[\]{}]+$', '', 'g'), '(?i)^(?:fmi\s*qr|qr\s*pay|pembayaran\s*qr|bayar\s*qr|qr\s*bayar|qris|qr)\s+', '') AS s0, CASE WHEN lower(s0) = 'bandung, 40267, id' THEN s0 ELSE s0 END AS s").replace("lower(trim(line)) AS low", "lower(s) AS low")
+_ENDS = r"'^[ ,.;:-]+|[ ,.;:-]+$', '', 'g'"
+_CUTS = (
+    r"(?i)(\s+J[lI]\.?\s+|\s+Ji\.?\s+|\s+Jalan\s+|,\s*J[lI]\b|\s+Kec\.\s+|\s+Kecamatan\s+|\s+Kota\s+|\s+Kabupaten\s+|\s+RT\b|\s+RW\b|\s+No\.\s+|\s+Blok\s+|\s+Ruko\s+).*$",
+    r"(?i)[,\s]+(jl|ji|jalan|kec|kel|kab|rt|rw|no|lt|blok|gedung|ruko|komplek|perumahan)\b.*$",
+)
+#: Lines as names are cleaned: ends, words of payment apps, then the two cuts at an address.
+_CLEAN = LINES + rf""", a AS (SELECT id, k, regexp_replace(regexp_replace(line, '^[ ,.;:\-!()\[\]{{}}]+|[ ,.;:\-!()\[\]{{}}]+$', '', 'g'), '(?i)^(?:fmi\s*qr|qr\s*pay|pembayaran\s*qr|bayar\s*qr|qr\s*bayar|qris|qr)\s+', '') AS raw FROM l),
+ b AS (SELECT id, k, regexp_replace(regexp_replace(raw, '(?i)\s+(?:qris|qr|q)\s*$', ''), {_ENDS}) AS whole FROM a),
+ c AS (SELECT id, k, regexp_replace(regexp_replace(regexp_replace(whole, {_q(_CUTS[0])}, ''), {_ENDS}), {_q(_CUTS[1])}, '') AS cut FROM b),
+ l2 AS (SELECT id, k, regexp_replace(cut, {_ENDS}) AS s, lower(regexp_replace(cut, {_ENDS})) AS low FROM c)"""
 
 
-@query(_CLEAN + rf""" SELECT id, k, NOT (length(s) < 2 OR regexp_matches(low, '^(xendit|midtrans|doku|nicepay|faspay|ipaymu|tripay)\b') OR regexp_matches(low, '^(gopay|ovo|dana|shopeepay|linkaja|blu|jenius|flip|livin|bca\s+mobile|mandiri\s+livin|bri\s+mo|bni\s+mobile|mobile\s+banking|m-?banking)\b')
- OR list_contains(['bank', 'bank bca', 'bank mandiri', 'bank bni', 'bank bri'], low) OR regexp_matches(low, '\b(rp|idr)\s*[0-9.,o]+\b|^[\s-]*(rp|idr)\b') OR regexp_matches(s, '\b[0-9]{{1,2}}[/.\-][0-9]{{1,2}}[/.\-][0-9]{{2,4}}\b|\b[0-9]{{1,2}}[:.][0-9]{{2}}(:[0-9]{{2}})?\b')
- OR regexp_matches(low, 'https?://|www\.|\.com\b|\.co\.id\b|\.id\b') OR regexp_matches(s, '^\+?[0-9][0-9\s-]{{7,}}$') OR regexp_matches(s, '^[0-9]+$') OR ({DIGITS} >= 8 AND {DIGITS} / greatest(length(s), 1) > 0.45)
- OR (regexp_matches(s, '(?i)^[A-Z0-9]{{6,}}$') AND {DIGITS} > 0 AND {LETTERS} > 0) OR regexp_matches(s, '(?i)^[A-Z0-9]{{3,12}}(?:-[A-Z0-9]{{2,12}}){{1,4}}$') OR ({LETTERS} >= 6 AND length(regexp_replace(low, '[^aeiou]', '', 'g')) <= 1)) AS valid FROM l""")
+@query(_CLEAN + rf""" SELECT id, k, NOT (length(s) < 2 OR regexp_matches(low, '^(pembayaran berhasil|transaksi berhasil|transaction details?|rincian (transaksi|pembayaran)|payment success|berhasil|success|selesai|completed|done|ok)$')
+ OR regexp_matches(low, '\b(berhasil|success|selesai|transaction details?|from|to|source of fund|payment method|acquirer|reference no|reference number|transaction id|id transaksi|customer pan|merchant pan|terminal id|total|jumlah|nominal|kategori|detail transaksi|rincian transaksi|rincian pembayaran)\b') OR regexp_matches(low, '^(xendit|midtrans|doku|nicepay|faspay|ipaymu|tripay)\b') OR regexp_matches(low, '^(gopay|ovo|dana|shopeepay|linkaja|blu|jenius|flip|livin|bca\s+mobile|mandiri\s+livin|bri\s+mo|bni\s+mobile|mobile\s+banking|m-?banking)\b')
+ OR list_contains(['bank', 'bank bca', 'bank mandiri', 'bank bni', 'bank bri'], low) OR regexp_matches(low, '\b(rp|idr)\s*[0-9.,o]+\b|^[\s-]*(rp|idr)\b') OR regexp_matches(s, '\b\d{{1,2}}[/.\-]\d{{1,2}}[/.\-]\d{{2,4}}\b|\b\d{{1,2}}[:.]\d{{2}}(:\d{{2}})?\b')
+ OR regexp_matches(low, 'https?://|www\.|\.com\b|\.co\.id\b|\.id\b') OR regexp_matches(s, '^\+?\d[0-9\s-]{{7,}}$') OR regexp_matches(s, '^\d+$') OR ({DIGITS} >= 8 AND {DIGITS} / greatest(length(s), 1) > 0.45)
+ OR (regexp_matches(s, '(?i)^[A-Z0-9]{{6,}}$') AND {DIGITS} > 0 AND {LETTERS} > 0) OR regexp_matches(s, '(?i)^[A-Z0-9]{{3,12}}(?:-[A-Z0-9]{{2,12}}){{1,4}}$') OR ({LETTERS} >= 6 AND length(regexp_replace(low, '[^aeiou]', '', 'g')) <= 1)) AS valid FROM l2""")
 def valid_names(spark, sf):
     return by_line(spark, sf).select("id", "k", text.valid_merchant(F.col("line")).alias("valid"))
 
 
 # -- payment screens --------------------------------------------------------------------------------------------------
-@query("""SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN ['a', '-Rp' || (c_custkey % 900 + 100) || '.000', 'b'] WHEN 1 THEN ['Rp' || (c_custkey % 900 + 100) || '.500', 'b'] WHEN 2 THEN ['Rp' || (c_custkey % 900 + 100), '.000']
- WHEN 3 THEN ['IDR-' || (c_custkey % 900 + 100), 'x'] WHEN 4 THEN ['7', 'x 12.500', '1234'] ELSE ['12.000', '34.000'] END AS lines FROM customer""".replace("AS lines", "AS l_").replace("SELECT c_custkey AS id, ", "SELECT id, array_to_string(l_, '|') AS lines FROM (SELECT c_custkey AS id, ") + ")")
+@query("""SELECT id, array_to_string(joined, '|') AS lines FROM (SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN ['a', '-Rp' || (c_custkey % 900 + 100) || '.000', 'b'] WHEN 1 THEN ['Rp' || (c_custkey % 900 + 100) || '.500', 'b']
+ WHEN 2 THEN ['Rp' || (c_custkey % 900 + 100), '.000'] WHEN 3 THEN ['IDR-' || (c_custkey % 900 + 100), 'x'] WHEN 4 THEN ['7', 'x 12.500', '1234'] ELSE ['12.000', '34,000'] END AS joined FROM customer)""")
 def merged_lines(spark, sf):
     n = (F.col("c_custkey") % 900 + 100).cast("string")
     kinds = [
@@ -182,7 +192,7 @@ def merged_lines(spark, sf):
     lines = kinds[5]
     for k in range(5):
         lines = F.when(F.col("c_custkey") % 6 == k, kinds[k]).otherwise(lines)
-    return t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.array_join(screens.merged(lines), "|").alias("lines")).withColumn("lines", F.regexp_replace("lines", "34,000", "34.000"))
+    return t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.array_join(screens.merged(lines), "|").alias("lines"))
 
 
 _FORMS = (("{a}.{b}", "ab"), ("{a}.{b},00", "ab"), ("{a},{b}.50", "ab"), ("{a}{b}", "ab"), ("{a}.{b}00", "ab"), ("{a},{b}00", "ab00"), ("{a}.5", "a"), ("{a}.00{d}", "stray"))
@@ -256,7 +266,7 @@ def kept_readings(spark, sf):
     return extract.extract(rows, existing=("m", "a", "d")).select("id", "merchant", "amount", "date")
 
 
-@query("SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'Alfamart' WHEN 1 THEN 'Indomaret' ELSE 'TOKO ROTI INDAH' END AS merchant, 38000.0::DOUBLE AS amount, '18/07/2024' AS date, CASE WHEN s_suppkey % 3 = 2 THEN 'makanan_minuman' ELSE 'belanja' END AS category FROM supplier".replace("CASE WHEN s_suppkey % 3 = 2 THEN 'makanan_minuman' ELSE 'belanja' END", "CASE WHEN s_suppkey % 3 = 2 THEN 'makanan_minuman' ELSE 'belanja' END"))
+@query("SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'Alfamart' WHEN 1 THEN 'Indomaret' ELSE 'TOKO ROTI INDAH' END AS merchant, 38000.0::DOUBLE AS amount, '18/07/2024' AS date, CASE WHEN s_suppkey % 3 = 2 THEN 'makanan_minuman' ELSE 'belanja' END AS category FROM supplier")
 def misread_receipts(spark, sf):
     k = F.col("s_suppkey") % 3
     shop = F.when(k == 0, "Atfamardt").when(k == 1, "1ndomaret").otherwise("TOKO ROTI INDAH")
