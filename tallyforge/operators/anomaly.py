@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 
 from ..domain import DEFAULT_CATEGORY
 from ..functions.money import rupiah
+from ..session import checkpointed, ship
 from .ranks import medians
 
 #: Fewer positive amounts than this give no anomaly at all.
 LEAST_ROWS = 10
 #: Points that a tree is grown on, and trees of a forest, after Liu, Ting and Zhou (2008).
 SUBSAMPLE, TREES = 256, 100
-#: Rows of a group that a forest is fitted on: those first by a hash of their id. Scoring covers all rows.
-FIT_ROWS = 4096
 PART_ROWS = 100_000
 COLUMNS = ("id", "merchant", "amount", "date", "category", "source", "saved_at")
 
@@ -30,9 +29,9 @@ def baselines(ledger: DataFrame) -> DataFrame:
     return base.crossJoin(F.broadcast(medians(own, "amount")))  # one row each
 
 
-def by_rule(ledger: DataFrame, times: float = 3.0) -> DataFrame:
-    """Amounts above ``times`` the mean of all positive ones, if there are enough."""
-    base = baselines(ledger).where(F.col("n") >= LEAST_ROWS)
+def by_rule(ledger: DataFrame, times: float = 3.0, base: DataFrame | None = None) -> DataFrame:
+    """Amounts above ``times`` the mean of all positive ones, if there are enough; ``base``: their ``baselines``, where they are known."""
+    base = (baselines(ledger) if base is None else base).where(F.col("n") >= LEAST_ROWS)
     found = ledger.where(F.col("amount") > 0).crossJoin(F.broadcast(base)).where(F.col("amount") > times * F.col("mean"))  # the other side is one row
     reason = F.concat(F.lit("Nominal "), rupiah(F.col("amount")), F.lit(" jauh lebih tinggi dari rata-rata transaksi lain ("), rupiah(F.col("mean")), F.lit(")"))
     return found.select(*COLUMNS, F.lit(-0.6).alias("anomaly_score"), F.col("upper_median").alias("baseline_median"), F.round("mean", 2).alias("baseline_mean"), F.lit("rule_based").alias("baseline_scope"), reason.alias("anomaly_reason"))
@@ -50,15 +49,15 @@ def _path_bound(m: int) -> float:
 
 
 class Forest:
-    """Isolation trees over one number, each kept as sorted cells of the line with their path lengths."""
+    """Isolation trees over one number, one for each of ``samples``, kept as sorted cells of the line with their path lengths."""
 
-    def __init__(self, x: np.ndarray, seed: int, trees: int = TREES):
+    def __init__(self, samples: list[np.ndarray], seed: int):
         rng = np.random.default_rng(seed)
-        self.m = min(SUBSAMPLE, len(x))
+        self.m = max(map(len, samples), default=0)
         most = int(np.ceil(np.log2(max(self.m, 2))))
         self.cells = []
-        for _ in range(trees):
-            points = np.sort(rng.choice(x, self.m, replace=False))
+        for sample in samples:
+            points = np.sort(sample)
             bounds: list[tuple[float, float]] = []
 
             def grow(lo: int, hi: int, depth: int, end: float) -> None:
@@ -70,7 +69,7 @@ class Forest:
                 grow(lo, at, depth + 1, cut)
                 grow(at, hi, depth + 1, end)
 
-            grow(0, self.m, 0, np.inf)
+            grow(0, len(points), 0, np.inf)
             self.cells.append((np.array([b for b, _ in bounds]), np.array([d for _, d in bounds])))
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -79,9 +78,24 @@ class Forest:
         return -(2.0 ** -(paths / max(_path_bound(self.m), 1e-9)))
 
 
+def samples(own: DataFrame, counts: DataFrame, trees: int = TREES, subsample: int = SUBSAMPLE) -> DataFrame:
+    """(scope, tree, amount): for each tree of a scope its ``subsample`` rows with the least hashes of id and tree, drawn from all of the scope's rows.
+
+    A row goes on only for trees whose hash of it is below twice the share that is wanted, so what is dealt to a tree is
+    some twice its sample, whatever the scope's size, and less than the sample with a chance below 1e-30.
+    """
+    share = F.least(F.lit(1.0), 2.0 * subsample / F.col("n"))
+    below = lambda t: F.xxhash64("id", t).cast("double") <= (share - 0.5) * F.lit(2.0**64)
+    taken = own.select("scope", "id", "amount").join(counts.select("scope", "n"), "scope").withColumn("trees", F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), below))
+    dealt = taken.select("scope", "id", "amount", F.explode("trees").alias("tree"))
+    first = Window.partitionBy("scope", "tree").orderBy(F.xxhash64("id", "tree"), "id", "amount")
+    return dealt.withColumn("k", F.row_number().over(first)).where(F.col("k") <= subsample).select("scope", "tree", "amount")
+
+
 def _fit(seed: int):
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"scope": [key[0]], "forest": [pickle.dumps(Forest(np.sort(rows["amount"].to_numpy()), seed))]})
+        by_tree = rows.sort_values(["tree", "amount"]).groupby("tree")["amount"]
+        return pd.DataFrame({"scope": [key[0]], "forest": [pickle.dumps(Forest([x.to_numpy() for _, x in by_tree], seed))]})
 
     return fit
 
@@ -107,21 +121,21 @@ def scopes(own: DataFrame) -> DataFrame:
     return counts.join(medians(own, "amount", "scope").select("scope", F.col("median").alias("own_median")), "scope")
 
 
-def by_forest(ledger: DataFrame, requested: float = 0.1, min_samples: int = 5, by_category: bool = True, seed: int = 42) -> DataFrame:
+def by_forest(ledger: DataFrame, requested: float = 0.1, min_samples: int = 5, by_category: bool = True, seed: int = 42, base: DataFrame | None = None) -> DataFrame:
     """High amounts that isolation forests flag: one per category with enough rows, one for all rows of small categories together.
 
-    A forest is fitted on at most ``FIT_ROWS`` rows of its group, cut before they are dealt; all rows are scored in parts of
-    about ``PART_ROWS``, so a category with a third of all rows spreads. A score is a step function of the amount with at
-    most trees x subsample values, which bounds the exact percentile that sets its group's threshold.
+    Each tree is grown on ``samples`` of all rows of its group; all rows are scored in parts of about ``PART_ROWS``, so a
+    category with a third of all rows spreads. A score is a step function of the amount with at most trees x subsample
+    values, which bounds the exact percentile that sets its group's threshold. ``base``: the ledger's ``baselines``, where
+    they are known.
     """
+    ship(ledger.sparkSession)
     own = ledger.where(F.col("amount") > 0).withColumn("category", F.coalesce("category", F.lit(DEFAULT_CATEGORY)))
-    base = baselines(own).where(F.col("n") >= LEAST_ROWS)
+    base = (baselines(own) if base is None else base).where(F.col("n") >= LEAST_ROWS)
     every = base.select(F.col("n").alias("all_n"), F.col("mean").alias("all_mean"), F.col("median").alias("all_median"))
     own = scoped(own, min_samples, by_category).crossJoin(F.broadcast(every))  # one row
     counts = scopes(own)
-    first = Window.partitionBy("scope").orderBy(F.xxhash64("id"), "id")
-    some = own.select("scope", "id", "amount").withColumn("k", F.row_number().over(first)).where(F.col("k") <= FIT_ROWS)
-    forests = some.select("scope", "amount").groupBy("scope").applyInPandas(_fit(seed), "scope string, forest binary")
+    forests = samples(own, counts).groupBy("scope").applyInPandas(_fit(seed), "scope string, forest binary")
     parts = F.ceil(F.col("n") / PART_ROWS)
     rows = own.select("id", "scope", "amount").join(counts.select("scope", "n"), "scope").select("id", "scope", "amount", F.pmod(F.xxhash64("id"), parts).alias("part"))
     dealt = forests.join(counts.select("scope", "n"), "scope").select("scope", "forest", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
@@ -142,13 +156,14 @@ def by_forest(ledger: DataFrame, requested: float = 0.1, min_samples: int = 5, b
 
 def detect(ledger: DataFrame, requested: float = 0.1, min_samples: int = 5, by_category: bool = True, seed: int = 42) -> DataFrame:
     """Forest anomalies, and those by rule that no forest flagged; ids must be set. Without categories, the forest's alone."""
-    found = by_forest(ledger, requested, min_samples, by_category, seed)
-    return with_rules(found, ledger) if by_category else found
+    base = checkpointed(baselines(ledger))  # one row, asked for twice
+    found = by_forest(ledger, requested, min_samples, by_category, seed, base)
+    return with_rules(found, ledger, base) if by_category else found
 
 
-def with_rules(found: DataFrame, ledger: DataFrame) -> DataFrame:
+def with_rules(found: DataFrame, ledger: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """``found`` and the anomalies by rule whose ids it lacks."""
-    return found.unionByName(by_rule(ledger).join(found.select("id"), "id", "left_anti"))
+    return found.unionByName(by_rule(ledger, base=base).join(found.select("id"), "id", "left_anti"))
 
 
 def attention(score: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..domain import CATEGORY_DISPLAY, KEYWORDS, MONTH_NAMES, NEEDS, SOURCE_LABELS
 from ..functions import dates, money, text
 from ..operators import anomaly, budget, categorize, etl, extract, insights, ledger
+from ..operators.ranks import medians
 from ..sources import ledgers, loaders
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,6 +166,19 @@ def forest_anomalies(spark, sf):
     return anomaly.detect(month_events(spark, sf))
 
 
+@query()
+def forest_global(spark, sf):
+    """One forest for all rows, without the rule."""
+    return anomaly.detect(month_events(spark, sf), by_category=False)
+
+
+@query(f"WITH e AS ({ledgers.EVENTS_SQL}), u AS (SELECT id % 97 AS place, amount FROM e WHERE amount > 0) SELECT CAST(place AS BIGINT) AS place, median(amount) AS median, quantile_disc(amount, 0.5 ORDER BY amount DESC) AS upper_median FROM u GROUP BY place UNION ALL SELECT NULL, median(amount), quantile_disc(amount, 0.5 ORDER BY amount DESC) FROM u")
+def group_medians(spark, sf):
+    """Medians of 97 groups and of all rows, which the sketch brackets where they are many."""
+    own = ledgers.events(spark, sf).where("amount > 0").select((F.col("id") % 97).alias("place"), "amount")
+    return medians(own, "amount", "place").unionByName(medians(own, "amount"), allowMissingColumns=True)
+
+
 @query(EV + ", p AS (SELECT *, count(*) OVER (PARTITION BY category) AS size FROM m WHERE amount > 0), s AS (SELECT CASE WHEN size >= 1990 THEN 'category:' || category ELSE 'global_fallback' END AS scope, amount FROM p) SELECT scope, count(*) AS n, round(avg(amount), 4) AS own_mean, median(amount) AS own_median FROM s GROUP BY scope HAVING count(*) >= 2")
 def forest_scopes(spark, sf):
     """The groups that forests are fitted on, with the baselines that their finds are held against; small categories are one group."""

@@ -134,7 +134,9 @@ def test_forest_against_plain_trees():
     import numpy as np
 
     x = np.sort(np.random.default_rng(1).gamma(2.0, 50.0, 700))
-    forest, rng, m = anomaly.Forest(x, 7, trees=20), np.random.default_rng(7), 256
+    m = 256
+    samples = [np.sort(np.random.default_rng(k).choice(x, m, replace=False)) for k in range(20)]
+    forest, rng = anomaly.Forest(samples, 7), np.random.default_rng(7)
 
     def bound(n):
         return 0.0 if n <= 1 else 1.0 if n == 2 else 2.0 * (np.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
@@ -148,7 +150,7 @@ def test_forest_against_plain_trees():
     def path(tree, v):
         return tree if not isinstance(tree, tuple) else path(tree[1] if v <= tree[0] else tree[2], v)
 
-    trees = [grow(sorted(rng.choice(x, m, replace=False)), 0) for _ in range(20)]
+    trees = [grow(list(x), 0) for x in samples]
     probe = [*x[::50], 0.0, 1e6]
     want = [-(2.0 ** -(np.mean([path(t, v) for t in trees]) / bound(m))) for v in probe]
     assert forest.score(np.array(probe)) == pytest.approx(want)
@@ -161,3 +163,52 @@ def test_medians_of_groups(spark):
     assert {r["g"]: (r["median"], r["upper_median"]) for r in ranks.medians(rows, "x", "g").collect()} == {"a": (2.5, 3.0), "b": (5.0, 5.0), "c": (4.0, 4.0)}
     one = ranks.medians(rows, "x").first()
     assert (one["median"], one["upper_median"]) == (4.0, 4.0) and ranks.medians(rows.limit(0), "x").first()["median"] is None
+
+
+def test_medians_that_a_sketch_brackets(spark, monkeypatch):
+    import random
+    import statistics
+
+    from tallyforge.operators import ranks
+
+    monkeypatch.setattr(ranks, "ACCURACY", 1000)
+    rng = random.Random(3)
+    groups = {"even": [rng.random() for _ in range(20_000)], "odd": [rng.gauss(0, 1) for _ in range(9_999)], "same": [5.0] * 7_000, "two": [1.0] * 3_000 + [2.0] * 3_000, "tail": [2.0**rng.randint(-500, 500) for _ in range(5_000)], "few": [3.0, 1.0]}
+    rows = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs], "g string, x double").repartition(7)
+    got = {r["g"]: (r["median"], r["upper_median"]) for r in ranks.medians(rows, "x", "g").collect()}
+    assert got == {g: (statistics.median(xs), sorted(xs)[len(xs) // 2]) for g, xs in groups.items()}
+    every = sorted(x for xs in groups.values() for x in xs)
+    assert ranks.medians(rows, "x").first()["upper_median"] == every[len(every) // 2]
+
+
+def test_forest_finds_against_brute_force(spark):
+    """Samples are the least hashes of all rows; finds are those of plain trees grown on them, below the exact percentile, above the median."""
+    import statistics
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    rows = [("belanja", float(x)) for x in rng.gamma(2.0, 50.0, 1500).round(2)] + [("tagihan", 5000.0), ("tagihan", 10.0)] + [("hiburan", 90_000.0)] * 2
+    ledger = ledger_of(spark, rows)
+    own = anomaly.scoped(ledger.where("amount > 0"))
+    counts = anomaly.scopes(own)
+    drawn = {}
+    for r in anomaly.samples(own, counts).collect():
+        drawn.setdefault((r["scope"], r["tree"]), []).append(r["amount"])
+    hashed = own.select("scope", "id", "amount", F.transform(F.sequence(F.lit(0), F.lit(99)), lambda t: F.xxhash64("id", t)).alias("h")).collect()
+    for (scope, tree), got in drawn.items():
+        mine = sorted((r["h"][tree], r["id"], r["amount"]) for r in hashed if r["scope"] == scope)[:256]
+        assert sorted(got) == sorted(x for _, _, x in mine)
+    assert {s for s, _ in drawn} == {"category:belanja", "global_fallback"} and len(drawn) == 200
+    want = set()
+    for scope in ("category:belanja", "global_fallback"):
+        forest = anomaly.Forest([np.sort(drawn[scope, t]) for t in range(100)], 42)
+        mine = [(r["id"], r["amount"]) for r in hashed if r["scope"] == scope]
+        scores = forest.score(np.array([x for _, x in mine]))
+        limit = np.percentile(scores, 100 * min(0.49, max(0.1, 1 / len(mine))))
+        middle = statistics.median(x for _, x in (rows_ if scope == "global_fallback" else mine)) if (rows_ := [(r["id"], r["amount"]) for r in hashed]) else 0
+        want |= {i for (i, x), s in zip(mine, scores, strict=True) if s < limit and x > middle}
+    assert want and {r["id"] for r in anomaly.by_forest(ledger).collect()} == want
+    alone = anomaly.detect(ledger, by_category=False)
+    assert {r["baseline_scope"] for r in alone.collect()} == {"global"}
