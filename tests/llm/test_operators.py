@@ -309,23 +309,53 @@ def test_licences(spark, docs):
     assert "Python" not in licences.scan(docs)._jdf.queryExecution().executedPlan().toString()
 
 
+def confirmed(spark, texts):
+    got = licences.scan(frame(spark, [*enumerate(texts)])).collect()
+    return [sorted({x["family"] for x in r["found"] if x["confirmed"]}) for r in sorted(got, key=lambda r: r["doc_id"])]
+
+
 def test_licences_without_a_stem(spark):
     texts = ["Released under CC BY-SA 4.0", "under CC BY-NC 4.0", "This work is under a Creative Commons Attribution-NonCommercial 4.0 International", "nothing of the kind", "", None]
-    rows = [*enumerate(texts), *((i + 10, f"{t}\nThe licensing office is closed.") for i, t in enumerate(texts[:3]))]
-    got = {r["doc_id"]: [x["family"] for x in r["found"] if x["paragraph"] == 0 and x["confirmed"]] for r in licences.scan(frame(spark, rows)).collect()}
-    assert [got[i] for i in range(6)] == [["cc-by-sa"], ["cc-by-nc"], ["cc-by-nc"], [], [], []]
-    assert all(got[i] == got[i + 10] for i in range(3))
-    bias = licences.model()[1]
-    assert bias.index(max(bias)) == licences.FAMILIES.index("unknown")
+    assert confirmed(spark, texts) == [["cc-by-sa"], ["cc-by-nc"], ["cc-by-nc"], [], [], []]
+    assert confirmed(spark, [f"{t}\nThe licensing office is closed." for t in texts[:3]]) == [["cc-by-sa"], ["cc-by-nc"], ["cc-by-nc"]]
+
+
+def test_what_is_no_licence(spark):
+    texts = [
+        "Licensed under the Foo company terms", "this song is licensed under the label's contract", "Licensed under the EUPL", "the MIT license plate was found", "we saw that all rights reserved by the hotel were lost",
+        "a driver license for the apache helicopter", "The GPL was debated in court.", "MIT students met.", "Mail a cc by Monday.", "The licence of the restaurant was revoked", "Licensed under the Zlib license.", "Released under pressure",
+        "He got his driver's license from the Apache county office", "all rights reserved seats are gone", "Licensed under the Terms of Service", "released under the moon",
+    ]
+    assert confirmed(spark, texts) == [[] for _ in texts]
+
+
+def test_licences_of_all_families(spark):
+    wanted = {
+        "Copyright (c) 2020 Foo Inc. All rights reserved.": ["proprietary"], "The code is MIT licensed": ["mit"], "Foo is available under the MIT license.": ["mit"], "Licensed under the GPL v2": ["gpl"], "Distributed under the BSD license": ["bsd"],
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files": ["mit"], "released under the LGPL": ["lgpl"], "CC0 1.0": ["cc0"], "licensed under Apache 2.0": ["apache"],
+        "Licensed under the Mozilla Public License, v. 2.0": ["mpl"], "released into the public domain under the Unlicense": ["unlicense"], "licensed under the ISC license": ["isc"], "released under the GPL but not licensed under the MIT license": ["gpl", "mit"],
+        "gnu affero general public license": ["agpl"], "Licensed under a Creative Commons Attribution 4.0 license": ["cc-by"],
+    }
+    assert dict(zip(wanted, confirmed(spark, wanted), strict=True)) == wanted
 
 
 def test_wrapped_licences(spark):
     texts = [
         "gnu affero general public as published by the free software foundation", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n\nA day at sea.",
-        "This program is free software: you can redistribute it and/or modify", "It was a day.\n\nReleased under\nthe MIT License", "A long line that ends a sentence.\nLicensed under the GPL",
+        "It was a day.\n\nReleased under\nthe MIT License", "A long line that ends a sentence.\nLicensed under the GPL", "x" * 150 + " is released\nunder the MIT\nlicense",
     ]
-    got = {r["doc_id"]: {x["family"] for x in r["found"] if x["confirmed"]} for r in licences.scan(frame(spark, [*enumerate(texts)])).collect()}
-    assert [got[i] for i in (0, 1, 3, 4)] == [{"agpl"}, {"bsd"}, {"mit"}, {"gpl"}]
+    assert confirmed(spark, texts) == [["agpl"], ["bsd"], ["mit"], ["gpl"], ["mit"]]
+
+
+def test_no_paragraph_with_an_own_gram_is_passed_over():
+    rng, own = random.Random(4), {g for gs in licences.own_grams().values() for g in gs}
+    words = sorted({w for g in own for w in g.split()} | {"the", "of", "mitigate", "x"})
+    pattern = re.compile(licences._filter())
+    for _ in range(3000):
+        text = "".join(rng.choice(words).replace("|", ".") + rng.choice((" ", ", ", "-- ", ". ", "\t", " (")) for _ in range(rng.randint(1, 6)))
+        said = ["|", *re.findall(licences._TOKEN, re.sub(licences._STOP, " | ", text)), "|"]
+        said = [w[0] if isinstance(w, tuple) else w for w in said]
+        assert not (own & licences.grams(said)) or pattern.search(text), text
 
 
 def brute_spans(x):
