@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -11,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import private_lines
 from tallyforge.llm import boosting, jpeg, licences, media, merkle, minhash, mixing, packing, pii, quality, shingles, suffixes, tokens, warc
 
 SF = "/root/testdata/sf0.001"
@@ -404,6 +406,24 @@ def test_secrets_written_by_hand():
     assert pii.find([long], trees, thresholds)[0][1] == [("secret", 9, len(long))]
 
 
+def test_recall_on_a_hundred_lines_written_before_the_generators():
+    trees, thresholds = pii.model()
+    lines = [x.replace("«", "").replace("»", "") for x in private_lines.PRIVATE]
+    spans = [(x.index("«"), x.index("»") - 1) for x in private_lines.PRIVATE]
+    got = [every for _, every in pii.find(lines, trees, thresholds)]
+    missed = [x for x, (a, b), every in zip(lines, spans, got, strict=True) if not all(any(s <= k < e for _, s, e in every) for k in range(a, b))]
+    wrong = [x for x, (_, every) in zip(private_lines.PLAIN, pii.find(private_lines.PLAIN, trees, thresholds), strict=True) if every]
+    print("missed", missed, "wrong", wrong)
+    assert len(missed) <= 5 and len(wrong) <= 5
+
+
+def test_patterns_stand_long_texts():
+    began = time.time()
+    for x in ("token" * 40_000, "a-" * 100_000, "1 " * 100_000, "-----BEGIN PRIVATE KEY-----" * 5_000, "eyJ" * 60_000, "x at " * 50_000, "A" * 200_000, "key=" * 50_000, "phone " * 40_000, "_" * 200_000 + "1"):
+        pii.candidates(x)
+    assert time.time() - began < 60
+
+
 def test_boosting_learns():
     x = np.random.default_rng(0).normal(size=(600, 3))
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
