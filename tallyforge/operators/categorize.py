@@ -3,32 +3,76 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..domain import CATEGORY_DISPLAY, DEFAULT_CATEGORY, KEYWORDS
 from ..functions.dates import let
-from ..functions.text import words
 
 
-def alone(keywords: tuple[str, ...]) -> str:
-    """A pattern for keywords of up to four letters, which must stand alone: letters of any script beside them count."""
-    return rf"(?U)\b(?:{'|'.join(re.escape(k) for k in keywords if len(k) <= 4)})\b"
+#: Categories by keyword, in the order in which they are tried; a keyword may be of several.
+_OF: dict[str, list[int]] = {}
+for _place, _keywords in enumerate(KEYWORDS.values()):
+    for _k in _keywords:
+        _OF.setdefault(_k, []).append(_place)
+#: Keywords of up to four letters must stand alone; longer ones count within words too.
+_SHORT = 4
 
 
-def _inside(keywords: tuple[str, ...]) -> Column:
-    return words(tuple(k for k in keywords if len(k) > 4))
+def alternation(keywords: Iterable[str]) -> str:
+    """A pattern that matches the longest of the keywords, written as their tree of prefixes: a text is tried once for each letter, not for each keyword."""
+    tree: dict = {}
+    for k in keywords:
+        node = tree
+        for c in k:
+            node = node.setdefault(c, {})
+        node[""] = {}
 
+    def written(node: dict) -> str:
+        branches = [re.escape(c) + written(below) for c, below in sorted(node.items()) if c]
+        if not branches:
+            return ""
+        return (branches[0] if len(branches) == 1 and "" not in node else f"(?:{'|'.join(branches)})") + ("?" if "" in node else "")
 
-def by_keyword(text: Column) -> Column:
-    """The first category, in their order, of which a keyword occurs, longer ones within words too; null if none."""
+    return written(tree)
+
+
+def alone(keywords: Iterable[str]) -> str:
+    """A pattern for keywords that stand alone: letters of any script beside them count."""
+    return rf"(?U)\b({alternation(keywords)})\b"
+
+
+_LONG = [k for k in _OF if len(k) > _SHORT]
+#: At each place of a text the longest long keyword there; those that it begins with are there as well.
+_INSIDE = f"(?=({alternation(_LONG)}))"
+_ALONE = alone(k for k in _OF if len(k) <= _SHORT)
 
-    def first(low: Column) -> Column:
-        tests = [(F.exists(_inside(k), lambda w: F.contains(low, w)) | low.rlike(alone(k)), c) for c, k in KEYWORDS.items()]
-        return F.coalesce(*[F.when(test, F.lit(c)) for test, c in tests])
 
-    return let(F.lower(F.coalesce(text, F.lit(""))), first)
+def _places(table: dict[str, list[int]]) -> Column:
+    """A literal map of texts to arrays of places."""
+    keys = ", ".join("'" + k.replace("'", "\\'") + "'" for k in table)
+    return F.expr(f"map_from_arrays(array({keys}), array({', '.join(f'array({", ".join(map(str, v))})' for v in table.values())}))")
+
+
+def _found(low: Column) -> tuple[Column, Column]:
+    """Places of the categories of all keywords in a text: of distinct long ones, and of all that stand alone. Two passes over the text, whatever the number of keywords."""
+    numbered = {k: i for i, k in enumerate(_LONG)}
+    begins = {k: [numbered[p] for p in _LONG if k.startswith(p)] for k in _LONG}
+    there = F.array_distinct(F.flatten(F.transform(F.array_distinct(F.regexp_extract_all(low, F.lit(_INSIDE), 1)), lambda k: F.element_at(_places(begins), k))))
+    of_number = F.expr("array(" + ", ".join(f"array({', '.join(map(str, _OF[k]))})" for k in _LONG) + ")")
+    inside = F.flatten(F.transform(there, lambda i: F.get(of_number, i)))
+    short = {k: v for k, v in _OF.items() if len(k) <= _SHORT}
+    single = F.flatten(F.transform(F.regexp_extract_all(low, F.lit(_ALONE), 1), lambda k: F.element_at(_places(short), k)))
+    return inside, single
+
+
+def by_keyword(text: Column) -> Column:
+    """The first category, in their order, of which a keyword occurs, longer ones within words too; null if none."""
+    names = F.lit(list(KEYWORDS))
+    first = lambda low: F.array_min(F.concat(*_found(low)))
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.get(names, first(low)))
 
 
 def result(label: Column, confidence: Column | float, source: str) -> Column:
@@ -77,11 +121,11 @@ def chain(merchant: Column, app_label: Column, raw: Column, is_receipt: Column,
 def hybrid(text: Column) -> Column:
     """Categories by how many of their keywords occur, all occurrences counting of those that stand alone; the most wins at 0.9, null if none."""
 
-    def most(low: Column) -> Column:
-        counts = [F.struct((F.size(F.filter(_inside(k), lambda w: F.contains(low, w))) + F.regexp_count(low, F.lit(alone(k)))).alias("n"), F.lit(-place).alias("order"), F.lit(c).alias("category")) for place, (c, k) in enumerate(KEYWORDS.items())]
-        return let(F.array_max(F.array(*counts)), lambda best: F.when(best["n"] > 0, best["category"]))
+    def most(places: Column) -> Column:
+        counts = F.transform(F.sequence(F.lit(0), F.lit(len(KEYWORDS) - 1)), lambda k: F.struct(F.size(F.filter(places, lambda p: p == k)).alias("n"), (-k).alias("order")))
+        return let(F.array_max(counts), lambda best: F.when(best["n"] > 0, F.get(F.lit(list(KEYWORDS)), -best["order"])))
 
-    return let(F.lower(F.coalesce(text, F.lit(""))), most)
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: let(F.concat(*_found(low)), most))
 
 
 def status(merchant: Column, amount: Column, date: Column, document: Column, c_merchant: Column, c_amount: Column, c_date: Column) -> Column:

@@ -212,3 +212,35 @@ def test_forest_finds_against_brute_force(spark):
     assert want and {r["id"] for r in anomaly.by_forest(ledger).collect()} == want
     alone = anomaly.detect(ledger, by_category=False)
     assert {r["baseline_scope"] for r in alone.collect()} == {"global"}
+
+
+def test_keywords_by_tree_against_each_by_itself(spark):
+    """First category and counts, over texts made of keywords that touch, begin alike and hide in words."""
+    import random
+    import re
+
+    from tallyforge.domain import KEYWORDS
+    from tallyforge.operators import categorize
+
+    rng, every = random.Random(9), sorted({k for ks in KEYWORDS.values() for k in ks})
+    texts = [None, "", "Kopi", "xkopix", "mi", "émi", "mi_", "bills", "k24", "by.u", "cuci "] + ["".join(rng.choice(every) + rng.choice(("", " ", "x", "é ", "s ", ". ")) for _ in range(rng.randint(1, 5))) for _ in range(400)]
+    texts += [t[:-1].upper() for t in texts[20:60]]
+
+    def alone(k, low):
+        return len(re.findall(rf"\b{re.escape(k)}\b", low))
+
+    def counts(low):
+        # Short keywords are tried as one pattern, the longest first where several begin alike.
+        short = sorted({k for k in every if len(k) <= 4}, key=lambda k: -len(k))
+        seen = re.findall(rf"\b(?:{'|'.join(map(re.escape, short))})\b", low)
+        return [sum(k in low for k in ks if len(k) > 4) + sum(seen.count(k) for k in ks if len(k) <= 4) for ks in KEYWORDS.values()]
+
+    def first(low):
+        return next((c for c, ks in KEYWORDS.items() if any(k in low if len(k) > 4 else alone(k, low) for k in ks)), None)
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string").select("i", categorize.by_keyword(F.col("x")).alias("first"), categorize.hybrid(F.col("x")).alias("most")).collect()
+    for r in rows:
+        low = (texts[r["i"]] or "").lower()
+        n = counts(low)
+        assert r["first"] == first(low), low
+        assert r["most"] == (list(KEYWORDS)[n.index(max(n))] if max(n) else None), low
