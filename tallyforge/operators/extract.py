@@ -181,6 +181,7 @@ def tier(low: Column) -> Column:
 
 
 _CANDIDATE = "array<struct<score:int,line:int,value:double,explicit:boolean>>"
+_TRACED = "array<struct<score:int,line:int,value:double,explicit:boolean,reasons:array<string>>>"
 
 
 def _confident(best: Column, steps: tuple[tuple[int, float], ...], least: float) -> Column:
@@ -191,51 +192,75 @@ def _confident(best: Column, steps: tuple[tuple[int, float], ...], least: float)
     return F.when(best.isNull(), none).otherwise(F.struct(best["value"].alias("value"), out.alias("confidence"), best["score"].alias("score")))
 
 
-def receipt_amount(f: Column) -> Column:
-    """(value, confidence, score) of what a receipt asks to be paid."""
-    def pick(f: Column) -> Column:
-        n = F.size(f)
-        total_there = F.exists(f, lambda x: x["tier"] == 1)
-
-        def scored(i: Column, base: int, next_line: bool) -> Column:
-            x = F.get(f, i)
-            low, kind = x["low"], x["tier"]
-            before = around(f, i, -2, -1)
-            digits = F.length(F.regexp_replace(x["norm"], r"\D", ""))
-            due, total, amount, final = low.rlike(DUE), low.rlike(TOTAL), low.rlike(r"\b(amount|jumlah|tagihan|nominal)\b"), low.rlike(FINAL)
-            change, noise, url, back_url = low.rlike(CHANGE), low.rlike(NOISE), low.rlike(URL), before.rlike(URL)
-            only_paid = low.rlike(r"\b(tunai|cash|debit|credit|qris|payment|paid|lunas|tender|bayar)\b") & ~total & ~due & ~low.rlike(r"\b(total\s+bayar|jumlah\s+bayar|total\s+payment|total\s+paid|paid\s+amount)\b")
-            cash = low.rlike(CASH) & around(f, i, -3, 3).rlike(CHANGE)
-            one, two = F.coalesce(F.get(f, i - 2)["low"], F.lit("")), F.coalesce(F.get(f, i - 1)["low"], F.lit(""))
-            with_change = around(f, i, -4, 1).rlike(CHANGE)
-            flag = lambda t: F.when(t.rlike(CHANGE), -500).when(t.rlike(CASH) & with_change, -200).otherwise(0)
-            back = F.when(flag(one) != 0, flag(one)).otherwise(flag(two))
-            ref, long, very = low.rlike(REF), (digits > 8) & ~final, digits > 10
-            # What each test weighs.
-            fixed = base + back + total_of([
-                (due, 200), (total, 120), (amount, 80), ((kind == 2) & ~total_there, 50), ((kind == 2) & total_there, 15), (total_there & only_paid, -180), ((kind == 3) & total_there, -150), ((kind == 3) & ~total_there, -60),
-                (change, -500), (noise & final, -120), (noise & ~final, -900), (before.rlike(NOISE) & ~low.rlike(r"\b(grand\s+total|total|amount\s+due|total\s+due|balance\s+due|due|bayar|tunai)\b"), -450), (url, -900), (back_url, -650),
-                (long, -650), (very & ~final, -700), (very & final, -250), (cash, -200), (ref, -120), (low.rlike(QUANTITY), -150), (x["norm"].rlike(r"^\s*\d+\s+[A-Za-z]") & (kind == 0), -120),
-                (low.rlike("[a-z]{3,}") & (kind == 0) & ~low.rlike(r"\b(rp|idr)\b"), -70), (x["norm"].rlike(DAY), -100), (i >= F.floor(n * 0.6), 25),
-            ])
-            named = (due | total | amount | F.lit(next_line)) & (kind != 3) & ~change & (back == 0) & ~cash & ~ref & ~(noise & ~final) & ~url & ~back_url & ~long & ~very
-            return F.transform(x["values"], lambda v: F.struct((fixed + F.when((v < 1000) & ~final, -250).otherwise(0)).alias("score"), i.cast("int").alias("line"), v.alias("value"), named.alias("explicit")))
+def _receipt_candidates(f: Column, traced: bool = False) -> Column:
+    """Every amount that a receipt may ask for, as _CANDIDATE; with ``traced``, each also has its ``reasons``: the tests that hold, with what they weigh."""
+    n = F.size(f)
+    total_there = F.exists(f, lambda x: x["tier"] == 1)
+    kind_of = _TRACED if traced else _CANDIDATE
 
-        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        same = F.flatten(F.transform(places, lambda i: scored(i, 30, False)))
+    def scored(i: Column, base: int, next_line: bool) -> Column:
+        x = F.get(f, i)
+        low, kind = x["low"], x["tier"]
+        before = around(f, i, -2, -1)
+        digits = F.length(F.regexp_replace(x["norm"], r"\D", ""))
+        due, total, amount, final = low.rlike(DUE), low.rlike(TOTAL), low.rlike(r"\b(amount|jumlah|tagihan|nominal)\b"), low.rlike(FINAL)
+        change, noise, url, back_url = low.rlike(CHANGE), low.rlike(NOISE), low.rlike(URL), before.rlike(URL)
+        only_paid = low.rlike(r"\b(tunai|cash|debit|credit|qris|payment|paid|lunas|tender|bayar)\b") & ~total & ~due & ~low.rlike(r"\b(total\s+bayar|jumlah\s+bayar|total\s+payment|total\s+paid|paid\s+amount)\b")
+        cash = low.rlike(CASH) & around(f, i, -3, 3).rlike(CHANGE)
+        one, two = F.coalesce(F.get(f, i - 2)["low"], F.lit("")), F.coalesce(F.get(f, i - 1)["low"], F.lit(""))
+        with_change = around(f, i, -4, 1).rlike(CHANGE)
+        flag = lambda t: F.when(t.rlike(CHANGE), -500).when(t.rlike(CASH) & with_change, -200).otherwise(0)
+        back = F.when(flag(one) != 0, flag(one)).otherwise(flag(two))
+        ref, long, very = low.rlike(REF), (digits > 8) & ~final, digits > 10
+        # What each test weighs.
+        rules = {
+            "due": (due, 200), "total": (total, 120), "amount": (amount, 80), "paid, no total": ((kind == 2) & ~total_there, 50), "paid": ((kind == 2) & total_there, 15), "only paid": (total_there & only_paid, -180),
+            "part": ((kind == 3) & total_there, -150), "part, no total": ((kind == 3) & ~total_there, -60), "change": (change, -500), "noise, final": (noise & final, -120), "noise": (noise & ~final, -900),
+            "after noise": (before.rlike(NOISE) & ~low.rlike(r"\b(grand\s+total|total|amount\s+due|total\s+due|balance\s+due|due|bayar|tunai)\b"), -450), "url": (url, -900), "after url": (back_url, -650), "long": (long, -650),
+            "very long": (very & ~final, -700), "very long, final": (very & final, -250), "cash": (cash, -200), "reference": (ref, -120), "quantity": (low.rlike(QUANTITY), -150), "item": (x["norm"].rlike(r"^\s*\d+\s+[A-Za-z]") & (kind == 0), -120),
+            "words": (low.rlike("[a-z]{3,}") & (kind == 0) & ~low.rlike(r"\b(rp|idr)\b"), -70), "date": (x["norm"].rlike(DAY), -100), "low down": (i >= F.floor(n * 0.6), 25),
+        }
+        fixed = base + back + total_of(list(rules.values()))
+        named = (due | total | amount | F.lit(next_line)) & (kind != 3) & ~change & (back == 0) & ~cash & ~ref & ~(noise & ~final) & ~url & ~back_url & ~long & ~very
+        small = lambda v: (v < 1000) & ~final
+
+        def reasons(v: Column) -> Column:
+            said = [F.when(test, f"{name} {weight:+d}") for name, (test, weight) in {**rules, "small": (small(v), -250)}.items()]
+            lead = [F.lit(f"line above {base:+d}" if next_line else f"its own line {base:+d}"), F.when(back != 0, F.concat(F.lit("below change "), back.cast("string")))]
+            return F.array_compact(F.array(*lead, *said))
+
+        more = (lambda v: [reasons(v).alias("reasons")]) if traced else (lambda _: [])
+        return F.transform(x["values"], lambda v: F.struct((fixed + F.when(small(v), -250).otherwise(0)).alias("score"), i.cast("int").alias("line"), v.alias("value"), named.alias("explicit"), *more(v)))
 
-        def ahead(i: Column) -> Column:
-            first = F.coalesce(*[F.when(F.size(F.get(f, i + k)["values"]) > 0, i + k) for k in range(1, 5)])
-            alone = (F.get(f, i)["tier"] == 1) & (F.size(F.get(f, i)["values"]) == 0) & first.isNotNull()
-            return F.when(alone, let(first, lambda j: scored(j, 60, True))).otherwise(F.array().cast(_CANDIDATE))
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    same = F.flatten(F.transform(places, lambda i: scored(i, 30, False)))
 
-        def choose(c: Column) -> Column:
-            explicit = F.filter(c, lambda x: x["explicit"])
-            return _confident(F.array_max(F.when(F.size(explicit) > 0, explicit).otherwise(c)), ((200, 0.92), (100, 0.82), (50, 0.65)), 0.45)
+    def ahead(i: Column) -> Column:
+        first = F.coalesce(*[F.when(F.size(F.get(f, i + k)["values"]) > 0, i + k) for k in range(1, 5)])
+        alone = (F.get(f, i)["tier"] == 1) & (F.size(F.get(f, i)["values"]) == 0) & first.isNotNull()
+        return F.when(alone, let(first, lambda j: scored(j, 60, True))).otherwise(F.array().cast(kind_of))
 
-        return let(F.concat(same, F.flatten(F.transform(places, ahead))), choose)
+    return F.concat(same, F.flatten(F.transform(places, ahead)))
 
-    return pick(f)
+
+def _best_amount(candidates: Column) -> Column:
+    """The highest of those that a word names, where there are any; else of all."""
+    return let(F.filter(candidates, lambda x: x["explicit"]), lambda explicit: F.array_max(F.when(F.size(explicit) > 0, explicit).otherwise(candidates)))
+
+
+def receipt_amount(f: Column) -> Column:
+    """(value, confidence, score) of what a receipt asks to be paid."""
+    sure = lambda c: _confident(_best_amount(c), ((200, 0.92), (100, 0.82), (50, 0.65)), 0.45)
+    return let(f, lambda f: let(_receipt_candidates(f), sure))
+
+
+def amount_traces(documents: DataFrame, lines: str = "lines", keep: tuple[str, ...] = ("id",)) -> DataFrame:
+    """``keep``, and for every candidate of a receipt's amount its line, text, value, score, reasons, and whether it is the one taken."""
+    of = F.coalesce(F.col(lines), F.array().cast("array<string>"))
+    f = features(of, F.lit(False), F.lit(False), F.array().cast("array<string>"))
+    found = documents.select(*keep, of.alias("_l"), f.alias("_f")).select(*keep, "_l", let(F.col("_f"), lambda f: _receipt_candidates(f, True)).alias("_c"))
+    each = found.select(*keep, "_l", _best_amount(F.col("_c")).alias("_b"), F.explode("_c").alias("c"))
+    return each.select(*keep, "c.line", F.get("_l", F.col("c.line")).alias("text"), "c.value", "c.score", "c.explicit", "c.reasons", (F.col("c") == F.col("_b")).alias("taken"))
 
 
 def screen_amount(f: Column, kind: Column) -> Column:
@@ -467,11 +492,11 @@ def warnings(currency: Column, confidences: dict[str, Column]) -> Column:
     ))
 
 
-def extract(documents: DataFrame, lines: str = "lines", by: Callable[[Column], Column] = route, existing: tuple[str, str, str] | None = None, app_label: str | None = None) -> DataFrame:
+def extract(documents: DataFrame, lines: str = "lines", by: Callable[[Column], Column] = route, existing: tuple[str, str, str] | None = None, app_label: str | None = None, model_total: str | None = None) -> DataFrame:
     """``documents`` with document_type, route, merchant, amount, date, currency, their confidences, warnings, status and category.
 
     existing: columns of an earlier reading (merchant, amount, date), which stand where this one finds nothing or less;
-    app_label: a column of the category that the app itself shows.
+    app_label: a column of the category that the app itself shows; model_total: one of what a vision model read as a receipt's total.
     """
     from .categorize import chain, status
 
@@ -503,6 +528,9 @@ def extract(documents: DataFrame, lines: str = "lines", by: Callable[[Column], C
         "route": F.col("_r.route"), "route_confidence": F.col("_r.confidence"), "merchant": F.col("_m.value"), "merchant_confidence": F.when(single, F.least(F.col("_m.confidence"), F.lit(0.55))).otherwise(F.col("_m.confidence")),
         "amount": F.col("_a.value"), "amount_confidence": capped, "date": F.col("_d.value"), "date_confidence": F.col("_d.confidence"),
     }).drop("_r", "_m", "_a", "_d", "_f", "_q", "_g")
+    if model_total:
+        beside = with_model_total(F.col("amount"), F.col("amount_confidence"), F.when(F.col("route") == "receipt", F.col(model_total)))
+        out = out.withColumn("_t", beside).withColumns({"amount": F.col("_t.value"), "amount_confidence": F.col("_t.confidence")}).drop("_t")
     known = F.when(F.col("merchant") == NOT_FOUND, "").otherwise(F.col("merchant"))
     label = F.col(app_label) if app_label else F.lit(None).cast("string")
     category = chain(known, label, F.array_join(lines, " "), F.col("route") == "receipt", F.lit(False))
@@ -511,8 +539,12 @@ def extract(documents: DataFrame, lines: str = "lines", by: Callable[[Column], C
     return out.withColumns({"warnings": warnings(F.col("currency"), sure), "status": state, "category": category["label"], "category_source": category["source"]})
 
 
-def read_all(documents: DataFrame, lines: str = "lines") -> DataFrame:
-    """``extract`` after the first reading of payment screens, whose fields stand where the second finds none; receipts have the second alone."""
+def read_all(documents: DataFrame, lines: str = "lines", model_total: str | None = None) -> DataFrame:
+    """``extract`` after the first reading of payment screens, whose fields stand where the second finds none; receipts have the second alone.
+
+    model_total: a column of a vision model's total, which stands in for a receipt's missing amount and supports a weak one.
+    ``public_type`` and ``type_label`` are what users see of the document's type.
+    """
     from . import screens
 
     of = F.coalesce(F.col(lines), F.array().cast("array<string>"))
@@ -521,7 +553,9 @@ def read_all(documents: DataFrame, lines: str = "lines") -> DataFrame:
     only = F.when(is_screen, screens.merged(of)).otherwise(F.array().cast("array<string>"))
     first = routed.withColumn("_s", only).withColumns({"_em": screens.recipient(F.col("_s")), "_ea": screens.amount(F.col("_s")), "_ed": screens.date(F.col("_s")), "_ec": screens.shown_category(F.col("_s"))})
     first = first.withColumn(lines, F.when(is_screen, F.col("_s")).otherwise(of))
-    return extract(first, lines, lambda _: F.col("_by"), ("_em", "_ea", "_ed"), "_ec").drop("_by", "_s", "_em", "_ea", "_ed", "_ec")
+    out = extract(first, lines, lambda _: F.col("_by"), ("_em", "_ea", "_ed"), "_ec", model_total).drop("_by", "_s", "_em", "_ea", "_ed", "_ec")
+    shown = public_type(F.col("document_type"), F.col("route"))
+    return out.withColumns({"public_type": shown["public"], "type_label": shown["label"]})
 
 
 def public_type(internal: Column, fallback: Column) -> Column:

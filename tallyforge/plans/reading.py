@@ -465,3 +465,51 @@ def evaluated_documents(spark, sf):
     k = F.col("s_suppkey")
     rows = t(spark, sf, "supplier").select(F.concat(F.lit("x/"), k.cast("string"), F.lit(".png")).alias("path"), F.when(k % 2 == 0, receipt).otherwise(screen).alias("lines"))
     return evaluation.evaluated(rows).select("filename", "predicted_document_type", "merchant", "amount", "date", "suspected_error_type")
+
+
+# -- traces and model totals ------------------------------------------------------------------------------------------
+#: Two receipts with {} for thousands: what is asked for stands below its word on the first, is paid by card on the second.
+TRACED = (
+    ("TOKO ROTI", "Jl. Melati 8", "18/07/2024", "Susu UHT 12.000", "2 x 6.500", "SUBTOTAL {}.000", "PPN 2.500", "GRAND TOTAL", "{}.500", "TUNAI 950.000", "KEMBALI 22.500", "No Struk 12345678"),
+    ("TOKO ROTI", "Susu {}.000", "DEBIT {}.000", "Ref 123456"),
+)
+#: Receipt, line, value (in hundreds of {}, or as it stands), whether a word names it, whether it is taken, and the tests that hold.
+TRACES = (
+    (0, 2, "2024.0", False, False, ("its own line +30", "url -900", "date -100")), (0, 3, "12000.0", False, False, ("its own line +30", "after url -650", "words -70")),
+    (0, 4, "6500.0", False, False, ("its own line +30", "after url -650", "quantity -150", "item -120")), (0, 5, "n * 1000.0", False, False, ("its own line +30", "part -150")), (0, 6, "2500.0", False, False, ("its own line +30", "part -150")),
+    (0, 8, "n * 1000.0 + 500", False, False, ("its own line +30", "low down +25")), (0, 8, "n * 1000.0 + 500", True, True, ("line above +60", "low down +25")),
+    (0, 9, "950000.0", False, False, ("its own line +30", "paid +15", "only paid -180", "cash -200", "low down +25")), (0, 10, "22500.0", False, False, ("its own line +30", "below change -200", "part -150", "change -500", "low down +25")),
+    (0, 11, "12345678.0", False, False, ("its own line +30", "below change -200", "noise -900", "words -70", "low down +25")), (1, 1, "n * 1000.0", False, False, ("its own line +30", "words -70")),
+    (1, 2, "n * 1000.0", False, True, ("its own line +30", "paid, no total +50", "low down +25")), (1, 3, "123456.0", False, False, ("its own line +30", "noise -900", "words -70", "low down +25")),
+)
+
+
+def _traced(spark, sf: str) -> DataFrame:
+    n = (F.col("c_custkey") % 900 + 100).cast("string")
+    lines = [F.array(*[F.replace(F.lit(x), F.lit("{}"), n) for x in receipt]) for receipt in TRACED]
+    return t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, lines[0]).otherwise(lines[1]).alias("lines"))
+
+
+_TRACE_ROWS = " UNION ALL ".join(
+    f"SELECT id, {line} AS line, CAST({value} AS DOUBLE) AS value, {sum(int(r.rpartition(' ')[2]) for r in reasons)} AS score, {named} AS explicit, {taken} AS taken, unnest([{', '.join(map(_q, reasons))}]) AS reason FROM x WHERE id % 2 = {kind}"
+    for kind, line, value, named, taken, reasons in TRACES
+)
+
+
+@query(f"WITH x AS (SELECT c_custkey AS id, c_custkey % 900 + 100 AS n FROM customer) {_TRACE_ROWS}")
+def amount_traces(spark, sf):
+    """Why each amount of a receipt scored as it did: a row for each test that held."""
+    found = extract.amount_traces(_traced(spark, sf))
+    return found.select("id", "line", "value", "score", "explicit", "taken", F.explode("reasons").alias("reason"))
+
+
+@query("""SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN n * 1000.0 + 500 ELSE n * 1000.0 END::DOUBLE AS amount, CASE c_custkey % 4 WHEN 0 THEN 0.70 WHEN 1 THEN 0.60 WHEN 2 THEN 0.82 ELSE 0.45 END::DOUBLE AS confidence, 'receipt' AS public_type, 'Struk Belanja' AS type_label
+ FROM (SELECT *, c_custkey % 900 + 100 AS n FROM customer)""")
+def model_totals(spark, sf):
+    """Whole readings beside a vision model's total: it stands in for none, supports a weak amount that it agrees with, and changes neither a sure nor another one."""
+    k, n = F.col("c_custkey") % 4, (F.col("c_custkey") % 900 + 100).cast("string")
+    lines = lambda *xs: F.array(*[F.replace(F.lit(x), F.lit("{}"), n) for x in xs])
+    none, weak, sure = lines("TOKO ROTI INDAH", "Kasir Ani", "Struk", "Terima kasih"), lines("TOKO ROTI", "Susu {}.000", "Kasir Ani", "Qty 1 pcs"), lines("TOKO ROTI", "TOTAL {}.000", "Kasir Ani")
+    total = F.when(k == 0, F.concat(F.lit("Rp "), n, F.lit(".500"))).when(k == 1, F.concat(n, F.lit(".000"))).when(k == 2, F.concat(n, F.lit(".000"))).otherwise("5.000")
+    rows = t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.when(k == 0, none).when(k == 2, sure).otherwise(weak).alias("lines"), total.alias("total"))
+    return extract.read_all(rows, model_total="total").select("id", "amount", F.col("amount_confidence").alias("confidence"), "public_type", "type_label")

@@ -150,3 +150,18 @@ def test_days_count_on(spark):
     days = {"2024-01-05": "5 Jan", "2024-02-31": "2 Mar", "2024-13-01": "1 Jan", "2024-05": "2024-05", "2024-00-10": "2024-00-10", "x": "x"}
     rows = spark.createDataFrame([(k,) for k in days], "d string")
     assert {r["d"]: r["t"] for r in rows.select("d", dates.tick_label(F.col("d")).alias("t")).collect()} == days
+
+
+def test_traces_add_up(spark):
+    """Over lines of every kind: a score is the sum of its reasons, and the one taken is the amount that is read."""
+    from tallyforge.plans import reading
+
+    rows = reading.noisy(spark, "/root/testdata/sf0.001").limit(300).unionByName(spark.createDataFrame([(-1, None), (-2, [])], "id long, lines array<string>"))
+    taken = {}
+    for r in extract.amount_traces(rows).collect():
+        assert r["score"] == sum(int(x.rpartition(" ")[2]) for x in r["reasons"]), r
+        if r["taken"]:
+            taken[r["id"]] = r["value"]
+    f = extract.features(F.coalesce(F.col("lines"), F.array().cast("array<string>")), F.lit(False), F.lit(False), F.array().cast("array<string>"))
+    read = {r["id"]: r["v"] for r in rows.select("id", extract.receipt_amount(f)["value"].alias("v")).collect()}
+    assert len(taken) > 100 and {i: v for i, v in read.items() if v} == {i: v for i, v in taken.items() if v}
