@@ -38,16 +38,22 @@ def fault(error: Column, preview: Column, status: Column, merchant: Column, amou
 
 
 def evaluated(documents: DataFrame, path: str = "path", lines: str = "lines") -> DataFrame:
-    """A report row for each of ``documents`` (path, lines, and ``ocr_error`` where it is known); time and trace are blank, as a plan has none per row."""
+    """A report row for each of ``documents`` (path, lines, and ``ocr_error`` where it is known).
+
+    The trace says how sure each field is and where the category is from; ``amount_traces`` has the candidates. A plan takes
+    no time per row, so ``processing_time`` is null.
+    """
     error = F.col("ocr_error") if "ocr_error" in documents.columns else F.lit("")
     read = read_all(documents.select(F.col(path).alias("path"), F.col(lines).alias("lines"), F.coalesce(error, F.lit("")).alias("ocr_error")))
     kind = public_type(F.col("document_type"), F.col("route"))
     preview = F.substring(F.array_join(F.coalesce("lines", F.array().cast("array<string>")), "\n"), 1, 900)
+    sure = [F.concat(F.lit(f"{k}="), F.format_number(f"{k}_confidence", 2)) for k in ("route", "merchant", "amount", "date")]
+    trace = F.concat_ws(" ", *sure, F.concat(F.lit("category="), F.col("category_source")))
     made = fault(F.col("ocr_error"), preview, F.col("status"), F.col("merchant"), F.col("amount"), F.col("date"), F.col("warnings"))
     return read.select(
         F.element_at(F.split("path", "/"), -1).alias("filename"), "path", kind["public"].alias("predicted_document_type"), kind["label"].alias("document_type_label"), kind["internal"].alias("document_type_internal"),
         F.col("route").alias("route_used"), F.round("route_confidence", 3).alias("route_confidence"), "merchant", "amount", "date", "category", category_display(F.col("category")).alias("category_display"), "status",
-        (F.col("status") != "failed").alias("success"), "warnings", preview.alias("raw_ocr_preview"), F.lit("").alias("debug_trace_preview"), F.lit(0.0).alias("processing_time"), "ocr_error",
+        (F.col("status") != "failed").alias("success"), "warnings", preview.alias("raw_ocr_preview"), trace.alias("debug_trace_preview"), F.lit(None).cast("double").alias("processing_time"), "ocr_error",
         made["type"].alias("suspected_error_type"), made["fix"].alias("suggested_fix"),
     )
 

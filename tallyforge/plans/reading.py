@@ -446,6 +446,18 @@ def report_files(spark, sf):
     return found.unionByName(log).crossJoin(F.broadcast(spark.read.json(f"{path}/summary").select("total_samples")))
 
 
+@query(_RESULTS + " SELECT 'results' AS part, status AS value, count(*) AS n FROM r GROUP BY status UNION ALL SELECT 'slowest', '', least(10, count(*)) FROM r UNION ALL SELECT 'summary.md', status, count(*) FROM r GROUP BY status UNION ALL SELECT 'summary.md', 'total_samples', count(*) FROM r")
+def report_parts(spark, sf):
+    """The other parts of a report as they are read back: results by status, the slowest, and the counts of its text."""
+    rows, path = results_of(spark, sf), new_folder(spark, "report")
+    sinks.write_report(rows, path)
+    results = spark.read.json(f"{path}/results").groupBy(F.lit("results").alias("part"), F.col("status").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    slow = spark.read.json(f"{path}/slowest").select(F.lit("slowest").alias("part"), F.lit("").alias("value")).groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"))
+    text = spark.read.text(f"{path}/summary.md", wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)(## status\n.*?)\n\n|(- total_samples: \d+)"), 0)).alias("x"))
+    said = text.select(F.explode(F.regexp_extract_all("x", F.lit(r"- (\w+: \d+)"), 1)).alias("x")).select(F.lit("summary.md").alias("part"), F.split("x", ": ")[0].alias("value"), F.split("x", ": ")[1].cast("long").alias("n"))
+    return results.unionByName(slow).unionByName(said)
+
+
 @query(OR + f"SELECT id, merchant, amount, date, category, {sql_display('category')} AS category_display FROM o WHERE id % 3 = 0")
 def swapped_ledger(spark, sf):
     """A ledger rewritten from what it holds itself, in place."""
