@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import minhash, mixing, packing, pii, quality
-from tallyforge.llm._common import cut, shared_folder, table
+from tallyforge.llm._common import cut, deleted, shared_folder, table
 
 #: A document stays if its score is at least this; the score is the learned chance of label 1.
 LEAST_QUALITY = 0.3
@@ -74,8 +74,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage has written goes once the next one is written whole; the last stays, for it is read from."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            deleted(spark, f"{folder}/{k - 1}")
     return docs
