@@ -7,6 +7,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -554,4 +555,7 @@ def test_pipeline(spark):
         if name == "personal data":
             assert not any(pii.base_spans(r["text"]) for r in out.collect())
         docs = out
-    assert sizes[0] < 200 and all(sizes) and corpus_pipeline.run(spark, SF).count() == sizes[-1]
+    done = corpus_pipeline.run(spark, SF)
+    assert sizes[0] < 200 and all(sizes) and done.count() == sizes[-1]
+    folder = Path(done.inputFiles()[0].removeprefix("file://")).parents[1]
+    assert [p.name for p in folder.iterdir()] == ["4"]
