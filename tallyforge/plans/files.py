@@ -12,6 +12,7 @@ from ..functions import text
 from ..operators import ledger
 from ..session import new_folder
 from ..sources import ledgers, loaders, sinks
+from ..streaming import build
 from .catalog import query, t
 
 #: Events of a file.
@@ -114,3 +115,18 @@ def ledger_insert_names(spark, sf) -> DataFrame:
     rows = named_ledger(spark, sf)
     held = rows.where("id % 4 <> 0")
     return ledger.insert(held, rows.where("id % 4 = 0").drop("id")).join(held.select("id"), "id", "left_anti").select("id", "merchant", "amount")
+
+
+# -- a data set built from a stream of files --------------------------------------------------------------------------
+@query("SELECT 'bank' || (p_partkey % 3) || '/' || (p_partkey % 700) || '.png' AS path, min(CAST(p_partkey % 2100 * 1000 AS DOUBLE)) AS total, 'bank' || (p_partkey % 3) AS bank FROM part GROUP BY p_partkey % 3, p_partkey % 700")
+def streamed_build(spark, sf) -> DataFrame:
+    """Records of payment screens as a stream of files, a few a batch; paths repeat within files and between them."""
+    p, folder = t(spark, sf, "part"), new_folder(spark, "stream")
+    path = F.concat(F.lit("bank"), (F.col("p_partkey") % 3).cast("string"), F.lit("/"), (F.col("p_partkey") % 700).cast("string"), F.lit(".png"))
+    gt = F.to_json(F.struct(F.struct(F.lit("x").alias("recipient"), F.format_number(F.col("p_partkey") % 2100 * 1000, 0).alias("amount")).alias("gt_parse")))
+    lines = p.select("p_partkey", F.to_json(F.struct(path.alias("file_name"), gt.alias("ground_truth"))).alias("value"))
+    for k, part in enumerate((F.col("p_partkey") <= 700, F.col("p_partkey") > 700)):
+        lines.where(part).sort("p_partkey").select("value").write.mode("append").text(f"{folder}/in/{k}")
+        rows = build.records(spark, f"{folder}/in/*", files=3)
+        build.build(loaders.mbanking(rows).select("path", "total", "bank"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return build.built(spark, f"{folder}/out").groupBy("path", "bank").agg(F.sum("total").alias("total")).select("path", "total", "bank")
