@@ -130,3 +130,15 @@ def streamed_build(spark, sf) -> DataFrame:
         rows = build.records(spark, f"{folder}/in/*", files=3)
         build.build(loaders.mbanking(rows).select("path", "total", "bank"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return build.built(spark, f"{folder}/out").groupBy("path", "bank").agg(F.sum("total").alias("total")).select("path", "total", "bank")
+
+
+# -- listings ---------------------------------------------------------------------------------------------------------
+@query("SELECT 'k=' || (c_custkey % 7) AS folder, 1 AS files, CAST(sum(length(c_name) + 1) AS BIGINT) AS bytes FROM customer GROUP BY c_custkey % 7")
+def listed_files(spark, sf) -> DataFrame:
+    """Files under roots that overlap, each once; those of other kinds are left out."""
+    folder = new_folder(spark, "listing")
+    c = t(spark, sf, "customer").select("c_name", (F.col("c_custkey") % 7).alias("k"))
+    c.repartition("k").write.partitionBy("k").text(f"{folder}/all")
+    c.select("k").write.json(f"{folder}/all/k=0/others")
+    found = loaders.listing(spark, [f"{folder}/all", f"{folder}/all/k=3"], ("txt",))
+    return found.groupBy(F.element_at(F.split("path", "/"), -2).alias("folder")).agg(F.count(F.lit(1)).cast("int").alias("files"), F.sum("length").alias("bytes"))
