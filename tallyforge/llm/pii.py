@@ -87,7 +87,7 @@ _PEM = r"(?:[A-Z]{2,10} ){0,3}PRIVATE KEY(?: BLOCK)?-----"
 #: search starts at rare characters. High recall; the trees decide. Spans are whole tokens of any length; a key's name may go
 #: on for 40 characters after its word.
 GENERATORS = [
-    ("secret", False, (), re.compile(r"(?:=>|[=:])(?=[ \t]{0,3}[\"']?([^\s\"',;]{6,}+))"), re.compile(rf"(?i)(?:{_KEYS})[a-z0-9_.-]{{0,40}}[\"']?[ \t]{{0,3}}$")),
+    ("secret", False, (), re.compile(r"(?:=>|[=:])(?=[ \t]{0,3}[\"']?[^\s\"',;]{6})"), re.compile(rf"(?i)(?:{_KEYS})[a-z0-9_.-]{{0,40}}[\"']?[ \t]{{0,3}}$")),
     ("secret", False, (), re.compile(r"(?<![A-Za-z0-9_])([A-Z]{2}[A-Z0-9]{12,}+)(?![A-Za-z0-9_])"), None),
     ("secret", True, (), re.compile(r"(?<![A-Za-z0-9_-])((?=[A-Za-z_-]*+[0-9])[0-9A-Za-z_-]{16,}+)(?![A-Za-z0-9])"), None),
     ("secret", False, ("eyj",), re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]++)?)"), None),
@@ -102,6 +102,8 @@ GENERATORS = [
     ("number", True, ("passport", "licen"), re.compile(r"(?<![A-Za-z0-9])((?=[A-Za-z]*+[0-9])[A-Za-z0-9]{8,10}+)(?![A-Za-z0-9])"), re.compile(r"(?i)\b(?:passport|licen[cs]e)(?: (?:no\b\.?|number))?[.:#]{0,2}[ \t]{1,3}$")),
     ("address", False, ("dot",), re.compile(r"(?i)(?<![a-z0-9._%+-])([a-z0-9._%+-]++ ?(?: at |\(at\)|\[at\]) ?[a-z0-9-]++(?: ?(?: dot |\(dot\)|\[dot\]) ?[a-z0-9-]++)+)"), None),
 ]
+#: What a pattern without a group assigns: the token after it. Signs within a token that was taken aren't tried again.
+_VALUE = re.compile(r"[ \t]{0,3}[\"']?([^\s\"',;]{6,}+)")
 _WORDS = ("password", "token", "secret", "key", "ssn", "iban", "account", "phone", "tel", "call", "order", "version", "page", "mobile", "fax", "cell", "passport", "auth")
 #: Before a hash, and about a number, that is of no person.
 _HASHED = ("commit", "sha", "md5", "checksum", "revision", "hash ", "uuid", "id ", "rev ")
@@ -117,7 +119,15 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     digit, low, out = _DIGIT.search(text), text.lower(), []
     for k, (_, needs, hints, pattern, before) in enumerate(GENERATORS):
         if (digit or not needs) and (not hints or any(h in low for h in hints)):
-            out += [(k, *m.span(1)) for m in pattern.finditer(text) if before is None or before.search(text, max(0, m.start() - 64), m.start())]
+            found = (m for m in pattern.finditer(text) if before is None or before.search(text, max(0, m.start() - 64), m.start()))
+            if pattern.groups:
+                out += [(k, *m.span(1)) for m in found]
+                continue
+            taken = 0
+            for m in found:
+                if m.end() > taken:
+                    start, taken = _VALUE.match(text, m.end()).span(1)
+                    out.append((k, start, taken))
     return out
 
 
