@@ -19,12 +19,25 @@ def rupiah(x: Column) -> Column:
 
 
 def short_rupiah(x: Column, prefix: str = "Rp ") -> Column:
-    """Millions with one decimal and 'jt', thousands whole and 'rb'."""
+    """Millions with one decimal and 'jt', thousands whole and 'rb'; halves to even, as ``printf`` has it."""
     x = x.cast("double")
-    number = F.when(x >= 1e6, F.concat(F.format_string("%.1f", x / 1e6), F.lit("jt"))).when(x >= 1e3, F.concat(F.format_string("%.0f", x / 1e3), F.lit("rb"))).otherwise(F.format_string("%.0f", x))
+    number = F.when(x >= 1e6, F.concat(_tenths(x / 1e6), F.lit("jt"))).when(x >= 1e3, F.concat(F.format_string("%.0f", F.rint(x / 1e3)), F.lit("rb"))).otherwise(F.format_string("%.0f", F.rint(x)))
     return F.concat(F.lit(prefix), number)
 
 
+def _tenths(x: Column) -> Column:
+    """A number from 1 on with one decimal, rounded by its exact binary value: what is behind the point is a whole number of 52-bit parts."""
+    one = 1 << 52
+
+    def rounded(d: Column) -> Column:
+        tenth = F.shiftright(d["parts"] * 10, 52)
+        rest = d["parts"] * 10 - F.shiftleft(tenth, 52)
+        return let(tenth + F.when((rest > one // 2) | ((rest == one // 2) & (tenth % 2 == 1)), 1).otherwise(0), lambda n: F.format_string("%d.%d", d["whole"] + F.when(n == 10, 1).otherwise(0), n % 10))
+
+    parts = F.struct(F.floor(x).alias("whole"), ((x - F.floor(x)) * float(one)).cast("bigint").alias("parts"))
+    return F.when(x >= float(one), F.format_string("%.1f", x)).otherwise(let(parts, rounded))
+
+
 def digits_only(x: Column) -> Column:
     """A price of digits and minus alone: '75,000' is 75000, '75.50' is 7550; null if there is none."""
     return F.nullif(F.regexp_replace(x, "[^0-9-]", ""), F.lit("")).try_cast("double")
@@ -53,8 +66,8 @@ def token(raw: Column, rupiah_context: Column, compact_qr: Column) -> Column:
     s = F.regexp_replace(fixed_digits(raw), r"(?i)rp|idr|[$€£+\s-]", "")
     s = F.regexp_replace(s, r"^\D+|\D+$", "")
 
-    def value(s: Column) -> Column:
-        digits, groups = F.regexp_replace(s, r"\D", ""), F.split(s, "[.,]")
+    def value(d: Column) -> Column:
+        s, digits, groups = d["s"], d["digits"], d["groups"]
         n, last, first = F.size(groups), F.element_at(groups, -1), F.element_at(groups, 1)
         both = s.contains(",") & s.contains(".")
         whole = F.regexp_replace(F.regexp_replace(s, r"[.,]\d*$", ""), "[.,]", "")
@@ -76,7 +89,11 @@ def token(raw: Column, rupiah_context: Column, compact_qr: Column) -> Column:
         )
         return chosen.try_cast("double")
 
-    return let(let(s, value), lambda v: F.when(v.between(1, 1e9), v))
+    return let(let(let(s, _parts), value), lambda v: F.when(v.between(1, 1e9), v))
+
+
+def _parts(s: Column) -> Column:
+    return F.struct(s.alias("s"), F.regexp_replace(s, r"\D", "").alias("digits"), F.split(s, "[.,]").alias("groups"))
 
 
 def screen_token(raw: Column, rupiah_context: Column, compact_qr: Column) -> Column:
@@ -84,8 +101,8 @@ def screen_token(raw: Column, rupiah_context: Column, compact_qr: Column) -> Col
     s = F.regexp_replace(F.regexp_replace(fixed_digits(raw), r"(?<=\d)[Bb](?=\s\d)", "8"), r"(?i)\b(rp\.?|idr)\b|[–—+\s-]", "")
     s = F.regexp_replace(s, r"^\D+|\D+$", "")
 
-    def value(s: Column) -> Column:
-        digits, groups = F.regexp_replace(s, r"\D", ""), F.split(s, "[.,]")
+    def value(d: Column) -> Column:
+        s, digits, groups = d["s"], d["digits"], d["groups"]
         n, first, last = F.size(groups), F.element_at(groups, 1), F.element_at(groups, -1)
         cents = F.length(last).between(1, 2) & ((n == 2) | (s.contains(",") & s.contains(".")))
         stray = compact_qr & rupiah_context & (n == 2) & (F.length(first) == 3) & (F.length(last) == 3) & last.startswith("00") & (last != "000")
@@ -96,7 +113,7 @@ def screen_token(raw: Column, rupiah_context: Column, compact_qr: Column) -> Col
         )
         return chosen.try_cast("double")
 
-    return let(s, value)
+    return let(let(s, _parts), value)
 
 
 def without_cents(x: Column) -> Column:
