@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dates import let
 from ..functions.money import digits_only, quantity
+from ..session import once
 
 
 def listing(spark: SparkSession, root: str | list[str], extensions: tuple[str, ...] = ("jpg", "jpeg", "png", "webp", "bmp"), limit: int | None = None) -> DataFrame:
@@ -64,28 +66,28 @@ def kaggle(records: DataFrame, categories: DataFrame | None = None) -> DataFrame
 
 
 def menu(gt: Column) -> Column:
-    """Items of a menu that is a list or one object; fields may be text or lists of it; nameless items go."""
-    v = F.try_parse_json(gt)
+    """Items of a menu that is a list or one object; fields may be text or lists of it; nameless items go. The text is parsed once."""
     kind = lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID"))
-    raw = F.try_variant_get(v, "$.menu", "variant")
-    each = F.when(kind(raw).startswith("ARRAY"), F.try_variant_get(raw, "$", "array<variant>")).when(kind(raw).startswith("OBJECT"), F.array(raw))
+    listed = lambda raw: let(kind(raw), lambda k: F.when(k.startswith("ARRAY"), F.try_variant_get(raw, "$", "array<variant>")).when(k.startswith("OBJECT"), F.array(raw)))
 
     def flat(item: Column, name: str) -> Column:
-        x = F.try_variant_get(item, f"$.{name}", "variant")
-        listed = F.array_join(F.try_variant_get(x, "$", "array<string>"), " ")
-        return F.when(kind(x).startswith("ARRAY"), listed).otherwise(F.try_variant_get(x, "$", "string"))
+        joined = lambda x: F.array_join(F.try_variant_get(x, "$", "array<string>"), " ")
+        return let(F.try_variant_get(item, f"$.{name}", "variant"), lambda x: F.when(kind(x).startswith("ARRAY"), joined(x)).otherwise(F.try_variant_get(x, "$", "string")))
 
-    items = F.transform(each, lambda m: F.struct(flat(m, "nm").alias("name"), quantity(flat(m, "cnt")).alias("quantity"), digits_only(flat(m, "unitprice")).alias("unit_price"), digits_only(flat(m, "price")).alias("total_price")))
-    return F.filter(items, lambda i: F.coalesce(F.trim(i["name"]), F.lit("")) != "")
+    number = lambda item, name, of: let(flat(item, name), of)
+    one = lambda m: F.struct(flat(m, "nm").alias("name"), number(m, "cnt", quantity).alias("quantity"), number(m, "unitprice", digits_only).alias("unit_price"), number(m, "price", digits_only).alias("total_price"))
+    each = let(F.try_variant_get(F.try_parse_json(gt), "$.menu", "variant"), listed)
+    return F.filter(F.transform(each, one), lambda i: F.coalesce(F.trim(i["name"]), F.lit("")) != "")
 
 
 def cord(records: DataFrame) -> DataFrame:
     """Records of (line): items of the menu and the total."""
-    gt = truth(F.col("line"))
-    return records.select(
-        F.coalesce(F.get_json_object("line", "$.image_path"), F.get_json_object("line", "$.file_name")).alias("path"), F.lit("cord").alias("source"), F.lit("id").alias("language"), F.lit(None).cast("string").alias("merchant"),
-        F.lit(None).cast("string").alias("date"), digits_only(F.get_json_object(gt, "$.total.total_price")).alias("total"), F.lit(None).cast("string").alias("category"),
-        F.array_join(F.transform(menu(gt), lambda i: i["name"]), " ").alias("text"), menu(gt).alias("items"),
+    path = F.coalesce(F.get_json_object("line", "$.image_path"), F.get_json_object("line", "$.file_name"))
+    read = once(records.withColumn("_gt", truth(F.col("line"))), "items", menu(F.col("_gt")))
+    return read.select(
+        path.alias("path"), F.lit("cord").alias("source"), F.lit("id").alias("language"), F.lit(None).cast("string").alias("merchant"),
+        F.lit(None).cast("string").alias("date"), digits_only(F.get_json_object("_gt", "$.total.total_price")).alias("total"), F.lit(None).cast("string").alias("category"),
+        F.array_join(F.transform("items", lambda i: i["name"]), " ").alias("text"), "items",
     )
 
 
