@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import choice
+from ..session import once
 
 SCHEMA = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("merchant", T.StringType()), T.StructField("amount", T.DoubleType()), T.StructField("date", T.StringType()),
@@ -49,20 +50,23 @@ def live(spark: SparkSession, path: str) -> str | None:
 
 
 def _typed(records: DataFrame) -> DataFrame:
-    """SCHEMA's columns, ``place`` and ``bad`` of (text, place): each record is cast by itself, and one that can't be is kept as text.
+    """SCHEMA's columns, ``place`` and ``bad`` of (text, place): each record is parsed once and cast by itself, and one that can't be is kept as text.
 
     A record is bad if it is no object, its id no whole number, its amount no number or text of one, or another field no
     text. Fields that are missing or null are null.
     """
-    of = lambda name, kind: F.try_variant_get("_v", f"$.{name}", kind)
-    kind = lambda name: F.coalesce(F.schema_of_variant(of(name, "variant")), F.lit("VOID"))
-    bad = ~F.coalesce(F.schema_of_variant("_v"), F.lit("")).startswith("OBJECT") | ~kind("id").isin("BIGINT", "VOID") | ((kind("amount") != "VOID") & of("amount", "double").isNull())
-    for f in SCHEMA.fieldNames():
+    names = SCHEMA.fieldNames()
+    kind = lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID"))
+    parsed = once(records, "_v", F.try_parse_json("text"))
+    apart = once(parsed, "_f", F.struct(*[F.try_variant_get("_v", f"$.{n}", "variant").alias(n) for n in names]))
+    of = lambda f: F.try_variant_get(F.col(f"_f.{f.name}"), "$", f.dataType.simpleString())
+    bad = ~F.coalesce(F.schema_of_variant("_v"), F.lit("")).startswith("OBJECT") | ~kind("_f.id").isin("BIGINT", "VOID") | ((kind("_f.amount") != "VOID") & of(SCHEMA["amount"]).isNull())
+    for f in names:
         if f not in ("id", "amount"):
-            bad = bad | ~kind(f).isin("STRING", "VOID")
-    typed = records.withColumn("_v", F.try_parse_json("text")).withColumn("_bad", bad)
-    own = [F.when(~F.col("_bad"), of(f.name, f.dataType.simpleString())).alias(f.name) for f in SCHEMA.fields]
-    return typed.select(*own, F.col("place").cast(PLACE).alias("place"), F.when(F.col("_bad"), F.coalesce("text", F.lit("null"))).alias("bad"))
+            bad = bad | ~kind(f"_f.{f}").isin("STRING", "VOID")
+    told = once(apart, "_bad", bad)
+    own = [F.when(~F.col("_bad"), of(f)).alias(f.name) for f in SCHEMA.fields]
+    return told.select(*own, F.col("place").cast(PLACE).alias("place"), F.when(F.col("_bad"), F.coalesce("text", F.lit("null"))).alias("bad"))
 
 
 def scan(spark: SparkSession, path: str, form: str | None = None) -> DataFrame:

@@ -4,7 +4,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from tallyforge.sources import loaders
+from tallyforge.operators import ledger
+from tallyforge.sources import ledgers, loaders, sinks
 
 
 def optimized(df):
@@ -18,3 +19,12 @@ def test_a_menu_is_parsed_once(spark):
     assert [(r["path"], r["text"], r["total"], [tuple(i) for i in r["items"]]) for r in got.collect()] == [("a", "kopi susu", 5000.0, [("kopi susu", 2.0, None, 5000.0)])]
     plan = optimized(got.select("path", F.explode("items").alias("i")).select("path", "i.name", "i.total_price"))
     assert plan.count("parseJson") + plan.count("parse_json") == 1
+
+
+def parses(df):
+    return optimized(df).count("parseJson") + optimized(df).count("parse_json")
+
+
+def test_a_record_is_parsed_once(spark, tmp_path):
+    (tmp_path / "l.json").write_text('[{"id": 1, "amount": "2"}, 3]')
+    assert parses(ledgers.read(spark, str(tmp_path / "l.json"))) == 1
