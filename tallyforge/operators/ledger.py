@@ -53,9 +53,10 @@ def update_category(ledger: DataFrame, updates: DataFrame) -> DataFrame:
     u = updates.where(F.col("category").isin(*CATEGORY_DISPLAY)).groupBy("id").agg(F.max("category").alias("new"))
     placed = "place" in ledger.columns
     order, kept = (["place"], [*FIELDS, "place"]) if placed else (["saved_at", "merchant", "amount", "date", "category", "source", "notes"], list(FIELDS))
-    first = F.row_number().over(Window.partitionBy("id").orderBy(*order)) == 1
-    changed = ledger.select(*kept).join(u, "id").withColumn("category", F.when(first, F.col("new")).otherwise(F.col("category"))).select(*kept)
-    return ledger.select(*kept).join(u, "id", "left_anti").unionByName(changed)
+    # One reading of the ledger: a record without an update is a group of its own, so null ids are no large group.
+    first = F.row_number().over(Window.partitionBy("id", F.when(F.col("new").isNull(), F.xxhash64(*order))).orderBy(*order)) == 1
+    joined = ledger.select(*kept).join(u, "id", "left")
+    return joined.withColumn("category", F.when(first & F.col("new").isNotNull(), F.col("new")).otherwise(F.col("category"))).select(*kept)
 
 
 def unmatched(ledger: DataFrame, changes: DataFrame) -> DataFrame:

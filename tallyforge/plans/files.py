@@ -32,7 +32,7 @@ def ledger_files(spark, sf: str) -> str:
         text = F.when(k == kind, x).otherwise(text)
     g = F.floor(F.col("id") / FILE)
     array = F.concat(F.lit(" ["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda x: x["text"]), ",\n"), F.lit("]"))
-    files = e.withColumn("text", text).groupBy(g.alias("g")).agg(array.alias("value"))
+    files = e.withColumn("g", g).repartition("g").withColumn("text", text).groupBy("g").agg(array.alias("value"))  # texts are made where their file is written
     value = F.when(F.col("g") % 5 == 4, F.concat(F.lit('{"transactions":'), F.col("value"), F.lit("}"))).when(F.col("g") % 7 == 6, F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
     folder = new_folder(spark, "ledger-files")
     files.select(value.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)

@@ -28,3 +28,11 @@ def parses(df):
 def test_a_record_is_parsed_once(spark, tmp_path):
     (tmp_path / "l.json").write_text('[{"id": 1, "amount": "2"}, 3]')
     assert parses(ledgers.read(spark, str(tmp_path / "l.json"))) == 1
+
+
+def test_an_update_reads_the_ledger_once(spark, tmp_path):
+    (tmp_path / "l.json").write_text('[{"id": 1, "merchant": "a"}, {"id": 1, "merchant": "b"}, {"merchant": "c"}, {"merchant": "d"}, {"id": 2}]')
+    changes = spark.createDataFrame([(1, "hiburan"), (3, "belanja"), (None, "tagihan")], "id long, category string")
+    got = ledger.update_category(ledgers.read(spark, str(tmp_path / "l.json")), changes)
+    assert [(r["id"], r["merchant"], r["category"]) for r in got.orderBy("place").collect()] == [(1, "a", "hiburan"), (1, "b", None), (None, "c", None), (None, "d", None), (2, None, None)]
+    assert parses(got) == 1
