@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..domain import CATEGORY_DISPLAY
 from ..operators import etl, evaluation
+from ..session import checkpointed
 from .ledgers import PLACE, SCHEMA, _at, manifests, scan, versions_of
 
 UNIFIED = ("image_path", "donut_target", "source", "language", "category", "merchant", "transaction_date", "total_amount", "currency", "text_for_classification", "n_items", "split")
@@ -72,8 +73,11 @@ def replace_ledger(ledger: DataFrame, path: str) -> None:
 
 
 def amend_ledger(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame], form: str | None = None) -> None:
-    """``change`` of the records that fit, written back with those that don't, which stay as they are."""
-    every = scan(spark, path, form)
+    """``change`` of the records that fit, written back with those that don't, which stay as they are.
+
+    What was read is kept typed, for a change asks for it several times, and so does the order in which it is written.
+    """
+    every = checkpointed(scan(spark, path, form))
     changed = change(every.where(F.col("bad").isNull()).drop("bad"))
     if "place" not in changed.columns:
         changed = changed.withColumn("place", F.lit(None).cast(PLACE))

@@ -36,3 +36,15 @@ def test_an_update_reads_the_ledger_once(spark, tmp_path):
     got = ledger.update_category(ledgers.read(spark, str(tmp_path / "l.json")), changes)
     assert [(r["id"], r["merchant"], r["category"]) for r in got.orderBy("place").collect()] == [(1, "a", "hiburan"), (1, "b", None), (None, "c", None), (None, "d", None), (2, None, None)]
     assert parses(got) == 1
+
+
+def test_an_amendment_parses_the_ledger_once(spark, tmp_path):
+    (tmp_path / "l.json").write_text('[{"id": 1, "merchant": "a"}, 3, {"id": 2, "merchant": "b"}]')
+    seen = []
+
+    def change(rows):
+        seen.append(parses(rows))
+        return ledger.delete(rows, rows.where("id = 1").select("id"))
+
+    sinks.amend_ledger(spark, str(tmp_path / "l.json"), change)
+    assert seen == [0] and [(r["id"], r["bad"]) for r in ledgers.scan(spark, str(tmp_path / "l.json")).orderBy("place").collect()] == [(None, "3"), (2, None)]
