@@ -88,9 +88,12 @@ def _classified(text: Column, word: Column, learned: Column | None = None) -> Co
     return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", result(other, 0.0, "empty_input")).when(word.isNotNull(), result(word, 0.68, "keyword")).otherwise(rest)
 
 
-def classify(text: Column, learned: Column | None = None) -> Column:
-    """(label, confidence, source): keyword at 0.68, else ``learned`` (a struct of label and confidence) from 0.55 on, else the default."""
-    return let(by_keyword(text), lambda word: _classified(text, word, learned))
+def classify(text: Column, learned: Column | None = None, word: Column | None = None) -> Column:
+    """(label, confidence, source): keyword at 0.68, else ``learned`` (a struct of label and confidence) from 0.55 on, else the default.
+
+    word: the text's ``by_keyword``, where it is known; of the text itself only counts then whether it is blank.
+    """
+    return let(by_keyword(text) if word is None else word, lambda w: _classified(text, w, learned))
 
 
 def by_merchant(merchant: Column) -> Column:

@@ -2,9 +2,10 @@
 
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tallyforge.operators import ledger
+from tallyforge.operators import categorize, learned, ledger
 from tallyforge.sources import ledgers, loaders, sinks
 
 
@@ -48,3 +49,15 @@ def test_an_amendment_parses_the_ledger_once(spark, tmp_path):
 
     sinks.amend_ledger(spark, str(tmp_path / "l.json"), change)
     assert seen == [0] and [(r["id"], r["bad"]) for r in ledgers.scan(spark, str(tmp_path / "l.json")).orderBy("place").collect()] == [(None, "3"), (2, None)]
+
+
+def test_a_scored_text_is_cut_into_words_once(spark):
+    model = learned.Model(["a", "b"], np.arange(10.0).reshape(2, 5), 4)
+    got = spark.createDataFrame([("x y",)], "t string").select(learned.predicted(model, F.col("t")).alias("p"))
+    assert got._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1 and got.first()["p"]["label"] == "b"
+
+
+def test_a_known_keyword_is_not_looked_for(spark):
+    rows = spark.createDataFrame([("x", "belanja"), ("x", None), ("", None)], "t string, w string")
+    got = rows.select(categorize.classify(F.col("t"), F.struct(F.lit("hiburan").alias("label"), F.lit(0.9).alias("confidence")), F.col("w")).alias("c"))
+    assert [r["c"]["source"] for r in got.collect()] == ["keyword", "ml_classifier", "empty_input"] and "regexp" not in optimized(got)
