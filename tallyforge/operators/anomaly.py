@@ -156,6 +156,7 @@ def by_forest(ledger: DataFrame, requested: float = 0.1, min_samples: int = 5, b
 
 def detect(ledger: DataFrame, requested: float = 0.1, min_samples: int = 5, by_category: bool = True, seed: int = 42) -> DataFrame:
     """Forest anomalies, and those by rule that no forest flagged; ids must be set. Without categories, the forest's alone."""
+    ledger = checkpointed(ledger)  # asked for by each baseline, sample and score: what chose its rows is not done again
     base = checkpointed(baselines(ledger))  # one row, asked for twice
     found = by_forest(ledger, requested, min_samples, by_category, seed, base)
     return with_rules(found, ledger, base) if by_category else found

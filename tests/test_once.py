@@ -5,7 +5,7 @@ import json
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallyforge.operators import categorize, learned, ledger
+from tallyforge.operators import anomaly, categorize, learned, ledger
 from tallyforge.sources import ledgers, loaders, sinks
 
 
@@ -61,3 +61,9 @@ def test_a_known_keyword_is_not_looked_for(spark):
     rows = spark.createDataFrame([("x", "belanja"), ("x", None), ("", None)], "t string, w string")
     got = rows.select(categorize.classify(F.col("t"), F.struct(F.lit("hiburan").alias("label"), F.lit(0.9).alias("confidence")), F.col("w")).alias("c"))
     assert [r["c"]["source"] for r in got.collect()] == ["keyword", "ml_classifier", "empty_input"] and "regexp" not in optimized(got)
+
+
+def test_what_chose_a_forests_rows_is_asked_once(spark):
+    rows = spark.range(40).select("id", F.lit("m").alias("merchant"), (F.col("id") + 1.0).alias("amount"), F.lit("2024-01-02").alias("date"), F.lit("belanja").alias("category"), F.lit("manual").alias("source"), F.lit("").alias("saved_at"))
+    for by_category in (True, False):
+        assert "RLIKE" not in optimized(anomaly.detect(rows.where(F.col("date").rlike("^2024-01")), by_category=by_category)).upper()
