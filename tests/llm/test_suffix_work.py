@@ -87,3 +87,18 @@ def test_candidates_are_windows_without_an_anchor_found_once_inside(once):
 def test_a_lot_is_bounded():
     rows = [(b"x" * 40_000,) for _ in range(50)]
     assert max(len(lot) for lot in suffixes.lots(iter(rows), lambda row: len(row[0]))) == 2
+
+
+def test_planted_passages_go_from_the_contracts_length_on_and_clean_texts_stay(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 8)))
+    fresh = lambda n: " ".join(word() for _ in range(n))
+    at_length = lambda n: (fresh(51) + " " + fresh(n))[:n]
+    long, short = at_length(400), at_length(399)
+    # Bytes beside a passage differ, so that nothing longer is shared by chance.
+    marks = iter("0123456789ABCDEFGHIJ")
+    texts = [(p, f"{fresh(60)} {next(marks)}{p}{next(marks)} {fresh(60)}") for p in (long, short) for _ in range(3)]
+    texts += [(None, fresh(200)) for _ in range(5)]
+    got = suffixes.deduplicate(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in got} == {i: (400, 1) if p == long else (0, 0) for i, (p, _) in enumerate(texts)}
+    assert all(len(p.split()) > 50 for p in (long, short))
