@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dates import fixed_digits, let
+from .dates import fixed_digits, fixed_digits_and, let
 
 
 def coerced(x: Column) -> Column:
@@ -98,7 +98,7 @@ def _parts(s: Column) -> Column:
 
 def screen_token(raw: Column, rupiah_context: Column, compact_qr: Column) -> Column:
     """Whole rupiah of an amount on a payment screen, or null: like ``token``, but cents always go, and of surplus digits only those after a point."""
-    s = F.regexp_replace(F.regexp_replace(fixed_digits(raw), r"(?<=\d)[Bb](?=\s\d)", "8"), r"(?i)\b(rp\.?|idr)\b|[–—+\s-]", "")
+    s = F.regexp_replace(fixed_digits_and(raw, ((r"(?<=\d)[Bb](?=\s\d)", "8"),)), r"(?i)\b(rp\.?|idr)\b|[–—+\s-]", "")
     s = F.regexp_replace(s, r"^\D+|\D+$", "")
 
     def value(d: Column) -> Column:
