@@ -50,3 +50,8 @@ def plan(df):
 def test_the_route_reuses_the_type(spark):
     rows = spark.createDataFrame([(["QR Bayar", "Rp38.000"],)], "lines array<string>")
     assert plan(extract(rows).select("document_type", "route")).count("minimarket") == 1
+
+
+def test_strategies_share_one_judge(spark):
+    rows = spark.createDataFrame([(["QR Bayar", "Rp38.000"],)], "lines array<string>")
+    assert plan(rows.select(screens.recipient(F.col("lines")).alias("r"))).count("kode\\s+pos|no\\.?)\\b))") == 1
